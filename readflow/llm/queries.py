@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, token_counts, topk
+from . import fingerprints, mixing, token_counts, topk
 from .common import table
 
 
@@ -24,8 +25,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(sized, quality_col="quality", tie=F.col("text_hash"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
