@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, token_counts, topk
+from . import fingerprints, langid, mixing, substring_dedup, token_counts, topk
 from .common import table
 
 
@@ -38,12 +38,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.dedup_substrings(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op6_mixing": op6_mixing, "op10_language_id": op10_language_id}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op6_mixing": op6_mixing, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOPK_SQL}
+    return {"op3_topk": TOPK_SQL, "op8_substring_dedup": SUBSTRING_SQL}
 
 
 TOPK_SQL = """
@@ -61,3 +66,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
+
+SUBSTRING_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS code
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), f AS (
+  SELECT code, min(doc_id) AS low FROM s GROUP BY code HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT s.doc_id, s.i + j AS pos FROM s JOIN f USING (code), range(0, 50) t(j) WHERE s.doc_id > f.low
+), g AS (SELECT doc_id, count(*) AS n, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
