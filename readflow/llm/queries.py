@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, substring_dedup, token_counts, topk
+from . import fingerprints, jaccard_join, langid, mixing, substring_dedup, token_counts, topk
 from .common import table
 
 
@@ -43,8 +43,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.dedup_substrings(docs))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op6_mixing": op6_mixing, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
