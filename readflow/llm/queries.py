@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, langid, mixing, substring_dedup, token_counts, topk
+from . import chat, fingerprints, jaccard_join, langid, mixing, substring_dedup, token_counts, topk
 from .common import table
 
 
@@ -47,12 +47,17 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_paths(chat.replies(rows)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOPK_SQL, "op8_substring_dedup": SUBSTRING_SQL}
+    return {"op3_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL}
 
 
 TOPK_SQL = """
@@ -86,3 +91,20 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGI
   sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id)
 """
+
+CHAT_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, list_reduce(['<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+    lambda t, x: replace(t, x, x[1] || chr(92) || x[2:]), replace(text, chr(92), chr(92) || chr(92))) AS safe FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|start|>') + length(role) + length('<|text|>') + length(safe) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
