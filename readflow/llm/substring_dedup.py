@@ -30,7 +30,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2**64."""
     if len(_powers["up"]) < n:
         size = max(n, 2 * len(_powers["up"]))
@@ -45,7 +45,7 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hashes of all windows of ``width`` values: sums of h[i + j] * BASE**j modulo 2**64."""
     if len(h) < width:
         return np.empty(0, np.uint64)
-    up, down = _power(len(h))
+    up, down = powers(len(h))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up, dtype=np.uint64)])
     return (sums[width:] - sums[:-width]) * down[: len(h) - width + 1]
 
