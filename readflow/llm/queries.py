@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard_join, langid, mixing, sentence_pieces, substring_dedup, token_counts, topk
+from . import chat, fingerprints, jaccard_join, langid, mixing, quality, sentence_pieces, substring_dedup, token_counts, topk
 from .common import table
 
 
@@ -31,6 +31,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~langid.held_out()))
+    return quality.score(docs, model).withColumn("held_out", langid.held_out())
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -60,7 +66,7 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op10_language_id": op10_language_id}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op9_quality": op9_quality, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
