@@ -235,3 +235,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(~none, F.coalesce("c", "k")).alias("component_id"),
     )
 
+
+
+def one_of_each(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one document of each group of linked ones: that of the smallest id. Null ids stay.
+
+    Few documents go, so only those that a filter of fixed size takes for one of them are joined.
+    """
+    found = jaccard_components(df, id_col, text_col, percent, width)
+    gone = checkpointed(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("k")).distinct())
+    shared = df.sparkSession.sparkContext.broadcast(_filter_words(gone))
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), F.lit(FILTER_BITS))
+    marked = df.withColumn("_maybe", maybe(at))
+    rest = marked.filter("_maybe").join(gone, F.col(id_col) == F.col("k"), "left_anti")
+    return marked.filter("not _maybe").unionByName(rest).select(*df.columns)

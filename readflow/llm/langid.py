@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -175,6 +175,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "lang_pred", "score")
 
 
+def predicted(model: Model, spark: SparkSession, text_col: str = "text") -> Column:
+    """Column of structs (lang_pred, score) for a text column, as identify() gives them."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        parts = [shared.value.score(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0)]
+        return pd.DataFrame({"lang_pred": [x for langs, _ in parts for x in langs], "score": np.concatenate([p for _, p in parts]) if parts else np.zeros(0)})
+
+    return predict(F.col(text_col).cast("string"))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from training: crc32 of the id as text, modulo 5, is 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
