@@ -30,7 +30,7 @@ from .components import components
 from .substring_dedup import rolling
 
 #: Sizes of the tables that steer the work: word counts, and the filter of documents to compare.
-BUCKETS, FILTER_BITS = 1 << 20, 1 << 23
+BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
 LONGEST_MATCH = 4
 
 
@@ -64,10 +64,10 @@ def word_counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"]] = found["n"]
-    return out
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
 def match_length(costs: np.ndarray, prefix: int, size: int) -> int:
@@ -77,7 +77,7 @@ def match_length(costs: np.ndarray, prefix: int, size: int) -> int:
     scanned whole, and about one in l of the documents found in it once is found l times.
     """
     most = min(LONGEST_MATCH, size - prefix + 1)
-    total = np.cumsum(costs)
+    total = np.cumsum(costs, dtype=np.int64)
     return 1 + int(np.argmin([total[prefix - 1 + x] / (x + 1) for x in range(most)])) if most > 1 else 1
 
 
@@ -157,9 +157,9 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
     """A filter of ids, FILTER_BITS bits whatever their number: built by partial ors in Spark."""
     at = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
     bits = ids.select(F.floor(at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
-    found = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["w"]] = found["bits"]
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
