@@ -1 +1,97 @@
-"""Structured Streaming forms of the activity and admission jobs."""
+"""Structured Streaming forms of the activity and admission jobs.
+
+Events: reader, text_hash, ts (timestamp), seq, action, arg. Watermarks bound the state; what comes later
+than the lateness is dropped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import text as T
+from ..operators import activity, crawl, segment
+
+_FIELDS = "unit int, status string, since long, played long, ja_cpm double, en_wpm double, a0 long, a1 long, a2 long, a3 long, finished_at long"
+
+
+def reader_states(events: DataFrame, units: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 60 * 1000) -> DataFrame:
+    """The state after every action (activity.STATE), by the fold that replay() uses.
+
+    units: activity.unit_table(), a static table. It is joined per text as one array, so that the state of a
+    reader and text holds numbers only. A reader who stays silent for idle_ms is paused at the last action.
+    """
+    packed = units.groupBy("text_hash").agg(F.collect_list(F.struct("unit_index", "sentence_index", "language", "characters", "pause_units")).alias("units"))
+    rows = events.withWatermark("ts", lateness).join(packed, "text_hash").withColumn("ts_ms", F.unix_millis("ts"))
+    rows = rows.select("reader", "text_hash", "ts", "ts_ms", "seq", "action", "arg", "units")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
+        known = {int(u["unit_index"]): (u["sentence_index"], u["language"], int(u["characters"]), float(u["pause_units"])) for u in pdf["units"].iloc[0]}
+        reading = activity.Reading(len(known))
+        if state.exists:
+            s = state.get
+            reading.unit, reading.status, since, reading.played, reading.ja_cpm, reading.en_wpm = s[:6]
+            reading.since, reading.amount, reading.finished_at = (None if since < 0 else since), list(s[6:10]), (None if s[10] < 0 else s[10])
+        out = list(activity.fold(pdf, known, reading))
+        state.update((reading.unit, reading.status, -1 if reading.since is None else reading.since, reading.played, reading.ja_cpm, reading.en_wpm, *reading.amount, -1 if reading.finished_at is None else reading.finished_at))
+        state.setTimeoutTimestamp(max(int(pdf["ts_ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in activity.STATE.split(", ")])
+
+    return rows.groupBy("reader", "text_hash").applyInPandasWithState(step, activity.STATE, _FIELDS, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def request_counts(requests: DataFrame, limit: int = crawl.REQUESTS, period: str = "60 seconds", lateness: str = "2 minutes") -> DataFrame:
+    """key, start, requests, limited: requests (key, ts) per key and period."""
+    found = requests.withWatermark("ts", lateness).groupBy("key", F.window("ts", period).alias("w")).agg(F.count("*").alias("requests"))
+    return found.select("key", F.col("w.start").alias("start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("limited"))
+
+
+def daily_totals(finishes: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """reader, date, finishes, ja_characters, en_words, played_ms of finishes with finished_at; late ones are dropped."""
+    found = finishes.withWatermark("finished_at", lateness).groupBy("reader", F.window("finished_at", "1 day").alias("w")).agg(
+        F.count("*").alias("finishes"), F.sum("ja_characters").alias("ja_characters"), F.sum("en_words").alias("en_words"), F.sum("played_ms").alias("played_ms")
+    )
+    return found.select("reader", F.to_date("w.start").alias("date"), "finishes", "ja_characters", "en_words", "played_ms")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    return activity.sessions(events.withWatermark("ts", lateness), gap)
+
+
+def distinct_finishes(finishes: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """finishes once per reader and time, as long as the watermark holds them."""
+    return finishes.withWatermark("finished_at", lateness).dropDuplicatesWithinWatermark(["reader", "finished_at"])
+
+
+def ingest(texts: DataFrame, path: str, checkpoint: str):
+    """Starts the continuous job texts (doc_id, text) -> units under path; a text that came before adds nothing.
+
+    Every batch keeps the texts whose hash the folder of hashes lacks, and appends their units.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        plain = batch.select("doc_id", T.import_plain(F.col("text")).alias("text"))
+        fresh = plain.filter(F.coalesce("text", F.lit("")) != "").withColumn("text_hash", T.text_hash(F.col("text"))).dropDuplicates(["text_hash"])
+        seen = f"{path}/hashes"
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen)
+        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+            known = spark.read.parquet(seen).filter(F.col("batch") != batch_id)  # a repeated batch isn't known to itself
+            fresh = fresh.join(known, "text_hash", "left_anti")
+        fresh = fresh.persist()
+        try:
+            units = segment.units(fresh.select("doc_id", "text"))
+            units.write.mode("overwrite").parquet(f"{path}/units/batch={batch_id}")
+            fresh.select("text_hash").write.mode("overwrite").parquet(f"{path}/hashes/batch={batch_id}")
+        finally:
+            fresh.unpersist()
+
+    return texts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
