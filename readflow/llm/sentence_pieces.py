@@ -315,7 +315,7 @@ def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_c
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, chars=6_000_000, rows=8_000):
+            for part in slices(batch, chars=1_500_000):
                 found = sample_slice(part.column(1).to_pylist(), part.column(2).to_numpy().view(np.uint64), vocab, k, theta)
                 at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 flat = [y for x in found for y in x]
