@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, word_codes
 
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
+MAX_LABELLED, MAX_POOL = 10_000, 10_000
 BUCKETS, SHAPES = 1 << 17, 1 << 12
 META = 4_096
 ROUNDS, GROWTH = 4, 0.05
@@ -179,9 +179,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str
     id_type = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(features, f"id {id_type}, y int, words array<int>, meta array<int>").toArrow()
     at = np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")
-    words, meta = (found[c].to_pylist() for c in ("words", "meta"))
+    words, meta = (_rows(found[c].combine_chunks()) for c in ("words", "meta"))
     labelled = found["y"].to_numpy()
-    return co_train([np.array(words[i], np.int64) for i in at], [np.array(meta[i], np.int64) for i in at], labelled[at])
+    return co_train([words[i] for i in at], [meta[i] for i in at], labelled[at])
+
+
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    """Views of the rows of a list column, without Python numbers."""
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
