@@ -89,25 +89,27 @@ class Model:
         self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
-    def _table(rows: pd.DataFrame, name: str, at: dict[str, int], totals: np.ndarray, kind) -> dict[str, np.ndarray]:
+    def _table(rows: pd.DataFrame, name: str, at: dict[str, int], totals: np.ndarray, kind) -> tuple[dict[str, int], np.ndarray]:
         keys = {x: i for i, x in enumerate(pd.unique(rows[name]))}
         n = np.full((len(keys), max(1, len(at))), 0.5)
         n[rows[name].map(keys).to_numpy(int), rows["lang"].map(at).to_numpy(int)] += rows["n"].to_numpy()
         which = np.array([kind(x) for x in keys], int)
         scores = np.log(n) - np.log(totals[which] + 1.0) if len(keys) else n
-        return dict(zip(keys, scores.astype(np.float32), strict=True))
+        return keys, scores.astype(np.float32)
 
     def fallback(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
-            known = [x for g in grams(word, n) if (x := self.grams.get(g)) is not None]
+            known = [x for g in grams(word, n) if (x := self.grams[0].get(g)) is not None]
             if known:
-                mean = np.mean(known, axis=0)
+                mean = self.grams[1][known].mean(axis=0)
                 return (mean - mean.max()) - STEP * (LONGEST - n)
         return np.zeros(len(self.langs), np.float32)
 
     def of(self, word: str) -> np.ndarray:
-        x = self.words.get(word)
-        if x is None and (x := self.cache.get(word)) is None:
+        at = self.words[0].get(word)
+        if at is not None:
+            return self.words[1][at]
+        if (x := self.cache.get(word)) is None:
             x = self.fallback(word)
             if len(word) <= 64:
                 if len(self.cache) >= CACHED:
@@ -151,7 +153,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
 def _most(rows: DataFrame, name: str, bound: int) -> pd.DataFrame:
     """The counts of the most frequent names: bound rows at most, whatever the input."""
     per_lang = rows.select(name, "lang", "n").orderBy(F.desc("n"), name, "lang").limit(bound)
-    return per_lang.toPandas()
+    return per_lang.toArrow().to_pandas()
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

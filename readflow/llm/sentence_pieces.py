@@ -18,12 +18,12 @@ results depend on the row alone.
 from __future__ import annotations
 
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +39,10 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 def _kinds() -> np.ndarray:
     """0 for the word mark, 1 for letters and combining marks, 2 for all else, by code point."""
     kinds = np.full(0x110000, 2, np.uint8)
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] in "LM":
-            kinds[c] = 1
+    letters = regex.compile(r"[\p{L}\p{M}]+")
+    for start, end in ((0, 0xD800), (0xE000, 0x110000)):  # all but the surrogates
+        for m in letters.finditer("".join(map(chr, range(start, end)))):
+            kinds[start + m.start() : start + m.end()] = 1
     kinds[MARK] = 0
     return kinds
 
@@ -67,9 +68,12 @@ class Vocabulary:
                 by_size.setdefault(len(x), []).append((x, i))
         self.by_size = {}
         for n, found in by_size.items():
-            h = np.concatenate([rolling(self.hashes(np.array([ord(c) for c in x], np.uint32)), n) for x, _ in found])
+            points = np.array([[ord(c) for c in x] for x, _ in found], np.uint32)
+            h = (self.hashes(points) * powers(n)[0]).sum(axis=1, dtype=np.uint64)
             order = np.argsort(h)
-            self.by_size[n] = h[order], np.array([i for _, i in found])[order]
+            maybe = np.zeros(1 << 18, bool)  # most places have no piece of a length: a look at this tells
+            maybe[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            self.by_size[n] = h[order], np.array([i for _, i in found])[order], maybe
         self.text = [chr(int(x[1:-1], 16)) if i in self.bytes.values() else x.replace(chr(MARK), " ") for i, x in enumerate(self.names)]
 
     @staticmethod
@@ -94,11 +98,13 @@ class Lattice:
         left = np.repeat(ends, ends - starts) - np.arange(n)  # characters up to the unit's end
         h = vocab.hashes(points)
         src, size, piece = [], [], []
-        for m, (known, ids) in sorted(vocab.by_size.items(), reverse=True):
+        for m, (known, ids, maybe) in sorted(vocab.by_size.items(), reverse=True):
             at = np.flatnonzero(left >= m)
             if not len(at):
                 continue
             x = rolling(h, m)[at]
+            some = maybe[(x & np.uint64(len(maybe) - 1)).astype(np.int64)]
+            at, x = at[some], x[some]
             found = np.minimum(np.searchsorted(known, x), len(known) - 1)
             hit = known[found] == x
             src.append(at[hit])
