@@ -14,8 +14,9 @@ PORTS = ["", "80", "443"]
 INTERNAL = ["localhost", "local", "test", "invalid", "internal", "home.arpa", "lan", "intranet", "corp", "localdomain"]
 
 
-def _part(url: Column, name: str) -> Column:
-    return F.try_parse_url(url, F.lit(name))
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once; keeps the expression from growing with each use of x."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def canonical(url: Column) -> Column:
@@ -58,10 +59,17 @@ def _number(x: Column) -> Column:
 
 def ipv4_canonical(name: Column) -> Column:
     """One to four numbers as an IPv4 address in four; other names as they are."""
-    bare = F.regexp_replace(name, r"\.\z", "")
-    parts = F.split(bare, r"\.")
-    n = F.size(parts)
-    values = [_number(F.get(parts, F.lit(i))) for i in range(4)]
+    return bound(name, _ipv4_canonical)
+
+
+def _ipv4_canonical(name: Column) -> Column:
+    parts = F.split(F.regexp_replace(name, r"\.\z", ""), r"\.")
+    return bound(F.struct(name.alias("name"), F.size(parts).alias("n"), F.transform(parts, _number).alias("v")), _as_four)
+
+
+def _as_four(x: Column) -> Column:
+    name, n = x["name"], x["n"]
+    values = [F.get(x["v"], F.lit(i)) for i in range(4)]
     last = F.coalesce(*[F.when(n == i + 1, values[i]) for i in range(4)])
     fits = last < F.element_at(F.array(*[F.lit(256 ** (4 - i)) for i in range(4)]), F.least(n, F.lit(4)))
     heads = F.lit(True)
@@ -69,9 +77,10 @@ def ipv4_canonical(name: Column) -> Column:
     for i in range(3):
         heads = heads & ((n <= i + 1) | F.coalesce(values[i] < 256, F.lit(False)))
         total = total + F.when(n > i + 1, values[i] * 256 ** (3 - i)).otherwise(0)
-    byte = lambda k: F.shiftright(total, 8 * k).bitwiseAND(F.lit(255)).cast("string")
     whole = (n <= 4) & heads & F.coalesce(fits, F.lit(False)) & name.rlike(r"\A[0-9a-fx.]+\z")
-    return F.when(whole, F.concat_ws(".", byte(3), byte(2), byte(1), byte(0))).otherwise(name)
+    byte = lambda t, k: F.shiftright(t, 8 * k).bitwiseAND(F.lit(255)).cast("string")
+    four = lambda t: F.concat_ws(".", byte(t, 3), byte(t, 2), byte(t, 1), byte(t, 0))
+    return F.when(whole, bound(total, four)).otherwise(name)
 
 
 def is_ipv4(name: Column) -> Column:
@@ -88,18 +97,24 @@ def private_ipv4(a: Column, b: Column) -> Column:
 
 def ipv6_groups(address: Column) -> Column:
     """The eight groups of an IPv6 address as numbers; null if it can't be read."""
-    halves = F.split(address, "::")
     words = lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
-    head, tail = words(F.get(halves, F.lit(0))), words(F.get(halves, F.lit(1)))
-    gap = F.when(F.size(halves) == 2, F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))).otherwise(0)
-    groups = F.concat(head, F.array_repeat(F.lit("0"), gap), tail)
-    good = (F.size(halves) <= 2) & (F.size(groups) == 8) & F.forall(groups, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z"))
-    return F.when(good, F.transform(groups, lambda x: F.conv(x, 16, 10).cast("int")))
+    halves = lambda h: F.struct(F.size(h).alias("n"), words(F.get(h, F.lit(0))).alias("head"), words(F.get(h, F.lit(1))).alias("tail"))
+
+    def filled(x: Column) -> Column:
+        gap = F.when(x["n"] == 2, F.greatest(F.lit(8) - F.size(x["head"]) - F.size(x["tail"]), F.lit(0))).otherwise(0)
+        return F.when(x["n"] <= 2, F.concat(x["head"], F.array_repeat(F.lit("0"), gap), x["tail"]))
+
+    good = lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z"))
+    numbers = lambda g: F.when(good(g), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))
+    return bound(bound(bound(F.split(address, "::"), halves), filled), numbers)
 
 
 def blocked_ipv6(address: Column) -> Column:
     """Whether an address is not public, by itself or by the IPv4 address inside it; unreadable ones are."""
-    g = ipv6_groups(address)
+    return bound(ipv6_groups(address), _blocked_groups)
+
+
+def _blocked_groups(g: Column) -> Column:
     at = lambda i: F.get(g, F.lit(i))
     inner = lambda i: private_ipv4(F.shiftright(at(i), 8), at(i).bitwiseAND(F.lit(255)))
     zero = lambda a, b: F.forall(F.slice(g, a + 1, b - a), lambda x: x == 0)
@@ -110,7 +125,10 @@ def blocked_ipv6(address: Column) -> Column:
 
 
 def blocked_host(name: Column) -> Column:
-    bare = F.regexp_replace(name, r"\.\z", "")
+    return bound(F.regexp_replace(name, r"\.\z", ""), _blocked_name)
+
+
+def _blocked_name(bare: Column) -> Column:
     parts = F.split(bare, r"\.")
     suffix = "|".join(x.replace(".", r"\.") for x in INTERNAL)
     number = lambda i: F.get(parts, F.lit(i)).try_cast("int")
@@ -123,7 +141,11 @@ def blocked_host(name: Column) -> Column:
 
 def reason(url: Column) -> Column:
     """``invalid-url``, ``blocked-url`` or null for an admitted URL."""
-    name = host(url)
+    return bound(F.struct(url.alias("url"), host(url).alias("host")), _reason)
+
+
+def _reason(x: Column) -> Column:
+    url, name = x["url"], x["host"]
     invalid = url.isNull() | (F.length(url) > LONGEST) | ~scheme(url).isin("http", "https") | (name == "") | name.rlike(r"[\s<>^|%\\]")
     blocked = authority(url).contains("@") | ~port(url).isin(PORTS) | blocked_host(name)
     return F.when(invalid, "invalid-url").when(blocked, "blocked-url")
@@ -131,10 +153,9 @@ def reason(url: Column) -> Column:
 
 def rate_key(ip: Column) -> Column:
     """IPv4 as it is, IPv6 as its /64, unreadable as it is, none as ``unknown``."""
-    groups = ipv6_groups(F.lower(ip))
-    net = F.concat(F.array_join(F.transform(F.slice(groups, 1, 4), lambda x: F.lower(F.hex(x))), ":"), F.lit("::/64"))
+    net = lambda g: F.concat(F.array_join(F.transform(F.slice(g, 1, 4), lambda x: F.lower(F.hex(x))), ":"), F.lit("::/64"))
     plain = ~ip.contains(":") | ip.contains(".")
-    return F.when(ip.isNull(), "unknown").when(plain | groups.isNull(), ip).otherwise(net)
+    return F.when(ip.isNull(), "unknown").when(plain, ip).otherwise(F.coalesce(bound(ipv6_groups(F.lower(ip)), net), ip))
 
 
 _escape = re.compile(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]+")

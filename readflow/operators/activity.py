@@ -141,9 +141,9 @@ def replay(actions: DataFrame, units: DataFrame) -> DataFrame:
         rows = fold(left.sort_values(["ts_ms", "seq"], kind="stable"), known, Reading(len(known)))
         return pd.DataFrame(list(rows), columns=[c.split()[0] for c in STATE.split(", ")])
 
-    readers = actions.select("reader", "text_hash").distinct()
-    needed = readers.join(units, "text_hash")
-    return actions.groupBy("reader", "text_hash").cogroup(needed.groupBy("reader", "text_hash")).applyInPandas(run, STATE)
+    readers = actions.select(F.col("reader").alias("of"), F.col("text_hash").alias("text")).distinct()
+    needed = readers.join(units, F.col("text") == F.col("text_hash")).drop("text_hash")
+    return actions.groupBy("reader", "text_hash").cogroup(needed.groupBy("of", "text")).applyInPandas(run, STATE)
 
 
 def played(actions: DataFrame, now_ms: Column | None = None) -> DataFrame:

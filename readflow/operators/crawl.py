@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .shared import written
 
 # Hops, sizes and limits.
 MOST_HOPS = 5
@@ -64,9 +65,9 @@ def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = Non
     """page_id, final_url, hops, reason: pages (page_id, url) after redirects (from_url, to_url), every hop checked.
 
     A hop's relative target is resolved against its page. More than ``most`` hops make a page unavailable. Settled pages
-    leave the join after each round; the rounds are a fixed few, so the plan stays bounded.
+    leave the join after each round; the rounds are a fixed few, and each is written to the shared folder.
     """
-    known = redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url"))
+    known = written(redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url")))
     open_ = pages.select("page_id", urls.canonical(F.col("url")).alias("at"), F.lit(0).alias("hops"))
     done = []
     for hop in range(most + 2):
@@ -75,7 +76,7 @@ def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = Non
         if rules is not None:
             rows = rows.withColumns({"host": urls.host(F.col("at")), "path": urls.path(F.col("at"))})
             rows = allowed(rows, rules).withColumn("reason", F.coalesce("reason", F.when(~F.col("allowed"), "robots-disallowed"))).select("page_id", "at", "hops", "reason")
-        rows = rows.join(known, F.col("at") == F.col("from_url"), "left")
+        rows = written(rows.join(known, F.col("at") == F.col("from_url"), "left"))
         ends = F.col("reason").isNotNull() | F.col("to_url").isNull()
         done.append(rows.filter(ends).select("page_id", F.col("at").alias("final_url"), "hops", "reason"))
         if hop <= most:

@@ -289,8 +289,8 @@ def b12_robots(spark, sf_dir):
 
 
 @query("b14_redirects", f"""WITH RECURSIVE {_PAGES}, r AS (SELECT a.canonical_url AS from_url, min(b.canonical_url) AS to_url FROM pr a JOIN pr b ON b.page_id = a.page_id + 1 WHERE a.page_id % 7 < 3 GROUP BY 1),
-f AS (SELECT page_id, canonical_url AS at, 0 AS hops FROM pr UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN r ON at = from_url WHERE hops < 6)
-SELECT page_id, at AS final_url, hops, CASE WHEN hops > 5 THEN 'page-unavailable' END AS reason FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1""")
+f AS (SELECT page_id, canonical_url AS loc, 0 AS hops FROM pr UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN r ON loc = from_url WHERE hops < 6)
+SELECT page_id, loc AS final_url, hops, CASE WHEN hops > 5 THEN 'page-unavailable' END AS reason FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1""")
 def b14_redirects(spark, sf_dir):
     """Pages after their redirects."""
     pages = A.table(spark, sf_dir, "pages").select("page_id", "url")
@@ -340,7 +340,7 @@ def a15_outcomes(spark, sf_dir):
 
 # --- reading activity ----------------------------------------------------------------------------
 
-_EV = "ev AS (SELECT user_id AS reader, ts, CAST(epoch_ms(ts) AS BIGINT) AS ts_ms, event_id AS seq, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
+_EV = "ev AS (SELECT user_id AS reader, ts, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms, event_id AS seq, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
 _FIN = _EV + ", fin AS (SELECT reader, CAST(k AS VARCHAR) AS text_hash, ts AS finished_at, seq, CAST(k AS BIGINT) AS ja_characters, CAST(floor(value) AS BIGINT) AS en_words, CAST(floor(value * 1000) AS BIGINT) AS played_ms FROM ev WHERE event_type = 'purchase')"
 _DAYS = _FIN + ", days AS (SELECT reader, CAST(finished_at AS DATE) AS date, count(*) AS finishes, CAST(sum(ja_characters) AS BIGINT) AS ja_characters, CAST(sum(en_words) AS BIGINT) AS en_words, CAST(sum(played_ms) AS BIGINT) AS played_ms FROM fin GROUP BY ALL)"
 AS_OF = "2024-01-30"
@@ -399,9 +399,9 @@ def e6_finishes(spark, sf_dir):
     return activity.distinct_finishes(A.finishes(spark, sf_dir).withColumn("finished_at", F.date_trunc("hour", "finished_at"))).select("reader", "finished_at", "seq")
 
 
-@query("e7_daily", f"WITH {_DAYS} SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY reader ORDER BY date DESC) <= 14")
+@query("e7_daily", f"WITH {_DAYS} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM days QUALIFY row_number() OVER (PARTITION BY reader ORDER BY date DESC) <= 14")
 def e7_daily(spark, sf_dir):
-    return activity.daily_totals(A.finishes(spark, sf_dir), shown=activity.SHOWN_DAYS)
+    return activity.daily_totals(A.finishes(spark, sf_dir), shown=activity.SHOWN_DAYS).withColumn("date", F.col("date").cast("string"))
 
 
 @query("e8_week", f"""WITH {_DAYS} SELECT reader, {", ".join(f"CAST(sum(CASE WHEN date BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}' THEN {c} ELSE 0 END) AS BIGINT) AS week_{c}, CAST(sum({c}) AS BIGINT) AS all_{c}" for c in ("ja_characters", "en_words", "played_ms"))} FROM days GROUP BY reader""")
@@ -421,10 +421,10 @@ def _english(spark, sf_dir):
     return activity.english_days(ends, ev.select("reader", "ts", "seq", (F.col("event_type") == "signup").alias("visible")))
 
 
-@query("e10_english_days", f"WITH {_ENGLISH} SELECT * FROM ed")
+@query("e10_english_days", f"WITH {_ENGLISH} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ed")
 def e10_english_days(spark, sf_dir):
     """English reading days and shown translations."""
-    return _english(spark, sf_dir)
+    return _english(spark, sf_dir).withColumn("date", F.col("date").cast("string"))
 
 
 @query("e11_english_week", f"WITH {_ENGLISH} SELECT reader, count(*) AS english_days, count(*) FILTER (WHERE translations > 0) AS translated_days FROM ed WHERE english_read AND date BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}' GROUP BY reader")
@@ -469,7 +469,7 @@ s AS (SELECT reader, CAST(date_trunc('week', date) AS DATE) AS week, count(*) FI
 sp AS (SELECT reader, CAST(unnest(range(min(week), max(week) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS DATE) AS week FROM s GROUP BY reader),
 r AS (SELECT sp.reader, sp.week, coalesce(days_opened, 0) AS days_opened, CAST(coalesce(ja_characters, 0) AS BIGINT) AS ja_characters, coalesce(english_days, 0) AS english_days, coalesce(translated_days, 0) AS translated_days FROM sp LEFT JOIN s USING (reader, week)),
 l AS (SELECT *, lag(days_opened < 2) OVER w AS a, lag(ja_characters < 10000) OVER w AS b, lag(english_days = 0) OVER w AS c FROM r WINDOW w AS (PARTITION BY reader ORDER BY week))
-SELECT reader, week, days_opened, ja_characters, english_days, translated_days, CASE WHEN (days_opened < 2 AND coalesce(a, false)) OR (ja_characters < 10000 AND coalesce(b, false)) OR (english_days = 0 AND coalesce(c, false)) THEN 'stop'
+SELECT reader, CAST(week AS VARCHAR) AS week, days_opened, ja_characters, english_days, translated_days, CASE WHEN (days_opened < 2 AND coalesce(a, false)) OR (ja_characters < 10000 AND coalesce(b, false)) OR (english_days = 0 AND coalesce(c, false)) THEN 'stop'
   WHEN days_opened >= 4 AND ja_characters >= 50000 AND english_days > 0 AND translated_days >= english_days * 0.5 THEN 'continue' ELSE 'watch' END AS verdict FROM l""")
 def e21_weekly(spark, sf_dir):
     """Events to days to weekly verdicts."""
@@ -478,7 +478,7 @@ def e21_weekly(spark, sf_dir):
     opened = ev.filter("event_type = 'view'").select("reader", day, F.lit(True).alias("opened")).distinct()
     read = ev.filter("event_type = 'purchase'").groupBy("reader", day).agg((F.sum("k") * 100).alias("ja_characters"))
     days = opened.join(read, ["reader", "date"], "full_outer").join(_english(spark, sf_dir), ["reader", "date"], "full_outer")
-    return activity.weekly_verdict(days.na.fill(False, ["opened", "english_read"]).na.fill(0, ["ja_characters", "translations"]))
+    return activity.weekly_verdict(days.na.fill(False, ["opened", "english_read"]).na.fill(0, ["ja_characters", "translations"])).withColumn("week", F.col("week").cast("string"))
 
 
 @query("e23_translate", f"WITH {_UNITS}, {_EV} SELECT DISTINCT reader, CAST(k AS VARCHAR) AS text_hash, sentence_index FROM ev JOIN units ON doc_id = k AND unit_index = k WHERE event_type = 'signup'")
