@@ -50,6 +50,11 @@ def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     return rows.groupBy(*keys).agg(*[F.min(_rank(i)).alias(f"s{i}") for i in range(samples)])
 
 
+def _mark(name: str) -> Column:
+    """A smallest rank as a 32-bit mark; -1 where there is no sample."""
+    return F.when(F.col(name).isNotNull(), F.hash(name)).otherwise(F.lit(-1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal marks, the estimate of the generalised Jaccard similarity."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
@@ -73,7 +78,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = rows.select("k", "h", F.length("text").alias("total"), F.explode(_words("text")).alias("word"))
     terms = words.groupBy("k", "h", "total", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).cast("double").alias("w")).filter("w > 0")
     found = signatures(terms, ["k", "h"], samples)
-    marks = F.array(*[F.coalesce(F.hash(f"s{i}"), F.lit(-1)) for i in range(samples)])
+    marks = F.array(*[_mark(f"s{i}") for i in range(samples)])
     out = rows.join(found, ["k", "h"], "left").select(real_id(F.col("k")).alias(id_col), as_text(marks).alias("fingerprint"), "copies")
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
@@ -135,7 +140,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     terms = terms.filter("w > 0 or e > 0").select("k", "h", "total", "term", F.explode(sides).alias("x")).select("k", "h", "total", "term", "x.side", "x.w")
     ranked = signatures(terms, ["k", "h", "side"], samples)
     low = [F.min(F.when(F.col("side") != 3 - s, F.col(f"s{i}"))).alias(f"{x}{i}") for s, x in ((1, "w"), (2, "e")) for i in range(samples)]
-    marks = [F.array(*[F.coalesce(F.hash(f"{x}{i}"), F.lit(-1)) for i in range(samples)]).alias(x) for x in ("w", "e")]
+    marks = [F.array(*[_mark(f"{x}{i}") for i in range(samples)]).alias(x) for x in ("w", "e")]
     found = ranked.groupBy("k", "h").agg(*low).select("k", "h", *marks)
     none = F.array_repeat(F.lit(-1), samples)
     own = both.select("k", "h", "n", "copies", "pk", "ph", F.sha2("edited", 256).alias("sha")).join(found, ["k", "h"], "left")

@@ -137,6 +137,12 @@ def _fits(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return F.least(n - i, m - j) >= _shared_least(n, m, percent)
 
 
+def _near(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
+    """Whether sets can link by the parities of their hashes, whose distance bounds the sets' from below."""
+    differ = sum(F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(4))
+    return differ <= n + m - 2 * _shared_least(n, m, percent)
+
+
 def _compared(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -166,18 +172,12 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 def verified(pairs: DataFrame, recs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose sets link, written to the shared folder.
 
-    Cheap tests come first: the parities of the sets' hashes bound their difference from below, and the
-    prefixes must share as many shingles as both documents ask for.
+    First the prefixes must share as many shingles as both documents ask for; then the texts are compared.
     """
-    sigs = recs.select("k", "n", "s0", "s1", "s2", "s3")
-    one, two = (sigs.select(*[F.col(c).alias(f"{c}_{x}") for c in sigs.columns]) for x in "ab")
-    differ = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(4))
-    room = F.col("n_a") + F.col("n_b") - 2 * _shared_least(F.col("n_a"), F.col("n_b"), percent)
-    near = pairs.join(one, F.col("a") == F.col("k_a")).join(two, F.col("b") == F.col("k_b")).filter(differ <= room).select("a", "b").distinct()
     heads = recs.select("k", "l", "prefix")
     one, two = (heads.select(*[F.col(c).alias(f"{c}_{x}") for c in heads.columns]) for x in "ab")
     match = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("l_a", "l_b")
-    near = near.join(one, F.col("a") == F.col("k_a")).join(two, F.col("b") == F.col("k_b")).filter(match)
+    near = pairs.join(one, F.col("a") == F.col("k_a")).join(two, F.col("b") == F.col("k_b")).filter(match)
     near = checkpointed(near.select("a", "b").distinct())
     wanted = texts.sparkSession.sparkContext.broadcast(_filter_words(near.select(F.col("a").alias("k")).union(near.select("b"))))
 
@@ -210,19 +210,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     post = reps.select("k", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("p"))).alias("i", "tok"))
     # The leader of a list is the one in which the shingle comes first: it has the fewest rarer ones.
     lead = post.groupBy("tok").agg(F.min(F.struct("i", "n", "k")).alias("lead"), F.count("*").alias("docs")).filter("docs > 1")
-    lists = checkpointed(post.join(lead, "tok").select("tok", "k", "n", "i", "lead"))
+    lists = post.join(lead, "tok").select("tok", "k", "n", "i", "lead")
+    sigs = recs.select(F.col("k").alias("sk"), F.col("n").alias("sn"), F.struct("s0", "s1", "s2", "s3").alias("sig")).distinct()
+    lists = lists.join(sigs, (F.col("k") == F.col("sk")) & (F.col("n") == F.col("sn"))).drop("sk", "sn")
+    heads = sigs.withColumnRenamed("sig", "lead_sig")
+    lists = checkpointed(lists.join(heads, (F.col("lead.k") == F.col("sk")) & (F.col("lead.n") == F.col("sn"))).drop("sk", "sn"))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     fits = _fits(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent)
+    fits &= _near(F.col("n"), F.col("sig"), F.col("lead.n"), F.col("lead_sig"), percent)
     first = lists.filter((F.col("k") != F.col("lead.k")) & fits).select(*pair("k", "lead.k")).distinct()
     links = verified(first, recs, texts, percent, width)
     label = components(links)
     # Lists whose documents are not all in their leader's component: its outsiders meet all others.
-    named = lists.join(label, F.col("k") == F.col("v"), "left").select("tok", "k", "n", "i", "lead", F.coalesce("c", "k").alias("c"))
+    named = lists.join(label, F.col("k") == F.col("v"), "left").select("tok", "k", "n", "i", "sig", F.coalesce("c", "k").alias("c"))
     heads = lists.select("tok", F.col("lead.k").alias("lk")).distinct().join(label, F.col("lk") == F.col("v"), "left").select("tok", F.coalesce("c", "lk").alias("lc"))
-    named = checkpointed(named.join(heads, "tok").drop("lead"))
-    out = named.filter("c <> lc").select("tok", *[F.col(x).alias(f"{x}_o") for x in ("k", "n", "i", "c")])
+    named = checkpointed(named.join(heads, "tok"))
+    out = named.filter("c <> lc").select("tok", *[F.col(x).alias(f"{x}_o") for x in ("k", "n", "i", "sig", "c")])
     rest = out.join(named.withColumn("inside", F.col("c") == F.col("lc")), "tok")
-    rest = rest.filter((F.col("c") != F.col("c_o")) & (F.col("inside") | (F.col("k_o") < F.col("k"))) & _fits(F.col("n"), F.col("i"), F.col("n_o"), F.col("i_o"), percent))
+    rest = rest.filter((F.col("c") != F.col("c_o")) & (F.col("inside") | (F.col("k_o") < F.col("k"))) & _fits(F.col("n"), F.col("i"), F.col("n_o"), F.col("i_o"), percent) & _near(F.col("n"), F.col("sig"), F.col("n_o"), F.col("sig_o"), percent))
     rest = rest.select(*pair("k", "k_o")).distinct().join(first, ["a", "b"], "left_anti")
     links = links.union(verified(rest, recs, texts, percent, width))
     label = components(links.union(member.select(F.col("k").alias("a"), F.col("rep").alias("b"))))
