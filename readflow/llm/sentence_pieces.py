@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -349,8 +350,6 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
 
 def decode(ids: Column, path: str) -> Column:
     """Column of texts from a column of identifier arrays; a null array gives null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(x: pd.Series) -> pd.Series:
         vocab = vocabulary(path)
