@@ -151,9 +151,20 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
 
 
 def _most(rows: DataFrame, name: str, bound: int) -> pd.DataFrame:
-    """The counts of the most frequent names: bound rows at most, whatever the input."""
-    per_lang = rows.select(name, "lang", "n").orderBy(F.desc("n"), name, "lang").limit(bound)
-    return per_lang.toArrow().to_pandas()
+    """The counts of the most frequent names: all above the least count that leaves ``bound`` rows at most.
+
+    The count is found from a histogram of counts, whose classes are logarithmic above ``bound``, so the
+    driver gets a bounded number of rows however many tasks there are.
+    """
+    top = F.when(F.col("n") < bound, F.col("n")).otherwise(F.lit(bound) + F.floor(F.ln(F.col("n") / bound) * 1_000)).alias("top")
+    sizes = {r["top"]: r["rows"] for r in rows.groupBy(top).agg(F.count("*").alias("rows")).collect()}
+    least, taken = max(sizes, default=0) + 1, 0
+    for n in sorted(sizes, reverse=True):
+        taken += sizes[n]
+        if taken > bound:
+            break
+        least = n
+    return rows.filter(top >= least).select(name, "lang", "n").toArrow().to_pandas().sort_values([name, "lang"], ignore_index=True)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
