@@ -28,7 +28,7 @@ LONGEST = 4
 MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 #: Log cost of each step to shorter n-grams, and the weight of words that fall back.
 STEP = 0.4
-CACHED = 300_000
+CACHED = 100_000
 UNKNOWN = "und"
 
 
@@ -200,6 +200,19 @@ def predicted(model: Model, spark: SparkSession, text_col: str = "text") -> Colu
     return predict(F.col(text_col).cast("string"))
 
 
+def told(df: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language is told with a score of at least ``least``; all columns as they are."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, 2_000_000):
+                langs, p = shared.value.score(part.column(at))
+                yield part.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(langs, p, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from training: crc32 of the id as text, modulo 5, is 0 (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
