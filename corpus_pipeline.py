@@ -23,9 +23,7 @@ LEAST_CONFIDENCE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or without a likely language go."""
     model = langid.fit(docs)
-    told = docs.withColumn("_lang", langid.predicted(model, spark))
-    kept = (F.col("_lang.lang_pred") != langid.UNKNOWN) & (F.col("_lang.score") >= LEAST_CONFIDENCE)
-    return told.filter(kept).select(*docs.columns)
+    return langid.told(docs, model, LEAST_CONFIDENCE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
