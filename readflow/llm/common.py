@@ -41,6 +41,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Has Spark hand Python at most ``rows`` rows at once, unless the session says otherwise itself.
+
+    With the default of 10,000, a batch of texts takes more memory outside the heap than the work on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns k, h, text: a null-free key (id, hash of the text) and the text, null as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -71,6 +81,7 @@ def slices(batch: pa.RecordBatch, text_at: int = 1, chars: int = 4_000_000, rows
         seen += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

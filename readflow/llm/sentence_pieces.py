@@ -309,10 +309,11 @@ def expand(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, piece[upto:]]).astype(np.int32)
 
 
-def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", chars: int = 1_500_000) -> DataFrame:
     """id_col, sample (from 1), ids (array of int), log_prob, inclusion: k distinct segmentations of each text.
 
-    path is a .model file that every worker can read. A text with fewer segmentations gives them all,
+    path is a .model file that every worker can read. Texts are worked on in slices of about ``chars``
+    bytes, which bounds a worker's memory but for longer single texts. A text with fewer segmentations gives them all,
     with an inclusion of 1; an empty or null one gives one empty sample. The seed is the hash of id and text, so equal rows
     have equal samples, on every run.
     """
@@ -322,7 +323,7 @@ def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_c
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, chars=1_500_000):
+            for part in slices(batch, chars=chars):
                 found = sample_slice(part.column(1).to_pylist(), part.column(2).to_numpy().view(np.uint64), vocab, k, theta)
                 at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
                 flat = [y for x in found for y in x]
