@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readflow.llm import jaccard_join, langid, mixing, sentence_pieces, substring_dedup
-from readflow.llm.common import shared_checkpoints
+from readflow.llm.common import shared_checkpoints, small_batches
 
 #: A document stays if its language has at least this confidence.
 LEAST_CONFIDENCE = 0.4
@@ -22,17 +22,20 @@ LEAST_CONFIDENCE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or without a likely language go."""
+    small_batches(spark)
     model = langid.fit(docs)
     return langid.told(docs, model, LEAST_CONFIDENCE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs, percent=80, width=5)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that an earlier one has; those of which nothing is left go."""
+    small_batches(spark)
     cut = substring_dedup.dedup_substrings(docs)
     emptied = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     sized = cut.filter(~emptied).withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -47,7 +50,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document."""
-    return sentence_pieces.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    small_batches(spark)
+    return sentence_pieces.sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, chars=400_000)
 
 
 STAGES = [
