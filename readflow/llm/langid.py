@@ -28,7 +28,6 @@ LONGEST = 4
 MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 #: Log cost of each step to shorter n-grams, and the weight of words that fall back.
 STEP = 0.4
-CACHED = 100_000
 UNKNOWN = "und"
 
 
@@ -86,7 +85,6 @@ class Model:
         self.words = self._table(words, "word", at, np.array([[totals.get(x, 0) for x in langs]]), lambda _: 0)
         sizes = np.array([[gram_totals.get((x, n), 0) for x in langs] for n in range(1, LONGEST + 1)])
         self.grams = self._table(grams, "gram", at, sizes, lambda g: len(g) - 1)
-        self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _table(rows: pd.DataFrame, name: str, at: dict[str, int], totals: np.ndarray, kind) -> tuple[dict[str, int], np.ndarray]:
@@ -97,25 +95,28 @@ class Model:
         scores = np.log(n) - np.log(totals[which] + 1.0) if len(keys) else n
         return keys, scores.astype(np.float32)
 
-    def fallback(self, word: str) -> np.ndarray:
+    def each(self, words: list[str]) -> np.ndarray:
+        """Scores of every word in every language; those of unseen words for all of a slice together."""
+        at = np.fromiter((self.words[0].get(w, -1) for w in words), np.int64, len(words))
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        out[at >= 0] = self.words[1][at[at >= 0]]
+        left, known = np.flatnonzero(at < 0).tolist(), self.grams[0].get
         for n in range(LONGEST, 0, -1):
-            known = [x for g in grams(word, n) if (x := self.grams[0].get(g)) is not None]
-            if known:
-                mean = self.grams[1][known].mean(axis=0)
-                return (mean - mean.max()) - STEP * (LONGEST - n)
-        return np.zeros(len(self.langs), np.float32)
-
-    def of(self, word: str) -> np.ndarray:
-        at = self.words[0].get(word)
-        if at is not None:
-            return self.words[1][at]
-        if (x := self.cache.get(word)) is None:
-            x = self.fallback(word)
-            if len(word) <= 64:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[word] = x
-        return x
+            hit, rest, ids, sizes = [], [], [], []
+            for i in left:
+                mine = [x for g in grams(words[i], n) if (x := known(g)) is not None]
+                if mine:
+                    hit.append(i)
+                    ids += mine
+                    sizes.append(len(mine))
+                else:
+                    rest.append(i)
+            if hit:
+                count = np.array(sizes)
+                mean = np.add.reduceat(self.grams[1][ids], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
+                out[hit] = (mean - mean.max(axis=1, keepdims=True)) - STEP * (LONGEST - n)
+            left = rest
+        return out
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and confidence (posterior at most, tempered by the number of words) of each text."""
@@ -123,7 +124,7 @@ class Model:
         n, k = len(texts), len(self.langs)
         if not k:
             return [UNKNOWN] * n, np.zeros(n)
-        each = np.stack([self.of(w) for w in words]) if words else np.zeros((0, k), np.float32)
+        each = self.each(words)
         sums = np.stack([np.bincount(rows, weights=each[codes, j], minlength=n) if len(codes) else np.zeros(n) for j in range(k)], axis=1)
         seen = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, int)
         best = sums.argmax(axis=1)
@@ -138,16 +139,18 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the texts of df with a language; counts cover all of them."""
     texts = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     words = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
+    words, parts = words.persist(), None
     try:
         totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         langs = sorted(totals)
-        parts = words.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        parts = words.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
         sizes = parts.groupBy("lang", F.length("gram").alias("size")).agg(F.sum("n").alias("n"))
         gram_totals = {(r["lang"], r["size"]): r["n"] for r in sizes.collect()}
         return Model(langs, _most(words, "word", MAX_WORDS), _most(parts, "gram", MAX_GRAMS), totals, gram_totals)
     finally:
         words.unpersist()
+        if parts is not None:
+            parts.unpersist()
 
 
 def _most(rows: DataFrame, name: str, bound: int) -> pd.DataFrame:
