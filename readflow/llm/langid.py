@@ -1,14 +1,18 @@
 """Language identification, word first with backoff to character n-grams.
 
-Training counts every word of every labelled text per language, in Spark. The model keeps the most
-frequent words and n-grams (a documented bound each, so that it fits a broadcast at any input size);
-their counts cover all training texts. A known word scores by its log frequency in each language. An
-unseen word falls back to its n-grams of the greatest length of which any is known, down to single
+Training counts every word of every labelled text per language, in Spark; the model is two tables in the
+shared folder, of all words and of all n-grams. A known word scores by its log frequency in each language.
+An unseen word falls back to its n-grams of the greatest length of which any is known, down to single
 letters, each step at a fixed cost. A text goes to the language of the greatest sum.
+
+The most frequent words and n-grams are broadcast too (a bound each), so that only the others of a text are
+joined to the tables. Where a word is looked up doesn't change its score. Scores are whole multiples of
+1 / UNIT, so that sums don't depend on their order.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,16 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import shared_checkpoints, slices
 
 #: Runs of letters and marks are words; RE2 syntax.
 NOT_WORD = r"[^\pL\pM]+"
 LONGEST = 4
-#: Bounds of the model: words and n-grams kept, over all languages.
+#: Words and n-grams that are broadcast; the others are joined.
 MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 #: Log cost of each step to shorter n-grams, and the weight of words that fall back.
 STEP = 0.4
 UNKNOWN = "und"
+UNIT = 1 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -76,63 +81,140 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": list(mine), "n": list(mine.values())})
 
 
+def _code(name: Column) -> list[Column]:
+    """128 bits that stand for a string in keys."""
+    return [F.xxhash64(name).alias("c1"), F.xxhash64(F.lit(1), name).alias("c2")]
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet into the shared folder."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/langid-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Table:
+    """Scores of names in every language, in units; for a broadcast."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        self.at = {x: i for i, x in enumerate(rows["name"].to_pylist())}
+        self.scores = rows["s"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, k) if len(self.at) else np.zeros((0, k), np.int64)
+
+    def find(self, names: list[str]) -> np.ndarray:
+        return np.fromiter((self.at.get(x, -1) for x in names), np.int64, len(names))
+
+
 class Model:
-    """Log frequencies of words and n-grams per language; small enough to be broadcast."""
-
-    def __init__(self, langs: list[str], words: pd.DataFrame, grams: pd.DataFrame, totals: dict[str, int], gram_totals: dict[tuple[str, int], int]):
-        self.langs = langs
-        at = {x: i for i, x in enumerate(langs)}
-        self.words = self._table(words, "word", at, np.array([[totals.get(x, 0) for x in langs]]), lambda _: 0)
-        sizes = np.array([[gram_totals.get((x, n), 0) for x in langs] for n in range(1, LONGEST + 1)])
-        self.grams = self._table(grams, "gram", at, sizes, lambda g: len(g) - 1)
-
-    @staticmethod
-    def _table(rows: pd.DataFrame, name: str, at: dict[str, int], totals: np.ndarray, kind) -> tuple[dict[str, int], np.ndarray]:
-        keys = {x: i for i, x in enumerate(pd.unique(rows[name]))}
-        n = np.full((len(keys), max(1, len(at))), 0.5)
-        n[rows[name].map(keys).to_numpy(int), rows["lang"].map(at).to_numpy(int)] += rows["n"].to_numpy()
-        which = np.array([kind(x) for x in keys], int)
-        scores = np.log(n) - np.log(totals[which] + 1.0) if len(keys) else n
-        return keys, scores.astype(np.float32)
-
-    def each(self, words: list[str]) -> np.ndarray:
-        """Scores of every word in every language; those of unseen words for all of a slice together."""
-        at = np.fromiter((self.words[0].get(w, -1) for w in words), np.int64, len(words))
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        out[at >= 0] = self.words[1][at[at >= 0]]
-        left, known = np.flatnonzero(at < 0).tolist(), self.grams[0].get
-        for n in range(LONGEST, 0, -1):
-            hit, rest, ids, sizes = [], [], [], []
-            for i in left:
-                mine = [x for g in grams(words[i], n) if (x := known(g)) is not None]
-                if mine:
-                    hit.append(i)
-                    ids += mine
-                    sizes.append(len(mine))
-                else:
-                    rest.append(i)
-            if hit:
-                count = np.array(sizes)
-                mean = np.add.reduceat(self.grams[1][ids], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
-                out[hit] = (mean - mean.max(axis=1, keepdims=True)) - STEP * (LONGEST - n)
-            left = rest
-        return out
-
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and confidence (posterior at most, tempered by the number of words) of each text."""
-        codes, rows, words = words_of(texts)
-        n, k = len(texts), len(self.langs)
-        if not k:
-            return [UNKNOWN] * n, np.zeros(n)
-        each = self.each(words)
-        sums = np.stack([np.bincount(rows, weights=each[codes, j], minlength=n) if len(codes) else np.zeros(n) for j in range(k)], axis=1)
-        seen = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, int)
-        best = sums.argmax(axis=1)
-        # Words of one text aren't independent: beyond 20 they sharpen the posterior no further.
-        sharp = sums * (np.minimum(seen, 20) / np.maximum(seen, 1))[:, None]
-        p = np.exp(sharp - sharp.max(axis=1, keepdims=True))
-        p = p[np.arange(n), best] / p.sum(axis=1)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], np.where(seen > 0, p, 0.0)
+    """All words and n-grams with their scores (name, c1, c2, n, s), and the broadcast part of each."""
+
+    def __init__(self, langs: list[str], words: DataFrame | None = None, grams: DataFrame | None = None):
+        self.langs, self.words, self.grams = langs, words, grams
+        self.hot = [Table(_most(x, bound), len(langs)) for x, bound in ((words, MAX_WORDS), (grams, MAX_GRAMS))] if langs else []
+
+
+def word_parts(texts: pa.Array, hot: Table) -> tuple[np.ndarray, np.ndarray, list[list[tuple[str, int]]]]:
+    """Of each text: the sums of its words in hot, its number of words, and its other words with their counts."""
+    codes, rows, words = words_of(texts)
+    n, k, at = len(texts), hot.scores.shape[1], hot.find(words)
+    seen, sums = np.bincount(rows, minlength=n), np.zeros((n, k), np.int64)
+    found = at[codes]
+    for j in range(k if (found >= 0).any() else 0):
+        # Whole numbers below 2^53, so that floats are exact.
+        sums[:, j] = np.bincount(rows[found >= 0], weights=hot.scores[found[found >= 0], j], minlength=n)
+    both, times = np.unique(rows[found < 0].astype(np.int64) * (len(words) + 1) + codes[found < 0], return_counts=True)
+    cold: list[list[tuple[str, int]]] = [[] for _ in range(n)]
+    for x, m in zip(both.tolist(), times.tolist(), strict=True):
+        cold[x // (len(words) + 1)].append((words[x % (len(words) + 1)], m))
+    return sums, seen, cold
+
+
+def gram_parts(word: str, hot: Table) -> Iterator[tuple[int, np.ndarray, int, list[tuple[str, int]]]]:
+    """Of each size from LONGEST down to the first with an n-gram in hot: the size, sums and number of those in hot, and the others."""
+    for size in range(LONGEST, 0, -1):
+        mine = Counter(grams(word, size))
+        known = {hot.at[g]: m for g, m in mine.items() if g in hot.at}
+        sums = np.array(list(known.values()), np.int64) @ hot.scores[list(known)] if known else np.zeros(hot.scores.shape[1], np.int64)
+        yield size, sums, sum(known.values()), [(g, m) for g, m in mine.items() if g not in hot.at]
+        if known:
+            return
+
+
+_PARTS = "sums array<long>, seen long, cold array<struct<name: string, n: long>>"
+_COLD = pa.list_(pa.struct([("name", pa.string()), ("n", pa.int64())]))
+
+
+def _cold(lists: list[list[tuple[str, int]]]) -> pa.Array:
+    flat = [x for mine in lists for x in mine]
+    items = pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([m for _, m in flat], pa.int64())], fields=list(_COLD.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), items, type=_COLD)
+
+
+def _added(parts: DataFrame, keys: list[str], scores: DataFrame, k: int, count: bool) -> DataFrame:
+    """keys, sums, seen and copies of parts, with the scores (c1, c2, s) of their cold names added; seen counts these if asked."""
+    cold = parts.select(*keys, F.explode("cold").alias("x")).select(*keys, *_code(F.col("x.name")), "x.n")
+    more = cold.join(scores.select("c1", "c2", "s"), ["c1", "c2"])
+    more = more.select(*keys, F.transform("s", lambda x: x * F.col("n")).alias("sums"), (F.col("n") if count else F.lit(0).cast("long")).alias("seen"), F.lit(0).alias("copies"))
+    rows = parts.select(*keys, "sums", "seen", F.lit(1).alias("copies")).unionByName(more)
+    sums = F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(k)])
+    return rows.groupBy(*keys).agg(sums.alias("sums"), F.sum("seen").alias("seen"), F.sum("copies").alias("copies"))
+
+
+def _unseen(names: DataFrame, model: Model) -> DataFrame:
+    """c1, c2, s of names (name, c1, c2) by their n-grams; those without any known n-gram are left out."""
+    shared, k = names.sparkSession.sparkContext.broadcast(model.hot[1]), len(model.langs)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, 200_000):
+                rows = [(i, *x) for i, word in enumerate(part.column(0).to_pylist()) for x in gram_parts(word, shared.value)]
+                at, size, sums, seen, cold = zip(*rows, strict=True)
+                own = [part.column(c).take(pa.array(at)) for c in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int32()), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["w1", "w2", "size", "sums", "seen", "cold"])
+
+    found = _written(names.mapInArrow(parts, f"w1 long, w2 long, size int, {_PARTS}"))
+    found = _added(found, ["w1", "w2", "size"], model.grams, k, True).filter("seen > 0")
+    best = found.groupBy("w1", "w2").agg(F.max(F.struct("size", "sums", "seen")).alias("x"))
+    best = best.select("w1", "w2", "x.size", F.transform("x.sums", lambda x: x / F.col("x.seen")).alias("mean"))
+    cost = (F.lit(LONGEST) - F.col("size")) * STEP * UNIT
+    return best.select(F.col("w1").alias("c1"), F.col("w2").alias("c2"), F.transform("mean", lambda x: F.round(x - F.array_max("mean") - cost).cast("long")).alias("s"))
+
+
+def verdicts(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """t1, t2 (of _text_key()), lang_pred and score of the distinct texts of df."""
+    shared, k = df.sparkSession.sparkContext.broadcast(model.hot[0]), len(model.langs)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                sums, seen, cold = word_parts(part.column(2), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["t1", "t2", "sums", "seen", "cold"])
+
+    texts = df.select(*_text_key(text_col), F.col(text_col).cast("string").alias("text"))
+    found = _written(texts.mapInArrow(parts, f"t1 long, t2 long, {_PARTS}"))
+    cold = found.select(F.explode("cold").alias("x")).select(F.col("x.name").alias("name"), *_code(F.col("x.name")))
+    names = cold.groupBy("c1", "c2").agg(F.first("name").alias("name")).select("name", "c1", "c2")
+    new = names.join(model.words, ["c1", "c2"], "left_anti").select("name", "c1", "c2")
+    scores = model.words.select("c1", "c2", "s").unionByName(_unseen(new, model))
+    found = _added(found, ["t1", "t2"], scores, k, False)
+    # Equal texts were added up; their sums are copies of one another.
+    one = found.select("t1", "t2", F.transform("sums", lambda x: x / F.col("copies") / UNIT).alias("sums"), (F.col("seen") / F.col("copies")).alias("seen"))
+    return one.select("t1", "t2", *_told(F.col("sums"), F.col("seen"), model.langs))
+
+
+def _text_key(text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _told(sums: Column, n: Column, langs: list[str]) -> list[Column]:
+    """Language and confidence (posterior at most, tempered by the number of words)."""
+    best = F.array_max(sums)
+    lang = F.get(F.array(*[F.lit(x) for x in langs]), F.array_position(sums, best).cast("int") - 1)
+    # Words of one text aren't independent: beyond 20 they sharpen the posterior no further.
+    odds = F.aggregate(sums, F.lit(0.0), lambda s, x: s + F.exp((x - best) * F.least(n, F.lit(20)) / n))
+    return [F.when(n > 0, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(n > 0, 1 / odds).otherwise(0.0).alias("score")]
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -143,18 +225,30 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     try:
         totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         langs = sorted(totals)
+        if not langs:
+            return Model([])
         parts = words.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-        sizes = parts.groupBy("lang", F.length("gram").alias("size")).agg(F.sum("n").alias("n"))
+        size = F.when(F.length("gram") > 1, F.length("gram")).otherwise(1)
+        sizes = parts.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"))
         gram_totals = {(r["lang"], r["size"]): r["n"] for r in sizes.collect()}
-        return Model(langs, _most(words, "word", MAX_WORDS), _most(parts, "gram", MAX_GRAMS), totals, gram_totals)
+        of_words = [F.lit(totals[x]) for x in langs]
+        of_grams = [F.get(F.array(*[F.lit(gram_totals.get((x, n), 0)) for n in range(1, LONGEST + 1)]), F.length("name") - 1) for x in langs]
+        return Model(langs, _scored(words, "word", langs, of_words), _scored(parts, "gram", langs, of_grams))
     finally:
         words.unpersist()
         if parts is not None:
             parts.unpersist()
 
 
-def _most(rows: DataFrame, name: str, bound: int) -> pd.DataFrame:
-    """The counts of the most frequent names: all above the least count that leaves ``bound`` rows at most.
+def _scored(rows: DataFrame, name: str, langs: list[str], totals: list[Column]) -> DataFrame:
+    """name, c1, c2, n and s of rows (name, lang, n): the true count in every language, as log frequencies in units."""
+    found = rows.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+    s = [F.round((F.ln(F.col(f"n{i}") + 0.5) - F.ln(t + F.lit(1.0))) * UNIT).cast("long") for i, t in enumerate(totals)]
+    return _written(found.select("name", *_code(F.col("name")), "n", F.array(*s).alias("s")))
+
+
+def _most(rows: DataFrame, bound: int) -> pa.Table:
+    """name and s of the most frequent names: all above the least count that leaves ``bound`` rows at most.
 
     The count is found from a histogram of counts, whose classes are logarithmic above ``bound``, so the
     driver gets a bounded number of rows however many tasks there are.
@@ -167,7 +261,7 @@ def _most(rows: DataFrame, name: str, bound: int) -> pd.DataFrame:
         if taken > bound:
             break
         least = n
-    return rows.filter(top >= least).select(name, "lang", "n").toArrow().to_pandas().sort_values([name, "lang"], ignore_index=True)
+    return rows.filter(top >= least).select("name", "s").toArrow()
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,44 +270,49 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text that is null or has no letters gets ``und`` and 0; so does every text if the model knows no
     language. Equal texts get equal results; of languages with equal sums the first by name wins.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                langs, p = m.score(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(p, pa.float64())], ["id", "text", "lang_pred", "score"])
-
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    id_type = rows.schema[0].dataType.simpleString()
-    found = rows.mapInArrow(score, f"id {id_type}, text string, lang_pred string, score double")
-    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "lang_pred", "score")
+    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    if not model.langs:
+        return rows.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = rows.withColumns(dict(zip(("t1", "t2"), _text_key(text_col), strict=True))).join(verdicts(df, model, text_col), ["t1", "t2"])
+    return found.select(id_col, text_col, "lang_pred", "score")
 
 
 def predicted(model: Model, spark: SparkSession, text_col: str = "text") -> Column:
-    """Column of structs (lang_pred, score) for a text column, as identify() gives them."""
-    shared = spark.sparkContext.broadcast(model)
+    """Column of structs (lang_pred, score) for a text column, as identify() gives them.
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        parts = [shared.value.score(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0)]
-        return pd.DataFrame({"lang_pred": [x for langs, _ in parts for x in langs], "score": np.concatenate([p for _, p in parts]) if parts else np.zeros(0)})
+    A column can't be joined, so here the whole model is broadcast: for small models only.
+    """
+    langs = model.langs
+    shared = spark.sparkContext.broadcast([Table(x.select("name", "s").toArrow(), len(langs)) for x in (model.words, model.grams)] if langs else None)
 
-    return predict(F.col(text_col).cast("string"))
+    @F.pandas_udf("sums array<double>, seen double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        words, parts = shared.value
+        out = []
+        for batch in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
+            sums, seen, cold = word_parts(batch.column(0), words)
+            for row, mine in enumerate(cold):
+                for word, m in mine:
+                    *_, (size, own, count, _) = gram_parts(word, parts)
+                    if count:
+                        mean = own / count
+                        sums[row] += m * np.floor(mean - mean.max() - (LONGEST - size) * STEP * UNIT + 0.5).astype(np.int64)
+            out += [(list(x / UNIT), float(n)) for x, n in zip(sums, seen, strict=True)]
+        return pd.DataFrame(out, columns=["sums", "seen"])
+
+    if not langs:
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    parts = predict(F.col(text_col).cast("string"))
+    return F.transform(F.array(parts), lambda x: F.struct(*_told(x.sums, x.seen, langs)))[0]
 
 
 def told(df: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of df whose language is told with a score of at least ``least``; all columns as they are."""
-    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at, 2_000_000):
-                langs, p = shared.value.score(part.column(at))
-                yield part.filter(pa.array([x != UNKNOWN and y >= least for x, y in zip(langs, p, strict=True)], pa.bool_()))
-
-    return df.mapInArrow(keep, df.schema)
+    if not model.langs:
+        return df.limit(0)
+    kept = verdicts(df, model, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("t1", "t2")
+    rows = df.withColumns(dict(zip(("t1", "t2"), _text_key(text_col), strict=True)))
+    return rows.join(kept, ["t1", "t2"], "left_semi").select(*df.columns)
 
 
 def held_out(id_col: str = "doc_id"):

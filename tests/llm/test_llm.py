@@ -251,3 +251,24 @@ def test_quality(spark, docs, none):
     assert np.mean([r.keep == (r.doc_id < 500) for r in held]) > 0.97
     assert quality.score(docs, model).count() == len(TEXTS)
     assert quality.score(docs, quality.fit(none, labels)).count() == len(TEXTS)
+
+
+def test_language_counts_are_whole(spark, monkeypatch):
+    """A broadcast of few words and n-grams changes no score: the others are joined."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "and", "thing", "wish"]) for _ in range(40)), "en") for i in range(40)]
+    rows += [(100, "zirna kolp zirna", "xx"), (101, "日本語" * 40, "ja"), (102, "zirna and thing", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tests = spark.createDataFrame([(1, "zirna kolp"), (2, "kolpa"), (3, "the wishing zirna kolps"), (4, "日本"), (5, "日本語" * 40), (6, "zirna kolp"), (7, "ß"), (8, None)], "doc_id long, text string")
+    got = []
+    for words, parts in ((2, 2), (100_000, 100_000)):
+        monkeypatch.setattr(langid, "MAX_WORDS", words)
+        monkeypatch.setattr(langid, "MAX_GRAMS", parts)
+        model = langid.fit(df)
+        got.append({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(tests, model).collect()})
+    assert got[0] == got[1] and len(got[0]) == 8
+    assert [got[0][i][0] for i in (1, 2, 5)] == ["xx", "xx", "ja"] and got[0][1] == got[0][6] and got[0][8] == ("und", 0.0)
+    column = tests.select("doc_id", langid.predicted(model, spark).alias("p")).select("doc_id", "p.*")
+    assert {r.doc_id: r.lang_pred for r in column.collect()} == {k: x for k, (x, _) in got[0].items()}
+    told = {r.doc_id for r in langid.told(tests, model, 0.4).collect()}
+    assert told == {k for k, (x, p) in got[0].items() if x != "und" and p >= 0.4}
