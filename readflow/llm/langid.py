@@ -30,6 +30,8 @@ NOT_WORD = r"[^\pL\pM]+"
 LONGEST = 4
 #: Words and n-grams that are broadcast; the others are joined.
 MAX_WORDS, MAX_GRAMS = 100_000, 100_000
+#: Distinct n-grams of a language that a task counts before it hands them on.
+MOST_COUNTED = 200_000
 #: Log cost of each step to shorter n-grams, and the weight of words that fall back.
 STEP = 0.4
 UNKNOWN = "und"
@@ -49,12 +51,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, rows, words
 
 
-def grams(word: str, n: int) -> list[str]:
-    """n-grams of a word with its ends marked (single letters without)."""
-    if n == 1:
-        return list(word)
-    marked = f"^{word}$"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+def grams(word: str, n: int) -> Iterator[str]:
+    """n-grams of a whole word with its ends marked (single letters without)."""
+    marked = word if n == 1 else f"^{word}$"
+    return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +75,11 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True):
             mine = found[lang]
             for size in range(1, LONGEST + 1):
-                for g in grams(word[:64], size):
+                for g in grams(word, size):
                     mine[g] += n
+            if len(mine) > MOST_COUNTED:
+                yield pd.DataFrame({"lang": lang, "gram": list(mine), "n": list(mine.values())})
+                del found[lang]
         for lang, mine in found.items():
             yield pd.DataFrame({"lang": lang, "gram": list(mine), "n": list(mine.values())})
 

@@ -272,3 +272,15 @@ def test_language_counts_are_whole(spark, monkeypatch):
     assert {r.doc_id: r.lang_pred for r in column.collect()} == {k: x for k, (x, _) in got[0].items()}
     told = {r.doc_id for r in langid.told(tests, model, 0.4).collect()}
     assert told == {k for k, (x, p) in got[0].items() if x != "und" and p >= 0.4}
+
+
+def test_ngrams_of_whole_words(spark):
+    """In scripts without spaces a word is a clause: what follows its 64th letter counts too."""
+    rows = [(1, "あ" * 70 + "漢字仮名", "ja"), (2, "い" * 70 + "文章", "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"漢字仮", "字仮名$", "漢"} <= {r.name for r in model.grams.collect()}
+    tests = spark.createDataFrame([(1, "漢字仮名漢"), (2, "文章文")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(tests, model).collect()} == {1: "ja", 2: "zz"}
+    parts = next(langid._count_grams(iter([langid.pd.DataFrame({"lang": ["ja"], "word": ["あ" * 70 + "漢"], "n": [3]})])))
+    counts = dict(zip(parts["gram"], parts["n"], strict=True))
+    assert counts["あ"] == 210 and counts["漢$"] == 3 and "あ$" not in counts
