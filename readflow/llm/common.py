@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written as Parquet into the shared folder."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Has Spark hand Python at most ``rows`` rows at once, unless the session says otherwise itself.
 

@@ -12,7 +12,6 @@ joined to the tables. Where a word is looked up doesn't change its score. Scores
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoints, slices
+from .common import slices, stored
 
 #: Runs of letters and marks are words; RE2 syntax.
 NOT_WORD = r"[^\pL\pM]+"
@@ -89,15 +88,6 @@ def _code(name: Column) -> list[Column]:
     return [F.xxhash64(name).alias("c1"), F.xxhash64(F.lit(1), name).alias("c2")]
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet into the shared folder."""
-    spark = df.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/langid-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Table:
     """Scores of names in every language, in units; for a broadcast."""
 
@@ -176,7 +166,7 @@ def _unseen(names: DataFrame, model: Model) -> DataFrame:
                 own = [part.column(c).take(pa.array(at)) for c in (1, 2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int32()), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["w1", "w2", "size", "sums", "seen", "cold"])
 
-    found = _written(names.mapInArrow(parts, f"w1 long, w2 long, size int, {_PARTS}"))
+    found = stored(names.mapInArrow(parts, f"w1 long, w2 long, size int, {_PARTS}"))
     found = _added(found, ["w1", "w2", "size"], model.grams, k, True).filter("seen > 0")
     best = found.groupBy("w1", "w2").agg(F.max(F.struct("size", "sums", "seen")).alias("x"))
     best = best.select("w1", "w2", "x.size", F.transform("x.sums", lambda x: x / F.col("x.seen")).alias("mean"))
@@ -195,7 +185,7 @@ def verdicts(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["t1", "t2", "sums", "seen", "cold"])
 
     texts = df.select(*_text_key(text_col), F.col(text_col).cast("string").alias("text"))
-    found = _written(texts.mapInArrow(parts, f"t1 long, t2 long, {_PARTS}"))
+    found = stored(texts.mapInArrow(parts, f"t1 long, t2 long, {_PARTS}"))
     cold = found.select(F.explode("cold").alias("x")).select(F.col("x.name").alias("name"), *_code(F.col("x.name")))
     names = cold.groupBy("c1", "c2").agg(F.first("name").alias("name")).select("name", "c1", "c2")
     new = names.join(model.words, ["c1", "c2"], "left_anti").select("name", "c1", "c2")
@@ -247,7 +237,7 @@ def _scored(rows: DataFrame, name: str, langs: list[str], totals: list[Column])
     """name, c1, c2, n and s of rows (name, lang, n): the true count in every language, as log frequencies in units."""
     found = rows.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
     s = [F.round((F.ln(F.col(f"n{i}") + 0.5) - F.ln(t + F.lit(1.0))) * UNIT).cast("long") for i, t in enumerate(totals)]
-    return _written(found.select("name", *_code(F.col("name")), "n", F.array(*s).alias("s")))
+    return stored(found.select("name", *_code(F.col("name")), "n", F.array(*s).alias("s")))
 
 
 def _most(rows: DataFrame, bound: int) -> pa.Table:

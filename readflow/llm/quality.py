@@ -1,12 +1,12 @@
 """Document quality by co-training two naive Bayes views: the words of the text, and the page's metadata.
 
-Both views learn from the labelled documents. In each round either view labels the pool documents of
+Both views learn from the labelled documents. In each round either view labels the other documents of
 which it is surest, some of each class, and both learn from them. Each view's log odds are calibrated by
 a logistic curve on labelled documents; the mean of the calibrated log odds scores a document.
 
-The classifiers are fitted on bounded samples, MAX_LABELLED labelled and MAX_POOL other documents, taken
-by the hash of their id. Words of the sample's features are counted whole, and every document is scored,
-in one pass without a shuffle.
+The labelled documents are a bounded sample, MAX_LABELLED by the hash of their id. The rounds run in Spark
+over all documents without a label, whose features are computed once: one pass tells the histogram of each
+view's odds, one counts the features of those that are chosen. The driver holds tables of a fixed size.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, word_codes
+from .common import mixed, slices, stored, word_codes
 
-MAX_LABELLED, MAX_POOL = 10_000, 10_000
+MAX_LABELLED = 10_000
 BUCKETS, SHAPES = 1 << 17, 1 << 12
 META = 4_096
 ROUNDS, GROWTH = 4, 0.05
+#: Classes of odds per unit in the histograms.
+FINE = 4_096
 COLUMNS = ["text", "source", "lang"]
 
 
@@ -120,34 +122,122 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*logits, (logits[0] + logits[1]) / 2))
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, growth: float = GROWTH) -> Model:
-    """labels: 0 or 1, or -1 for pool documents. In each round a view labels ``growth`` of the pool at most."""
+def lists_odds(w: tuple[np.ndarray, np.ndarray], words: pa.Array, meta: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Features (row, bucket) of each view, from binary columns of 32-bit buckets, and the odds of the rows as of mean_odds()."""
+    flat = []
+    for x in (words, meta):
+        n = pc.binary_length(x).to_numpy(zero_copy_only=False) // 4
+        buckets = np.frombuffer(b"".join(x.to_pylist()), np.int32)
+        flat.append((np.repeat(np.arange(len(x)), n), buckets))
+    odds = [np.zeros(len(words)), np.zeros(len(words))]
+    for i, (row, bucket) in enumerate(flat):
+        for part in ((bucket < BUCKETS), (bucket >= BUCKETS)):
+            n = np.bincount(row[part], minlength=len(words))
+            odds[i] += np.bincount(row[part], weights=w[i][bucket[part]], minlength=len(words)) / np.maximum(n, 1)
+    return flat, odds
+
+
+class Choice:
+    """The weights of both views at a round, and how far each of them labels: (class of odds, share of that class) at either end."""
+
+    def __init__(self, weights: tuple[np.ndarray, np.ndarray], turn: int, ends: list[tuple[tuple[int, float], tuple[int, float]]] | None = None):
+        self.weights, self.turn, self.ends = weights, turn, ends
+
+    def labels(self, odds: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """0, 1, or -1 for rows that neither view is sure of; where both are, the metadata decide. Each round draws its own shares."""
+        share = (mixed(h ^ np.uint64(self.turn)) >> np.uint64(11)) * 0.5**53
+        y = np.full(len(h), -1)
+        for x, ((low, below), (high, above)) in zip(odds, self.ends, strict=True):
+            at = _fine(x)
+            y[(x < 0) & ((at < low) | ((at == low) & (share < below)))] = 0
+            y[(x > 0) & ((at > high) | ((at == high) & (share < above)))] = 1
+        return y
+
+
+def _fine(odds: np.ndarray) -> np.ndarray:
+    return np.floor(odds * FINE).astype(np.int64)
+
+
+def _end(at: np.ndarray, n: np.ndarray, wanted: int) -> tuple[int, float]:
+    """Of classes in order: the one in which the first ``wanted`` rows end, and the share of its rows among them."""
+    total = np.cumsum(n)
+    i = min(int(np.searchsorted(total, wanted)), len(at) - 1)
+    return int(at[i]), float(min(1.0, (wanted - (total[i] - n[i])) / n[i]))
+
+
+def _passed(pool: DataFrame, rounds: list[Choice], counted: bool) -> dict[str, np.ndarray]:
+    """Columns kind, at, n over the pool rows that no earlier round chose.
+
+    Without ``counted``, n rows are in class ``at`` of the odds of view ``kind`` by the last round's weights. With it,
+    n rows that the last round gives the class kind % 2 have the feature ``at`` of view kind // 2; kind 4 + class counts the rows.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast(rounds)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *before, now = shared.value
+        sums = [np.zeros(BUCKETS + SHAPES, np.int64) if k < 2 else np.zeros(META, np.int64) for k in range(4)] + [np.zeros(1, np.int64)] * 2
+        found: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for part in slices(batch, 0):
+                words, meta, h = part.column(0), part.column(1), part.column(2).to_numpy().view(np.uint64)
+                free = np.ones(len(h), bool)
+                for r in before:
+                    free &= r.labels(lists_odds(r.weights, words, meta)[1], h) < 0
+                flat, odds = lists_odds(now.weights, words, meta)
+                if not counted:
+                    for k, x in enumerate(odds):
+                        for at, n in zip(*np.unique(_fine(x[free]), return_counts=True), strict=True):
+                            found[k, int(at)] = found.get((k, int(at)), 0) + int(n)
+                    continue
+                y = np.where(free, now.labels(odds, h), -1)
+                for c in (0, 1):
+                    sums[4 + c] = sums[4 + c] + np.sum(y == c)
+                    for k, (row, bucket) in enumerate(flat):
+                        sums[2 * k + c] += np.bincount(bucket[y[row] == c], minlength=len(sums[2 * k + c]))
+        kinds = [(k, i, int(x[i])) for k, x in enumerate(sums) for i in np.flatnonzero(x).tolist()] if counted else [(k, at, n) for (k, at), n in found.items()]
+        if kinds:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kinds, strict=True)], ["kind", "at", "n"])
+
+    rows = pool.mapInArrow(each, "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).orderBy("kind", "at").toArrow()
+    return {c: rows[c].to_numpy() for c in ("kind", "at", "n")}
+
+
+def co_train(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS, growth: float = GROWTH) -> Model:
+    """From the labelled rows' features and labels (0 or 1), and all others' (words, meta, h; h is a hash of the id).
+
+    In each round a view labels about ``growth`` of the pool at most.
+    """
     views = (Bayes(BUCKETS + SHAPES), Bayes(META))
     rows = (text, meta)
-    known = np.flatnonzero(labels >= 0)
     for view, r in zip(views, rows, strict=True):
-        view.learn([r[i] for i in known], labels[known])
-    pool = np.flatnonzero(labels < 0)
-    good = float(np.mean(labels[known])) if len(known) else 0.5
-    each = max(1, int(growth * len(pool)))
-    for _ in range(rounds if len(known) and 0 < good < 1 else 0):
-        chosen: dict[int, int] = {}
-        for view, r in zip(views, rows, strict=True):
-            if not len(pool):
-                break
-            odds = view.odds([r[i] for i in pool])
-            order = np.argsort(odds, kind="stable")
+        view.learn(r, labels)
+    good = float(np.mean(labels)) if len(labels) else 0.5
+    past: list[Choice] = []
+    size = 0
+    for turn in range(rounds if pool is not None else 0):
+        past.append(Choice(tuple(view.weights() for view in views), turn))
+        sizes = _passed(pool, past, False)
+        size = size or int(sizes["n"][sizes["kind"] == 0].sum())
+        if not len(sizes["n"]):
+            break
+        each = max(1, int(growth * size))
+        ends = []
+        for k in (0, 1):
+            at, n = (sizes[c][sizes["kind"] == k] for c in ("at", "n"))
             # As many of each class as the labelled documents suggest, and only on the right side of 0.
-            low, high = order[: max(1, int(each * (1 - good)))], order[::-1][: max(1, int(each * good))]
-            chosen |= {int(pool[i]): 0 for i in low if odds[i] < 0} | {int(pool[i]): 1 for i in high if odds[i] > 0}
-        if not chosen:
+            ends.append((_end(at, n, max(1, int(each * (1 - good)))), _end(at[::-1], n[::-1], max(1, int(each * good)))))
+        past[-1].ends = ends
+        found = _passed(pool, past, True)
+        if not len(found["n"]):
             break
-        at, y = np.array(list(chosen)), np.array(list(chosen.values()))
-        for view, r in zip(views, rows, strict=True):
-            view.learn([r[i] for i in at], y)
-        pool = np.setdiff1d(pool, at)
-    y = labels[known].astype(float)
-    curves = tuple(calibrate(view.odds([r[i] for i in known]), y) if len(known) else (0.0, 0.0) for view, r in zip(views, rows, strict=True))
+        for k, at, n in zip(found["kind"], found["at"], found["n"], strict=True):
+            if k < 4:
+                views[k // 2].counts[k % 2, at] += n
+            else:
+                for view in views:
+                    view.docs[k - 4] += n
+    y = labels.astype(float)
+    curves = tuple(calibrate(view.odds(r), y) if len(y) else (0.0, 0.0) for view, r in zip(views, rows, strict=True))
     return Model(*views, curves)
 
 
@@ -155,39 +245,40 @@ def _inputs(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string") for c in COLUMNS])
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """A model from df (id_col, text, source, lang) and labels (id_col, label_col: above 0 is good).
 
     Null labels count for nothing; of several labels the best counts. Without labels of both classes every score is near
-    the labelled share.
+    the labelled share. Labelled documents beyond max_labelled are left out; all others with an id are the pool.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     ids = df.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
     order = F.xxhash64(F.col("id").cast("string"))
-    taken = known.join(ids, "id", "left_semi").orderBy(order, "id").limit(max_labelled)
-    others = ids.join(known, "id", "left_anti").orderBy(order, "id").limit(max_pool).withColumn("y", F.lit(-1))
-    sample = taken.unionByName(others)  # max_labelled + max_pool rows at most
-    rows = _inputs(df, id_col).join(F.broadcast(sample), "id")
+    taken = known.join(ids, "id", "left_semi").orderBy(order, "id").limit(max_labelled)  # so many rows at most
+    inputs = _inputs(df, id_col).filter("id is not null")
+    found = _features(inputs.join(F.broadcast(taken), "id")).toArrow()
+    at = np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")
+    words, meta = ([np.frombuffer(x, np.int32) for x in found[c].to_pylist()] for c in ("words", "meta"))
+    y = found["y"].to_numpy()
+    pool = None
+    if 0 < np.sum(y) < len(y):
+        rest = _features(inputs.withColumn("y", F.lit(-1))).join(known.select("id"), "id", "left_anti")
+        pool = stored(rest.select("words", "meta", order.alias("h")))
+    return co_train([words[i] for i in at], [meta[i] for i in at], y[at], pool)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """id, y, words and meta (32-bit buckets, as binary) of rows (id, text, source, lang, y)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 cols = [part.column(i) for i in range(1, 4)]
                 words, meta = text_features(cols[0]), meta_features(*cols)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array([x.astype(np.int32) for x in words], pa.list_(pa.int32())), pa.array(list(meta.astype(np.int32)), pa.list_(pa.int32()))], ["id", "y", "words", "meta"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), *[pa.array([x.astype(np.int32).tobytes() for x in v], pa.binary()) for v in (words, meta)]], ["id", "y", "words", "meta"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(features, f"id {id_type}, y int, words array<int>, meta array<int>").toArrow()
-    at = np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")
-    words, meta = (_rows(found[c].combine_chunks()) for c in ("words", "meta"))
-    labelled = found["y"].to_numpy()
-    return co_train([words[i] for i in at], [meta[i] for i in at], labelled[at])
-
-
-def _rows(lists: pa.ListArray) -> list[np.ndarray]:
-    """Views of the rows of a list column, without Python numbers."""
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return rows.mapInArrow(features, f"id {id_type}, y int, words binary, meta binary")
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:

@@ -284,3 +284,24 @@ def test_ngrams_of_whole_words(spark):
     parts = next(langid._count_grams(iter([langid.pd.DataFrame({"lang": ["ja"], "word": ["あ" * 70 + "漢"], "n": [3]})])))
     counts = dict(zip(parts["gram"], parts["n"], strict=True))
     assert counts["あ"] == 210 and counts["漢$"] == 3 and "あ$" not in counts
+
+
+def test_quality_learns_from_all_others(spark, monkeypatch):
+    """Every document without a label is in the pool, so that a rare source's words are learned too."""
+    rows = [(i, f"fine{i % 7} words", "en", "s") for i in range(60)] + [(1000 + i, f"POOR{i % 7} stuff!!", "en", "t") for i in range(60)]
+    rows += [(5000 + i, f"fine{i % 7} words rarely", "en", "s") for i in range(300)] + [(9000 + i, f"POOR{i % 7} stuff!! seldom", "en", "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows if r[0] < 5000], "doc_id long, quality int")
+    sizes, real = [], quality._passed
+    monkeypatch.setattr(quality, "_passed", lambda pool, past, counted: sizes.append((counted, real(pool, past, counted))) or (sizes[-1][1]))
+    model = quality.fit(df, labels)
+    first = sizes[0][1]
+    assert first["n"][first["kind"] == 0].sum() == 600
+    chosen = [int(x["n"][x["kind"] >= 4].sum()) for counted, x in sizes if counted]
+    left = [int(x["n"][x["kind"] == 0].sum()) for counted, x in sizes if not counted]
+    assert len(chosen) == quality.ROUNDS and all(0 < n <= 2 * quality.GROWTH * 600 * 2 for n in chosen)
+    assert left == [600 - sum(chosen[:i]) for i in range(quality.ROUNDS)]
+    at = quality._hash(np.array(["rarely", "seldom"], object), quality.BUCKETS)
+    assert model.text[at[0]] > 0 > model.text[at[1]]
+    flat, odds = quality.lists_odds((model.text, model.meta), quality.pa.array([np.array(sorted(at), np.int32).tobytes(), b""]), quality.pa.array([b"", b""], quality.pa.binary()))
+    assert np.allclose(odds[0], [quality.mean_odds(model.text, np.sort(at)), 0.0])
