@@ -44,7 +44,7 @@ def _rank(i: int) -> Column:
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys and the smallest rank of each position (s0, s1, ...), from rows (keys, term, w, total).
 
-    term is a 64-bit hash; terms has one row per key and term; w is above 0, total is the text's weight or somewhat more.
+    term is a 64-bit hash; terms has one row per key and term; w is above 0, total is the text's weight or less.
     """
     rows = terms.select(*keys, "term", F.ln("w").alias("log_w"), (F.col("w") * REACH / F.col("total")).alias("bound"))
     return rows.groupBy(*keys).agg(*[F.min(_rank(i)).alias(f"s{i}") for i in range(samples)])
@@ -56,8 +56,13 @@ def _mark(name: str) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal marks, the estimate of the generalised Jaccard similarity."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
+    """Share of equal marks, the estimate of the generalised Jaccard similarity.
+
+    A position without a sample on both sides counts as equal only if neither text has words.
+    """
+    empty = F.forall(a, lambda x: x == -1) & F.forall(b, lambda x: x == -1)
+    same = F.zip_with(a, b, lambda x, y: ((x == y) & (x != -1)).cast("int"))
+    return F.when(empty, 1.0).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a))
 
 
 def as_text(marks: Column) -> Column:
@@ -68,6 +73,11 @@ def _words(text: Column) -> Column:
     return F.split(text, GAP)
 
 
+def _weight(text: Column) -> Column:
+    """The total weight of a text's words: its characters without those of GAP."""
+    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """id_col and fingerprint (string) of every row of df.
 
@@ -75,7 +85,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and text count once and their result repeats; rows with one id and other texts are apart.
     """
     rows = keyed(df, id_col, text_col).groupBy("k", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    words = rows.select("k", "h", F.length("text").alias("total"), F.explode(_words("text")).alias("word"))
+    words = rows.select("k", "h", _weight(F.col("text")).alias("total"), F.explode(_words("text")).alias("word"))
     terms = words.groupBy("k", "h", "total", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).cast("double").alias("w")).filter("w > 0")
     found = signatures(terms, ["k", "h"], samples)
     marks = F.array(*[_mark(f"s{i}") for i in range(samples)])
@@ -130,7 +140,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(rest(F.substring("text", F.col("n") - F.floor(F.col("n") / 4).cast("int") + 1, F.col("n"))).alias("words"), F.lit(1).alias("w"), F.lit(0).alias("e")),
         F.struct(rest(F.col("gift")).alias("words"), F.lit(0).alias("w"), F.lit(1).alias("e")),
     )
-    total = F.least("n", F.length("edited")).alias("total")
+    own, other = _weight(F.col("text")), _weight(F.col("edited"))
+    total = F.when((own > 0) & (other > 0), F.least(own, other)).otherwise(F.greatest(own, other)).alias("total")
     words = both.select("k", "h", total, F.explode(runs).alias("run")).select("k", "h", "total", "run.w", "run.e", F.explode("run.words").alias("word"))
     words = words.select("k", "h", "total", F.xxhash64("word").alias("term"), *[(F.col(x) * F.length("word")).alias(x) for x in ("w", "e")])
     terms = words.groupBy("k", "h", "total", "term").agg(*[F.sum(x).cast("double").alias(x) for x in ("w", "e")])

@@ -305,3 +305,15 @@ def test_quality_learns_from_all_others(spark, monkeypatch):
     assert model.text[at[0]] > 0 > model.text[at[1]]
     flat, odds = quality.lists_odds((model.text, model.meta), quality.pa.array([np.array(sorted(at), np.int32).tobytes(), b""]), quality.pa.array([b"", b""], quality.pa.binary()))
     assert np.allclose(odds[0], [quality.mean_odds(model.text, np.sort(at)), 0.0])
+
+
+def test_fingerprints_of_padded_texts(spark):
+    """White space doesn't take samples away: at 2% of word characters every position has one."""
+    texts = [" ".join(f"{side}{i:02}x" + " " * 200 for i in range(30)) for side in "abcdefgh"] + [" " * 500, "\n\t" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
+    plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(df).collect()}
+    missing = lambda x: [x[i : i + 8] for i in range(0, len(x), 8)].count("ffffffff")
+    assert all(missing(rows[k].fingerprint) == missing(rows[k].edited_fingerprint) == 0 for k in range(8))
+    assert plain == {k: r.fingerprint for k, r in rows.items()}
+    assert all(rows[k].near_next == 0 for k in range(8)) and rows[8].near_next == 1.0 and rows[9].near_next == 0
