@@ -16,14 +16,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import text as T
 from ..operators import activity, crawl, segment
 
-_FIELDS = "unit int, status string, since long, played long, ja_cpm double, en_wpm double, a0 long, a1 long, a2 long, a3 long, finished_at long"
+_FIELDS = "unit int, status string, since long, played long, ja_cpm double, en_wpm double, a0 long, a1 long, a2 long, a3 long, finished_at long, last long"
 
 
 def reader_states(events: DataFrame, units: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 60 * 1000) -> DataFrame:
     """The state after every action (activity.STATE), by the fold that replay() uses.
 
     units: activity.unit_table(), a static table. It is joined per text as one array, so that the state of a
-    reader and text holds numbers only. A reader who stays silent for idle_ms is paused at the last action.
+    reader and text holds numbers only. A reader who stays silent for idle_ms is paused at the last action; the
+    state is kept, so that one who returns goes on from there.
     """
     packed = units.groupBy("text_hash").agg(F.collect_list(F.struct("unit_index", "sentence_index", "language", "characters", "pause_units")).alias("units"))
     rows = events.withWatermark("ts", lateness).join(packed, "text_hash").withColumn("ts_ms", F.unix_millis("ts"))
@@ -31,18 +32,22 @@ def reader_states(events: DataFrame, units: DataFrame, lateness: str = "10 minut
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            unit, status, since, played, *rest = state.get
+            if status == "playing":
+                status, since, played = "paused", -1, played + rest[-1] - since
+            state.update((unit, status, since, played, *rest))
             return
         pdf = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
         known = {int(u["unit_index"]): (u["sentence_index"], u["language"], int(u["characters"]), float(u["pause_units"])) for u in pdf["units"].iloc[0]}
-        reading = activity.Reading(len(known))
+        reading, last = activity.Reading(len(known)), int(pdf["ts_ms"].max())
         if state.exists:
             s = state.get
             reading.unit, reading.status, since, reading.played, reading.ja_cpm, reading.en_wpm = s[:6]
             reading.since, reading.amount, reading.finished_at = (None if since < 0 else since), list(s[6:10]), (None if s[10] < 0 else s[10])
+            last = max(last, s[11])
         out = list(activity.fold(pdf, known, reading))
-        state.update((reading.unit, reading.status, -1 if reading.since is None else reading.since, reading.played, reading.ja_cpm, reading.en_wpm, *reading.amount, -1 if reading.finished_at is None else reading.finished_at))
-        state.setTimeoutTimestamp(max(int(pdf["ts_ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
+        state.update((reading.unit, reading.status, -1 if reading.since is None else reading.since, reading.played, reading.ja_cpm, reading.en_wpm, *reading.amount, -1 if reading.finished_at is None else reading.finished_at, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in activity.STATE.split(", ")])
 
     return rows.groupBy("reader", "text_hash").applyInPandasWithState(step, activity.STATE, _FIELDS, "append", GroupStateTimeout.EventTimeTimeout)

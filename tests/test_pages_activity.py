@@ -127,3 +127,25 @@ def test_summaries(spark):
     r = activity.week_and_all(activity.daily_totals(fin), F.lit(base)).first()
     assert (r.week_ja_characters, r.week_en_words, r.all_ja_characters, r.all_en_words) == (1800, 200, 8800, 210)
     assert pd.notna(r.all_played_ms)
+
+
+def test_readers_return(spark, tmp_path):
+    """A reader who was silent for long goes on at the unit and with the totals of before, paused."""
+    schema = "reader long, text_hash string, ts timestamp, seq long, action string, arg int"
+    units = spark.createDataFrame([("t", i, i // 2, "en", 1, 0.0) for i in range(9)], "text_hash string, unit_index int, sentence_index int, language string, characters int, pause_units double")
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    (tmp_path / "in").mkdir()
+    stream = streaming.reader_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), units)
+    q = stream.writeStream.format("memory").queryName("returns").option("checkpointLocation", str(tmp_path / "cp")).start()
+    parts = [
+        [(1, "t", at(0), 1, "play", 0), (1, "t", at(5), 2, "advance", 0), (1, "t", at(7), 3, "advance", 0)],
+        [(2, "t", at(10_000), 1, "play", 0)],
+        [(2, "t", at(10_001), 2, "pause", 0)],
+        [(1, "t", at(20_000), 4, "move", 1)],
+    ]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    last = spark.table("returns").filter("reader = 1").orderBy("seq").collect()[-1]
+    assert (last.status, last.unit_index, last.played_ms, last.en_words) == ("paused", 3, 7_000, 2)
