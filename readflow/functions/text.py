@@ -27,6 +27,8 @@ ABBREVIATIONS = ["mr.", "mrs.", "ms.", "dr.", "prof.", "st.", "vs.", "e.g.", "i.
 SENTENCE_END = r"""[.!?]+["'”’)\]]*\z"""
 OPENERS = r"""^["'“‘(\[]+"""
 COMMA_END = r"""[、，,;；:：]["'”’)\]」』）】〕］]*\z"""
+#: What follows a word that isn't the last of its paragraph.
+_ON = f"(?=[{SPACE}&&[^{BREAK}]]+[^{SPACE}])"
 # Marks of the Aozora Bunko text format.
 SYMBOL_HEADING, NOTE_START = "【テキスト中に現れる記号について】", "［＃"
 SOURCE_BOOK, CREDIT = "底本：", "インターネットの図書館、青空文庫"
@@ -68,6 +70,21 @@ def ends_with_comma(word: Column) -> Column:
     return word.rlike(COMMA_END)
 
 
+def english_counts(text: Column) -> dict[str, Column]:
+    """words and paragraphs of an English text, and of the words before a paragraph's last those that end a sentence (ends) or have a comma."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    # From the start of a word, so that a very long one is looked at once.
+    tail = lambda end: f"(?<![^{SPACE}])[^{SPACE}]*" + end.removesuffix(r"\z").replace("]+", "]") + _ON
+    short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
+    exempt = rf"(?i)(?<![^{SPACE}]){OPENERS[1:-1]}*(?:{short}){_ON}"
+    return {
+        "words": count(f"[^{SPACE}]+"),
+        "paragraphs": count(f"[^{SPACE}][^{BREAK}]*"),
+        "ends": count(tail(SENTENCE_END)) - count(exempt),
+        "commas": count(tail(COMMA_END)),
+    }
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, for offsets that come from or go to programs that count so."""
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")

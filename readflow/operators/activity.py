@@ -298,14 +298,31 @@ def weekly_verdict(days: DataFrame) -> DataFrame:
 
 
 def translator_states(events: DataFrame) -> DataFrame:
-    """reader, ts, seq, visible, ready after each translator event (reader, ts, seq, event).
+    """reader, ts, seq, status, visible, ready after each translator event (reader, ts, seq, event).
 
-    Events: available, unavailable, created, failed, toggle. A toggle shows or hides; only a created translator is ready.
+    Events: available, unavailable, created, failed, toggle. The first word on availability counts; before it, and if
+    it is unavailable, nothing has an effect. A toggle starts the making of a translator and shows the translation;
+    while it is being made, and when it is ready, a toggle shows or hides. Created and failed count only while it is
+    being made; a failure hides, and the next toggle starts anew.
     """
     order = W.partitionBy("reader").orderBy("ts", "seq")
-    ready = F.last(F.when(F.col("event") == "created", True).when(F.col("event").isin("failed", "unavailable"), False), ignorenulls=True).over(order)
-    shown = F.sum((F.col("event") == "toggle").cast("int")).over(order) % 2 == 1
-    return events.select("reader", "ts", "seq", shown.alias("visible"), F.coalesce(ready, F.lit(False)).alias("ready"))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    told = F.first(F.when(F.col("event").isin("available", "unavailable"), F.col("event")), ignorenulls=True).over(order)
+    rows = events.withColumn("_told", told)
+    rows = rows.withColumn("_kind", F.when((F.col("_told") == "available") & F.col("event").isin("toggle", "created", "failed"), F.col("event")))
+    # It is being made where a toggle came last; the first created of that kind ends all making.
+    rows = rows.withColumn("_making", F.coalesce(F.last("_kind", ignorenulls=True).over(before) == "toggle", F.lit(False)))
+    rows = rows.withColumn("_ready", F.coalesce(F.max((F.col("_kind") == "created") & F.col("_making")).over(order), F.lit(False)))
+    broke = F.coalesce((F.col("_kind") == "failed") & F.col("_making") & ~F.col("_ready"), F.lit(False))
+    ends = F.coalesce(F.col("_kind").isin("created", "failed") & ~F.col("_ready"), F.lit(False))
+    rows = rows.withColumns({"_failed": F.max(broke).over(order), "_epoch": F.sum(ends.cast("int")).over(order)})
+    toggles = F.sum(F.coalesce(F.col("_kind") == "toggle", F.lit(False)).cast("int")).over(W.partitionBy("reader", "_epoch").orderBy("ts", "seq"))
+    rows = rows.withColumn("_toggles", toggles)
+    status = (
+        F.when(F.col("_told").isNull(), "checking").when(F.col("_told") == "unavailable", "unavailable").when(F.col("_ready"), "ready")
+        .when(F.col("_toggles") > 0, "creating").when(F.col("_failed"), "failed").otherwise("available")
+    )
+    return rows.select("reader", "ts", "seq", status.alias("status"), (F.col("_toggles") % 2 == 1).alias("visible"), F.col("_ready").alias("ready"))
 
 
 def to_translate(shown: DataFrame, units: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.urls import bound
 
 # Longest proposed unit, what can't start one, and the work budget of a document.
 LONGEST_UNIT = 30
 CANT_START = r"\A[。．！？!?、，,;；:：」』）)】〕］\]”’]"
 MOST_PARAGRAPHS, MOST_CHARACTERS, MOST_IN_ALL = 30, 1_000, 20_000
+#: Numbers that running() adds up at a time.
+BLOCK = 128
 
 
 def valid(lists: Column) -> Column:
@@ -19,10 +22,22 @@ def valid(lists: Column) -> Column:
     return lists.isNotNull() & F.forall(lists, lambda a: a.isNull() | rising(a))
 
 
+def running(numbers: Column) -> Column:
+    """Running sums of an array: those of blocks first, so that a long array isn't added up anew for each place."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def places(x: Column) -> Column:
+        block = lambda i: F.floor(i / BLOCK).cast("int")
+        return F.transform(x["n"], lambda _, i: F.get(x["before"], block(i)) + total(F.slice(x["n"], block(i) * BLOCK + 1, i % BLOCK + 1)))
+
+    starts = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / BLOCK).cast("int")), lambda b: total(F.slice(n, 1, b * BLOCK)))
+    return bound(bound(numbers, lambda n: F.struct(n.alias("n"), starts(n).alias("before"))), places)
+
+
 def from_units(paragraph: Column, units: Column) -> Column:
     """Cut places that proposed units give (UTF-16), or null if they don't make up the paragraph."""
     fine = F.forall(units, lambda u: (T.trim(u) != "") & (F.length(T.trim(u)) <= LONGEST_UNIT) & ~u.rlike(CANT_START))
-    ends = F.transform(units, lambda _, i: T.utf16_length(F.array_join(F.slice(units, 1, i + 1), "")))
+    ends = running(F.transform(units, T.utf16_length))
     return F.when((F.size(units) > 0) & fine & (F.array_join(units, "") == paragraph), F.slice(ends, 1, F.size(units) - 1))
 
 

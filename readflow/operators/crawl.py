@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import urls
 from .shared import written
 
@@ -25,8 +26,8 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     """
     line = F.posexplode(F.split("robots_text", "\r\n|\r|\n")).alias("line", "raw")
     rows = files.select("host", line).withColumn("raw", F.regexp_replace("raw", "#.*", ""))
-    key = F.lower(F.trim(F.regexp_extract("raw", r"^([^:]*):", 1)))
-    value = F.trim(F.regexp_extract("raw", r"^[^:]*:(.*)$", 1))
+    key = F.lower(T.trim(F.regexp_extract("raw", r"^([^:]*):", 1)))
+    value = T.trim(F.regexp_extract("raw", r"^[^:]*:(.*)$", 1))
     rows = rows.select("host", "line", key.alias("key"), value.alias("value")).filter(F.col("key").isin("user-agent", "allow", "disallow"))
     order = W.partitionBy("host").orderBy("line")
     rows = rows.withColumn("opens", ((F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")).cast("int"))
@@ -61,18 +62,23 @@ def robots_state(log: DataFrame) -> DataFrame:
     return log.select("host", F.when(ok & why.isNull(), F.col("robots_text")).alias("robots_text"), why.alias("reason"))
 
 
-def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = None, most: int = MOST_HOPS) -> DataFrame:
+def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = None, most: int = MOST_HOPS, closed: DataFrame | None = None) -> DataFrame:
     """page_id, final_url, hops, reason: pages (page_id, url) after redirects (from_url, to_url), every hop checked.
 
-    A hop's relative target is resolved against its page. More than ``most`` hops make a page unavailable. Settled pages
+    A hop is checked by its URL, then by the state of its host's robots file (closed: host, reason, as of
+    robots_state()), then by the host's rules. A hop's relative target is resolved against its page. More than ``most`` hops make a page unavailable. Settled pages
     leave the join after each round; the rounds are a fixed few, and each is written to the shared folder.
     """
     known = written(redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url")))
+    rules = None if rules is None else written(rules)
+    closed = None if closed is None else written(closed.filter("reason is not null").select(F.col("host").alias("_host"), F.col("reason").alias("_closed")))
     open_ = pages.select("page_id", urls.canonical(F.col("url")).alias("at"), F.lit(0).alias("hops"))
     done = []
     for hop in range(most + 2):
         why = urls.reason(F.col("at"))
         rows = open_.withColumn("reason", F.when(F.lit(hop > most), "page-unavailable").otherwise(why))
+        if closed is not None:
+            rows = rows.join(closed, urls.host(F.col("at")) == F.col("_host"), "left").withColumn("reason", F.coalesce("reason", "_closed")).select("page_id", "at", "hops", "reason")
         if rules is not None:
             rows = rows.withColumns({"host": urls.host(F.col("at")), "path": urls.path(F.col("at"))})
             rows = allowed(rows, rules).withColumn("reason", F.coalesce("reason", F.when(~F.col("allowed"), "robots-disallowed"))).select("page_id", "at", "hops", "reason")
@@ -80,6 +86,8 @@ def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = Non
         ends = F.col("reason").isNotNull() | F.col("to_url").isNull()
         done.append(rows.filter(ends).select("page_id", F.col("at").alias("final_url"), "hops", "reason"))
         if hop <= most:
+            if rows.filter(~ends).isEmpty():
+                break
             open_ = rows.filter(~ends).select("page_id", urls.canonical(resolved(F.col("at"), F.col("to_url"))).alias("at"), (F.col("hops") + 1).alias("hops"))
     out = done[0]
     for x in done[1:]:
@@ -88,15 +96,34 @@ def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = Non
 
 
 def resolved(base: Column, target: Column) -> Column:
-    """A redirect's target against the page that sent it."""
+    """A redirect's target against the page that sent it; dot segments go, a fragment stays."""
     root = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"\A([^?#]*/)", 1)
-    return (
+    whole = (
         F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), target)
         .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.-]*:)", 1), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"\A([^?#]*)", 1), target))
+        .when((target == "") | target.startswith("#"), F.concat(F.regexp_extract(base, r"\A([^#]*)", 1), target))
         .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), target))
     )
+    return urls.bound(whole, _without_dots)
+
+
+def _without_dots(url: Column) -> Column:
+    """A URL with a host, with the segments . and .. of its path (also as escapes) carried out."""
+    root = F.regexp_extract(url, r"\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"(?s)\A[^?#]*(.*)\z", 1)
+    plain = lambda x: F.regexp_replace(x, "(?i)%2e", ".")
+    parts = F.slice(F.split(path, "/", -1), 2, F.length(path) + 1)
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(plain(x) == "..", up).when(plain(x) == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(plain(F.element_at(parts, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when((root != "") & plain(path).rlike(r"/\.\.?(/|\z)"), F.concat(root, F.lit("/"), F.array_join(F.concat(kept, folder), "/"), rest)).otherwise(url)
 
 
 def response_reason(status: Column, content_type: Column, size: Column) -> Column:

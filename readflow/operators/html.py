@@ -11,6 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from ..functions import text as T
 
@@ -107,6 +108,13 @@ def parsed_paragraphs(pages: DataFrame) -> DataFrame:
 
 
 def entities(text: Column) -> Column:
+    """Named and numeric entities as characters; texts that hold only the common ones skip Python."""
+    helper = F.pandas_udf(lambda x: x.map(lambda v: None if v is None else html.unescape(v)), "string", PandasUDFType.SCALAR)
+    rare = F.regexp_replace(text, r"&(nbsp|lt|gt|quot|#39|copy|middot|amp);", "").rlike("&(#|[A-Za-z])")
+    return F.when(rare, helper(F.when(rare, text))).otherwise(_common_entities(text))
+
+
+def _common_entities(text: Column) -> Column:
     """The named entities of plain pages; the ampersand last."""
     out = text
     for name, to in (("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
@@ -114,12 +122,6 @@ def entities(text: Column) -> Column:
     return out
 
 
-def unescaped(text: str) -> str:
-    """All named and numeric entities, leaving CDATA sections and comments alone."""
-    parts = re.split(r"(<!\[CDATA\[.*?\]\]>|<!--.*?-->)", text, flags=re.DOTALL)
-    return "".join(p if i % 2 else html.unescape(p) for i, p in enumerate(parts))
-
-
 def main_html(page: Column) -> Column:
     """The main content: the article, else the main element, else the body, without the page's frame."""
     inner = lambda tag: F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)

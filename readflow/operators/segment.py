@@ -55,7 +55,7 @@ def units(docs: DataFrame, chunker=japanese.default_chunker, extended_breaks: bo
         "text",
         (F.col("end") - F.length("text")).alias("start"),
         "end",
-        T.language(F.col("text")).alias("language"),
+        F.when(F.col("paragraph_language") == "en", "en").otherwise(T.language(F.col("text"))).alias("language"),
         "paragraph_language",
         pause.alias("pause"),
     )

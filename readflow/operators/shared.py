@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Makes sure that checkpoint() has a folder: the session's spark.checkpoint.dir, or in local mode a temporary one.
+
+    On a cluster a folder on one machine is of no use, so there the setting is required.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df checkpointed to the session's spark.checkpoint.dir; in local mode without one, to a temporary folder."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    """df, written to the shared folder and read from there on."""
+    shared_checkpoints(df.sparkSession)
     return df.checkpoint()

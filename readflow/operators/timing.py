@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import segment
 
 # Default speeds, their limits and steps, pauses in units, characters of a mean Japanese unit.
 JA_CPM, EN_WPM = 600.0, 300.0
 LIMITS = {"ja": (100.0, 3000.0, 50.0), "en": (50.0, 1500.0, 25.0)}
 PAUSES = {"none": 0.0, "comma": 0.5, "sentence": 1.0, "paragraph": 2.0}
 MEAN_UNIT = 5.0
+#: Scenarios that are put into the plan as literals; more of them are joined.
+MOST_LITERAL = 100
 
 
 def _number(x) -> Column:
@@ -80,22 +83,50 @@ def plan(units: DataFrame, ja_cpm=JA_CPM, en_wpm=EN_WPM) -> DataFrame:
     )
 
 
+def plan_documents(docs: DataFrame, ja_cpm=JA_CPM, en_wpm=EN_WPM, **options) -> DataFrame:
+    """plan() of the units of docs (doc_id, unique; text), without making the units of texts that have no Japanese.
+
+    A plan of English words needs numbers only: of words, paragraphs, sentences and commas. They are counted in the
+    text, without a shuffle. Japanese texts, and those given with options of segment.units(), go by way of their units.
+    """
+    if options:
+        return plan(segment.units(docs, **options), ja_cpm, en_wpm)
+    ja = F.coalesce(T.is_japanese(F.col("text")), F.lit(False))
+    n = {k: v.cast("long") for k, v in T.english_counts(F.col("text")).items()}
+    rows = docs.filter(~ja).select("doc_id", *[v.alias(k) for k, v in n.items()]).filter("words > 0")
+    ms = lambda pause: display_ms(F.lit(""), F.lit("en"), F.lit(pause), ja_cpm, en_wpm)
+    rest = F.col("words") - F.col("paragraphs") - F.col("ends") - F.col("commas")
+    total = F.col("paragraphs") * ms("paragraph") + F.col("ends") * ms("sentence") + F.col("commas") * ms("comma") + rest * ms("none")
+    english = rows.select(
+        "doc_id", F.col("words").alias("units"), (F.col("paragraphs") + F.col("ends")).alias("sentences"), F.lit(0).cast("long").alias("ja_chars"),
+        F.col("words").alias("en_words"), total.alias("total_ms"), F.lit(False).alias("has_ja"), F.lit(True).alias("has_en"), F.lit(True).alias("has_en_sentence"),
+    )
+    return english.unionByName(plan(segment.units(docs.filter(ja)), ja_cpm, en_wpm))
+
+
 def plan_at_speeds(units: DataFrame, speeds: DataFrame) -> DataFrame:
-    """doc_id, scenario, total_ms for each row of speeds (scenario, ja_cpm, en_wpm; a few rows).
+    """doc_id, scenario, total_ms for each row of speeds (scenario, ja_cpm, en_wpm), however many.
 
-    Units are first grouped by what decides their time, so the scenarios multiply the groups only.
+    Units are first grouped by what decides their time; then every document's few groups travel as one array
+    and meet each scenario once, so the scenarios multiply rows of the result only.
     """
     size = F.when(F.col("language") == "ja", T.character_count(F.col("text"))).otherwise(1)
     kinds = units.groupBy("doc_id", "language", "pause", size.alias("size")).agg(F.count("*").alias("n"))
-    p = pause_units(F.col("pause"))
-    ms = F.when(F.col("language") == "ja", F.lit(60_000.0) / F.col("ja_cpm") * (F.col("size") + p * MEAN_UNIT)).otherwise(F.lit(60_000.0) / F.col("en_wpm") * (F.lit(1.0) + p))
-    each = kinds.withColumn("speed", F.explode(F.array(*_as_structs(speeds)))).select("doc_id", "language", "pause", "size", "n", "speed.*")
-    return each.groupBy("doc_id", "scenario").agg(F.sum(rounded(ms) * F.col("n")).alias("total_ms"))
-
-
-def _as_structs(speeds: DataFrame) -> list[Column]:
-    """The rows of a small parameter table as literals."""
-    return [F.struct(F.lit(r["scenario"]).alias("scenario"), F.lit(float(r["ja_cpm"])).alias("ja_cpm"), F.lit(float(r["en_wpm"])).alias("en_wpm")) for r in speeds.limit(1_000).collect()]
+    docs = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("language", "pause", "size", "n")).alias("kinds"))
+
+    def ms(x: Column) -> Column:
+        p = pause_units(x["pause"])
+        raw = F.when(x["language"] == "ja", F.lit(60_000.0) / F.col("ja_cpm") * (x["size"] + p * MEAN_UNIT)).otherwise(F.lit(60_000.0) / F.col("en_wpm") * (F.lit(1.0) + p))
+        return rounded(raw) * x["n"]
+
+    speeds = speeds.select("scenario", F.col("ja_cpm").cast("double"), F.col("en_wpm").cast("double"))
+    few = speeds.take(MOST_LITERAL + 1)
+    if len(few) <= MOST_LITERAL:
+        each = docs.select("*", F.inline(F.array(*[F.struct(*[F.lit(r[c]).cast(speeds.schema[c].dataType).alias(c) for c in speeds.columns]) for r in few])) if few else F.inline(F.array().cast("array<struct<scenario:string,ja_cpm:double,en_wpm:double>>")))
+    else:
+        # A table of scenarios: the result has a row per document and scenario, so this product makes none too many.
+        each = docs.crossJoin(speeds)
+    return each.select("doc_id", "scenario", F.aggregate("kinds", F.lit(0).cast("long"), lambda s, x: s + ms(x)).alias("total_ms"))
 
 
 def unit_at_offset(units: DataFrame, probes: DataFrame) -> DataFrame:

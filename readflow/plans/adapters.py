@@ -64,6 +64,21 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.withColumn("robots_text", text)
 
 
+def robots_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, status, robots_text, blocked_reason: fetches of the robots files; by the length of the host's name modulo 5 none is there (0), or the host fails (1)."""
+    kind = F.length("host") % 5
+    rows = robots_files(spark, sf_dir).withColumn("status", F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200))
+    return rows.select("host", "status", F.when(F.col("status") == 200, F.col("robots_text")).alias("robots_text"), F.lit(None).cast("string").alias("blocked_reason"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url (canonical), page_id, status, content_type, html: what a fetch of each page answers, by its number; of pages with one URL the first."""
+    rows = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url"), "page_id", "html")
+    status = F.when(F.col("page_id") % 11 == 0, 404).when(F.col("page_id") % 11 == 1, 503).otherwise(200)
+    kind = F.when(F.col("page_id") % 13 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    return rows.withColumns({"status": status, "content_type": kind}).groupBy("url").agg(F.min_by(F.struct("page_id", "status", "content_type", "html"), "page_id").alias("r")).select("url", "r.*")
+
+
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """from_url, to_url: page i leads to page i + 1 where i % 7 < 3."""
     rows = pages(spark, sf_dir).select("page_id", "canonical_url")

@@ -109,7 +109,7 @@ _PLAN = f"""WITH {_TIMED} SELECT doc_id, count(*) AS units, CAST(max(sentence_in
 @query("d8_plan", _PLAN)
 def d8_plan(spark, sf_dir):
     """The reading plan of every document."""
-    return timing.plan(_units(spark, sf_dir))
+    return timing.plan_documents(A.table(spark, sf_dir, "documents"))
 
 
 @query("d9_offsets", f"""WITH {_UNITS}, probes AS (SELECT doc_id, i AS probe_id, CAST(length(text) * i / 3 AS INTEGER) AS "offset" FROM (SELECT doc_id, text, unnest([0, 1, 2, 3, 4]) AS i FROM documents)),
@@ -150,7 +150,7 @@ def d12_speeds(spark, sf_dir):
 
 @query("d13_longest", _PLAN.replace("GROUP BY doc_id", "GROUP BY doc_id ORDER BY total_ms DESC, doc_id LIMIT 20"))
 def d13_longest(spark, sf_dir):
-    return timing.plan(_units(spark, sf_dir)).orderBy(F.desc("total_ms"), "doc_id").limit(20)
+    return timing.plan_documents(A.table(spark, sf_dir, "documents")).orderBy(F.desc("total_ms"), "doc_id").limit(20)
 
 
 @query("d14_around", f"""WITH {_UNITS}, c AS (SELECT doc_id, max(unit_index) // 2 AS unit_index FROM units GROUP BY doc_id)
@@ -163,24 +163,58 @@ def d14_around(spark, sf_dir):
     return timing.around(A.table(spark, sf_dir, "documents"), units.join(middle, ["doc_id", "unit_index"]))
 
 
+#: Fixed letters that make Japanese text of the documents, the same in SQL: letters become kana and kanji, stops and blanks Japanese ones.
+LATIN, KANA = "abcdefghijklmnopqrstuvwxyz., ", "かきくけこさしすせそたちつてとなにぬねの漢字読書本文。、の"
+_JA = f"""ja AS (SELECT doc_id, translate(text, '{LATIN}', '{KANA}') AS text FROM documents WHERE text IS NOT NULL),
+jl AS (SELECT doc_id, unnest(range(len(ls))) AS paragraph_index, unnest(ls) AS line FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\\r\\n]+'), lambda x: x <> '') AS ls, text FROM ja)),
+js AS (SELECT doc_id, paragraph_index, line, unnest(range(len(ss))) AS k, unnest(ss) AS s FROM (SELECT *, regexp_extract_all(line, '(?s).[^。．！？!?]*(?:[。．！？!?]+[」』）)】〕］"”’]*)?') AS ss FROM jl)),
+jb AS (SELECT *, length(s) AS n, sum(length(s)) OVER (PARTITION BY doc_id, paragraph_index ORDER BY k) - length(s) AS base FROM js),
+jp AS (SELECT doc_id, paragraph_index, k, line, greatest(base, 4 * j) AS a, least(base + n, 4 * j + 4) AS b, base + n AS stop FROM (SELECT *, unnest(range(CAST(base // 4 AS BIGINT), CAST((base + n - 1) // 4 + 1 AS BIGINT))) AS j FROM jb)),
+ju AS (SELECT doc_id, paragraph_index, k, substr(line, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS unit, a, CASE WHEN b = length(line) THEN 'paragraph' WHEN b = stop THEN 'sentence' WHEN regexp_matches(substr(line, CAST(a AS INT) + 1, CAST(b - a AS INT)), '[、，,;；:：]["''”’)\\]」』）】〕］]*$') THEN 'comma' ELSE 'none' END AS pause FROM jp),
+jx AS (SELECT *, CASE WHEN regexp_matches(unit, '[か-ん漢字読書本文。、]') THEN 'ja' ELSE 'en' END AS language FROM ju WHERE regexp_matches(unit, '[^\\s]')),
+jm AS (SELECT *, CASE WHEN language = 'ja' THEN length(regexp_replace(unit, '\\s', '', 'g')) ELSE 0 END AS chars,
+  CASE pause WHEN 'none' THEN 0 WHEN 'comma' THEN 0.5 WHEN 'sentence' THEN 1 ELSE 2 END AS p FROM jx)"""
+
+
+def _japanese(spark, sf_dir):
+    """Units of the documents in Japanese letters, lines without blanks and cut at every fourth character."""
+    docs = A.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.translate("text", LATIN, KANA).alias("text"))
+    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: x != "")
+    cuts = F.transform(lines, lambda x: F.when(F.length(x) > 4, F.sequence(F.lit(4), F.length(x) - 1, F.lit(4))).otherwise(F.array().cast("array<int>")))
+    return segment.units(docs.withColumn("boundaries", cuts), boundaries_col="boundaries")
+
+
+@query("c6_given_cuts", f"WITH {_JA} SELECT doc_id, CAST(paragraph_index AS INTEGER) AS paragraph_index, unit AS text, pause, language, count(*) AS n FROM jx GROUP BY ALL")
+def c6_given_cuts(spark, sf_dir):
+    """Units of Japanese texts by given cuts, with sentences, commas and paragraphs."""
+    return _japanese(spark, sf_dir).groupBy("doc_id", "paragraph_index", "text", "pause", "language").agg(F.count("*").alias("n"))
+
+
+@query("d1_japanese_plan", f"""WITH {_JA}, jn AS (SELECT doc_id, count(DISTINCT (paragraph_index, k)) AS n FROM jx GROUP BY 1)
+SELECT doc_id, count(*) AS units, max(n) AS sentences, CAST(sum(chars) AS BIGINT) AS ja_chars, count(*) FILTER (WHERE language = 'en') AS en_words,
+  CAST(sum(floor(CASE WHEN language = 'ja' THEN 60000.0::DOUBLE / 600.0 * (chars + p * 5.0) ELSE 60000.0::DOUBLE / 300.0 * (1 + p) END + 0.5)) AS BIGINT) AS total_ms FROM jm JOIN jn USING (doc_id) GROUP BY doc_id""")
+def d1_japanese_plan(spark, sf_dir):
+    """Character counts and reading times of Japanese texts."""
+    return timing.plan(_japanese(spark, sf_dir)).select("doc_id", "units", "sentences", "ja_chars", "en_words", "total_ms")
+
+
 @query("d4_steps", "SELECT doc_id, least(greatest(600 + 50.0 * (doc_id % 121 - 60), 100), 3000)::DOUBLE AS ja_cpm, least(greatest(300 + 25.0 * (doc_id % 121 - 60), 50), 1500)::DOUBLE AS en_wpm FROM documents")
 def d4_steps(spark, sf_dir):
     steps = F.col("doc_id") % 121 - 60
     return A.table(spark, sf_dir, "documents").select("doc_id", timing.step_speed(F.lit(timing.JA_CPM), "ja", steps).alias("ja_cpm"), timing.step_speed(F.lit(timing.EN_WPM), "en", steps).alias("en_wpm"))
 
 
-@query("c17_proposed", """WITH p AS (SELECT doc_id, string_split(text, chr(10))[1] AS paragraph FROM documents),
-u AS (SELECT doc_id, paragraph, regexp_extract_all(CASE WHEN doc_id % 5 = 0 THEN paragraph[2:] ELSE paragraph END, '[^ ]+ *') AS units FROM p)
-SELECT doc_id, CASE WHEN len(units) > 0 AND array_to_string(units, '') = paragraph
+@query("c17_proposed", """WITH p AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS paragraph FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+u AS (SELECT doc_id, pos, paragraph, regexp_extract_all(CASE WHEN (doc_id + pos) % 5 = 0 THEN paragraph[2:] ELSE paragraph END, '[^ ]+ *') AS units FROM p)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN len(units) > 0 AND array_to_string(units, '') = paragraph
   AND len(list_filter(units, lambda u: length(trim(u)) = 0 OR length(trim(u)) > 30 OR regexp_matches(u, '^[!?,;:)\\]”’]'))) = 0
   THEN to_json(list_transform(range(1, len(units)), lambda i: length(array_to_string(units[1:i], '')))) END AS boundaries FROM u""")
 def c17_proposed(spark, sf_dir):
-    """Cut places from the words of first lines, every fifth of them damaged."""
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", line.alias("paragraph"))
-    given = F.when(F.col("doc_id") % 5 == 0, F.substring("paragraph", 2, 10**9)).otherwise(F.col("paragraph"))
+    """Cut places from the words of all lines, every fifth of them damaged."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
+    given = F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, F.substring("paragraph", 2, 10**9)).otherwise(F.col("paragraph"))
     cuts = boundaries.from_units(F.col("paragraph"), F.regexp_extract_all(given, F.lit("([^ ]+ *)"), F.lit(1)))
-    return rows.select("doc_id", F.when(cuts.isNotNull(), F.to_json(cuts)).alias("boundaries"))
+    return rows.select("doc_id", "pos", F.when(cuts.isNotNull(), F.to_json(cuts)).alias("boundaries"))
 
 
 @query("c20_aligned", """WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS paragraph FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
@@ -242,15 +276,6 @@ def a22_articles(spark, sf_dir):
     return html.articles(A.table(spark, sf_dir, "pages")).drop("site_name")
 
 
-@query("w2_plan")
-def w2_plan(spark, sf_dir):
-    """Admitted pages to articles to reading plans. (Its parts have SQL twins.)"""
-    good = A.pages(spark, sf_dir).filter("reason is null").select("page_id")
-    pages = A.table(spark, sf_dir, "pages").join(good, "page_id", "left_semi")
-    texts = html.articles(pages).filter("reason is null").select(F.col("page_id").alias("doc_id"), "text")
-    return timing.plan(segment.units(texts)).withColumnRenamed("doc_id", "page_id")
-
-
 @query("a16_parsed")
 def a16_parsed(spark, sf_dir):
     """Paragraphs of whole pages by the parser."""
@@ -288,13 +313,44 @@ def b12_robots(spark, sf_dir):
     return _allowed(spark, sf_dir).select("page_id", "host", "allowed")
 
 
-@query("b14_redirects", f"""WITH RECURSIVE {_PAGES}, r AS (SELECT a.canonical_url AS from_url, min(b.canonical_url) AS to_url FROM pr a JOIN pr b ON b.page_id = a.page_id + 1 WHERE a.page_id % 7 < 3 GROUP BY 1),
-f AS (SELECT page_id, canonical_url AS loc, 0 AS hops FROM pr UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN r ON loc = from_url WHERE hops < 6)
-SELECT page_id, loc AS final_url, hops, CASE WHEN hops > 5 THEN 'page-unavailable' END AS reason FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1""")
+@query("b14_redirects", f"""WITH RECURSIVE {_RULES}, r AS (SELECT a.canonical_url AS from_url, min(b.canonical_url) AS to_url FROM pr a JOIN pr b ON b.page_id = a.page_id + 1 WHERE a.page_id % 7 < 3 GROUP BY 1),
+v AS (SELECT canonical_url, min(coalesce(reason, CASE WHEN NOT allowed THEN 'robots-disallowed' END)) AS why FROM ok GROUP BY 1),
+f AS (SELECT page_id, canonical_url AS loc, 0 AS hops FROM pr UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN v ON canonical_url = loc AND why IS NULL JOIN r ON loc = from_url WHERE hops < 6)
+SELECT page_id, loc AS final_url, hops, CASE WHEN hops > 5 THEN 'page-unavailable' ELSE why END AS reason FROM f JOIN v ON canonical_url = loc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1""")
 def b14_redirects(spark, sf_dir):
-    """Pages after their redirects."""
+    """Pages after their redirects, the robots rules tested at every hop."""
     pages = A.table(spark, sf_dir, "pages").select("page_id", "url")
-    return crawl.follow(pages, A.redirects(spark, sf_dir))
+    return crawl.follow(pages, A.redirects(spark, sf_dir), crawl.robots_rules(A.robots_files(spark, sf_dir), "readbot"))
+
+
+@query("w2_plan", f"""WITH RECURSIVE {_RULES}, r AS (SELECT a.canonical_url AS from_url, min(b.canonical_url) AS to_url FROM pr a JOIN pr b ON b.page_id = a.page_id + 1 WHERE a.page_id % 7 < 3 GROUP BY 1),
+v AS (SELECT canonical_url, min(page_id) AS target, min(CASE WHEN reason IS NOT NULL THEN reason WHEN length(host) % 5 = 1 THEN 'page-unavailable' WHEN length(host) % 5 <> 0 AND NOT allowed THEN 'robots-disallowed' END) AS why FROM ok GROUP BY 1),
+rq AS (SELECT page_id, canonical_url, row_number() OVER (PARTITION BY page_id % 7, page_id // 60 ORDER BY page_id) > 8 AS limited FROM pr),
+f AS (SELECT page_id, canonical_url AS loc, 0 AS hops FROM rq WHERE NOT limited UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN v ON canonical_url = loc AND why IS NULL JOIN r ON loc = from_url WHERE hops < 6),
+g AS (SELECT page_id, loc, hops, target, why FROM f JOIN v ON canonical_url = loc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1),
+art AS ({_ARTICLES}),
+h AS (SELECT rq.page_id, loc, art.text, CASE WHEN limited THEN 'rate-limited' WHEN hops > 5 THEN 'page-unavailable' WHEN why IS NOT NULL THEN why WHEN target % 11 < 2 THEN 'page-unavailable'
+  WHEN target % 13 = 0 THEN 'unextractable' WHEN strlen(html) > 5242880 THEN 'page-too-large' ELSE art.reason END AS reason
+  FROM rq LEFT JOIN g USING (page_id) LEFT JOIN pages ON pages.page_id = target LEFT JOIN art ON art.page_id = target),
+documents AS (SELECT page_id AS doc_id, text FROM h WHERE reason IS NULL), {_TIMED}
+SELECT h.page_id, loc AS final_url, reason, count(doc_id) AS units, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms FROM h LEFT JOIN timed ON doc_id = h.page_id GROUP BY ALL""")
+def w2_plan(spark, sf_dir):
+    """Pages to reading plans, with one reason per page: rate limit, URL, redirects with robots at every hop, response, content."""
+    pages = A.table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 7).alias("key"), F.timestamp_seconds("page_id").alias("ts"))
+    asked = crawl.rate_limited(pages.withColumnRenamed("page_id", "request_id"), 8).select(F.col("request_id").alias("page_id"), "url", "limited")
+    log = crawl.robots_state(A.robots_log(spark, sf_dir))
+    rules = crawl.robots_rules(log.filter("robots_text is not null"), "readbot")
+    found = crawl.follow(asked.filter("not limited").select("page_id", "url"), A.redirects(spark, sf_dir), rules, closed=log.select("host", "reason"))
+    got = A.responses(spark, sf_dir).withColumn("_why", crawl.response_reason(F.col("status"), F.col("content_type"), F.octet_length("html")))
+    got = got.select("url", F.col("page_id").alias("_target"), "_why", "html")
+    found = found.join(got, F.col("final_url") == F.col("url"), "left").select("page_id", "final_url", F.coalesce("reason", "_why").alias("reason"), "_target")
+    needed = found.filter("reason is null").select(F.col("_target").alias("page_id")).distinct()
+    texts = html.articles(A.table(spark, sf_dir, "pages").join(needed, "page_id", "left_semi")).select(F.col("page_id").alias("_target"), "text", F.col("reason").alias("_content"))
+    read = found.join(texts, "_target", "left").select("page_id", "final_url", F.coalesce("reason", "_content").alias("reason"), "text")
+    plans = timing.plan_documents(read.filter("reason is null").select(F.col("page_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("page_id"), "units", "total_ms")
+    rows = asked.select("page_id", "limited").join(read.drop("text"), "page_id", "left").join(plans, "page_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("page_id", "final_url", F.when(F.col("limited"), "rate-limited").otherwise(F.col("reason")).alias("reason"), none("units"), none("total_ms"))
 
 
 @query("b15_responses", """SELECT page_id, CASE WHEN CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END <> 200 THEN 'page-unavailable' WHEN page_id % 13 = 0 THEN 'unextractable' WHEN strlen(html) > 5242880 THEN 'page-too-large' END AS reason FROM pages""")
@@ -305,14 +361,14 @@ def b15_responses(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", crawl.response_reason(status, kind, F.octet_length("html")).alias("reason"))
 
 
-@query("b18_rate_limit", "SELECT event_id AS request_id, row_number() OVER (PARTITION BY user_id % 10, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) > 1 AS limited FROM events")
+@query("b18_rate_limit", "SELECT event_id AS request_id, row_number() OVER (PARTITION BY user_id % 10, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) > 1 AS limited FROM events")
 def b18_rate_limit(spark, sf_dir):
     """One request an hour and key."""
     rows = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 10).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     return crawl.rate_limited(rows, 1, 3600).select("request_id", "limited")
 
 
-@query("b19_two_levels", """WITH a AS (SELECT *, epoch(ts)::BIGINT // 3600 AS b, row_number() OVER (PARTITION BY user_id % 10, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) AS n FROM events),
+@query("b19_two_levels", """WITH a AS (SELECT *, epoch_us(ts) // 3600000000 AS b, row_number() OVER (PARTITION BY user_id % 10, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS n FROM events),
 g AS (SELECT event_id, row_number() OVER (PARTITION BY b ORDER BY ts, event_id) AS m FROM a WHERE n <= 2 AND event_type <> 'view')
 SELECT a.event_id AS request_id, coalesce(m <= 3, false) AS granted FROM a LEFT JOIN g USING (event_id)""")
 def b19_two_levels(spark, sf_dir):
@@ -487,6 +543,21 @@ def e23_translate(spark, sf_dir):
     return activity.to_translate(shown, _spoken(spark, sf_dir))
 
 
+@query("e22_translator", f"""WITH RECURSIVE {_EV}, e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'unavailable' WHEN 'view' THEN 'toggle' WHEN 'click' THEN 'created' WHEN 'error' THEN 'failed' ELSE 'available' END AS event,
+  row_number() OVER (PARTITION BY reader ORDER BY ts, seq) AS n FROM ev),
+f AS (SELECT reader, CAST(0 AS BIGINT) AS n, NULL::BIGINT AS seq, 'checking' AS status, false AS visible FROM e WHERE n = 1
+  UNION ALL SELECT f.reader, e.n, e.seq,
+    CASE WHEN status = 'checking' AND event IN ('available', 'unavailable') THEN event WHEN event = 'toggle' AND status IN ('available', 'failed') THEN 'creating'
+      WHEN status = 'creating' AND event = 'created' THEN 'ready' WHEN status = 'creating' AND event = 'failed' THEN 'failed' ELSE status END,
+    CASE WHEN event = 'toggle' AND status IN ('available', 'failed') THEN true WHEN event = 'toggle' AND status IN ('creating', 'ready') THEN NOT visible WHEN event = 'failed' AND status = 'creating' THEN false ELSE visible END
+  FROM f JOIN e ON e.reader = f.reader AND e.n = f.n + 1)
+SELECT reader, seq, status, visible, status = 'ready' AS ready FROM f WHERE n > 0""")
+def e22_translator(spark, sf_dir):
+    """The translator's state after each event of a reader; the twin goes event by event."""
+    event = F.when(F.col("event_type") == "signup", "unavailable").when(F.col("event_type") == "view", "toggle").when(F.col("event_type") == "click", "created").when(F.col("event_type") == "error", "failed").otherwise("available")
+    return activity.translator_states(A.events(spark, sf_dir).select("reader", "ts", "seq", event.alias("event"))).drop("ts")
+
+
 @query("e24_speed", f"""WITH {_EV}, s AS (SELECT reader, 100.0 + 40 * k AS ja, 50.0 + 20 * k AS en, seq FROM ev WHERE event_type = 'signup'),
 l AS (SELECT reader, max_by(ja, seq) AS ja, max_by(en, seq) AS en FROM s WHERE ja BETWEEN 100 AND 3000 AND en BETWEEN 50 AND 1500 GROUP BY reader)
 SELECT DISTINCT reader, coalesce(ja, 600)::DOUBLE AS ja_cpm, coalesce(en, 300)::DOUBLE AS en_wpm FROM ev LEFT JOIN l USING (reader)""")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from ..functions import text as T
-from ..operators.html import unescaped
 
 # Right marks (lower case), the cap on inflated sizes, tags of e-book pages.
 RIGHTS = ["meta-inf/encryption.xml", "meta-inf/rights.xml", "meta-inf/license.lcpl", "meta-inf/sinf.xml"]
@@ -114,6 +115,19 @@ def decode_xml(content: bytes) -> str:
     return content.decode("utf-8-sig", "replace")
 
 
+_named = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|&([A-Za-z][A-Za-z0-9]*);", re.DOTALL)
+
+
+def numbered(xml: str) -> str:
+    """xml with named entities that XML lacks as numeric references; CDATA sections and comments stay."""
+
+    def one(m: re.Match) -> str:
+        to = html5.get(f"{m[1]};") if m[1] and m[1] not in ("amp", "lt", "gt", "quot", "apos") else None
+        return "".join(f"&#{ord(c)};" for c in to) if to else m[0]
+
+    return _named.sub(one, xml)
+
+
 class _Lines(HTMLParser):
     """Lines of an e-book page and its first heading."""
 
@@ -166,9 +180,9 @@ def page_lines(xhtml: str) -> tuple[list[str], str | None]:
 def _spine(z: zipfile.ZipFile, skip_nav: bool) -> list[tuple[str, str | None]]:
     """The package's path and the spine's documents in order (path; null for one the manifest lacks)."""
     tags = lambda root, name: [x for x in root.iter() if x.tag.rpartition("}")[2] == name]
-    container = ElementTree.fromstring(unescaped(decode_xml(z.read("META-INF/container.xml"))))
+    container = ElementTree.fromstring(numbered(decode_xml(z.read("META-INF/container.xml"))))
     package = tags(container, "rootfile")[0].get("full-path")
-    root = ElementTree.fromstring(decode_xml(z.read(package)))
+    root = ElementTree.fromstring(numbered(decode_xml(z.read(package))))
     items = {x.get("id"): x for x in tags(root, "item")}
     out = []
     for ref in tags(root, "itemref"):

@@ -35,6 +35,8 @@ def test_robots(spark):
     paths = {"/index.php": False, "/index.php?x": True, "/a%2Fb": False, "/x": True, "/early": True, "/q": True}
     pages = spark.createDataFrame([(i, "h", p) for i, p in enumerate(paths)], "page_id long, host string, path string")
     assert {r.path: r.allowed for r in crawl.allowed(pages, rules).collect()} == paths
+    tabs = crawl.robots_rules(spark.createDataFrame([("h", "User-agent:\t*\nDisallow:\t/x\u00a0")], "host string, robots_text string"), "readbot")
+    assert [(r.allow, r.pattern) for r in tabs.collect()] == [(False, "/x")]
     hard = spark.createDataFrame([("/" + "a*" * 30 + "b", "/" + "a" * 2000)], "p string, q string")
     assert hard.select(urls.matches(F.col("p"), F.col("q"))).first()[0] is False
 
@@ -47,6 +49,49 @@ def test_redirects(spark):
     assert got == {0: (u[6], "page-unavailable"), 1: (u[7], None), 2: ("http://s.com/a/c?d", None), 3: ("http://10.0.0.1/", "blocked-url")}
 
 
+def test_redirect_targets(spark):
+    cases = {
+        "?q=1": "http://e.com/a/b?q=1", "../c": "http://e.com/c", "../../../c": "http://e.com/c", "": "http://e.com/a/b?x", "#f": "http://e.com/a/b?x#f", "c": "http://e.com/a/c", "./c/.": "http://e.com/a/c/",
+        "//o.com/p": "http://o.com/p", "/r?./..": "http://e.com/r?./..", "https://o.com/a/./b/../c?d": "https://o.com/a/c?d", "%2e%2E/c": "http://e.com/c", "..": "http://e.com/", ".c": "http://e.com/a/.c",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", crawl.resolved(F.lit("http://e.com/a/b?x#y"), F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == cases
+    assert spark.range(1).select(crawl.resolved(F.lit("http://e.com"), F.lit("c"))).first()[0] == "http://e.com/c"
+
+
+def test_robots_at_every_hop(spark):
+    hops = spark.createDataFrame([("http://a.com/", "http://b.com/no"), ("http://b.com/yes", "http://c.com/"), ("http://a.com/2", "http://d.com/")], "from_url string, to_url string")
+    rules = crawl.robots_rules(spark.createDataFrame([("b.com", "User-agent: *\nDisallow: /no")], "host string, robots_text string"), "readbot")
+    log = spark.createDataFrame([("c.com", 404, None, None), ("d.com", 503, None, None), ("b.com", 200, "x", None)], "host string, status int, robots_text string, blocked_reason string")
+    state = crawl.robots_state(log)
+    assert {r.host: (r.robots_text, r.reason) for r in state.collect()} == {"c.com": (None, None), "d.com": (None, "page-unavailable"), "b.com": ("x", None)}
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.com/yes"), (3, "http://a.com/2")], "page_id long, url string")
+    got = {r.page_id: (r.final_url, r.hops, r.reason) for r in crawl.follow(pages, hops, rules, closed=state).collect()}
+    assert got == {1: ("http://b.com/no", 1, "robots-disallowed"), 2: ("http://c.com/", 1, None), 3: ("http://d.com/", 1, "page-unavailable")}
+
+
+def test_translator(spark):
+    """Toggles have no effect before availability; a failure hides; what comes when nothing is being made counts for nothing."""
+    events = "toggle created available toggle toggle failed toggle failed failed created toggle toggle toggle created failed toggle available unavailable".split()
+    want = [("checking", False)] * 2 + [
+        ("available", False), ("creating", True), ("creating", False), ("failed", False), ("creating", True), ("failed", False), ("failed", False), ("failed", False),
+        ("creating", True), ("creating", False), ("creating", True), ("ready", True), ("ready", True), ("ready", False), ("ready", False), ("ready", False),
+    ]
+    rows = [(1, i, i, e) for i, e in enumerate(events)] + [(2, i, i, e) for i, e in enumerate(["unavailable", "toggle", "available", "toggle"])]
+    found = activity.translator_states(spark.createDataFrame(rows, "reader long, ts long, seq long, event string")).orderBy("reader", "seq").collect()
+    assert [(r.status, r.visible) for r in found if r.reader == 1] == want and all(r.ready == (r.status == "ready") for r in found)
+    assert [(r.status, r.visible) for r in found if r.reader == 2] == [("unavailable", False)] * 4
+
+
+def test_entities(spark):
+    rows = spark.createDataFrame([("a &amp;lt; &nbsp;b",), ("&eacute;&#233;&#xe9; &amp;",), ("plain & simple",), (None,)], "t string").select(html.entities(F.col("t")).alias("u")).collect()
+    assert [r.u for r in rows] == ["a &lt; \xa0b", "ééé &", "plain & simple", None]
+
+
+def test_named_entities_of_packages():
+    assert files.numbered("<a b='x&amp;y&eacute;'/><!-- &eacute; --><![CDATA[&eacute;]]>&nbsp;&none;") == "<a b='x&amp;y&#233;'/><!-- &eacute; --><![CDATA[&eacute;]]>&#160;&none;"
+
+
 def test_paragraphs():
     page = "<nav>n</nav><p>a<b>b</b> c<br>d</p><pre>x\n y</pre><sup>[4]</sup><sup>2</sup><ruby>漢<rt>かん</rt></ruby>日本\n語<table><tr><td>t</table><span class='mw-editsection'>e</span>&amp;"
     assert html.paragraphs_of(page) == ["n", "ab c", "d", "x", "y", "2漢日本語&"]

@@ -61,7 +61,32 @@ def test_one_exchange(spark):
     docs = spark.createDataFrame([(1, "a b. c")], "doc_id long, text string")
     df = timing.with_times(segment.units(docs, chunker=None))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(doc_id") >= 1
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_plans_by_counting(spark):
+    """Plans of English texts are counted in the text; they equal those of the units, and nothing is shuffled."""
+    texts = ['Mr. Smith, hi! "Dr. No" ran.\n\nEnd', "a", " \n ", "", None, "One. Two\nthree, four. (Mrs. X) 'e.g. y' z.\" w", "no. end.", "x:  y;\tz ,\u2028 q.” r", "MR. mr.! st.", "a.b, c .. d"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(50, "日本。Go on. そう"), (51, "吾輩は猫、である")], "doc_id long, text string")
+    fast, slow = timing.plan_documents(docs, en_wpm=250.0), timing.plan(segment.units(docs), en_wpm=250.0)
+    key = lambda d: sorted(map(tuple, d.select(slow.columns).collect()))
+    assert key(fast) == key(slow) and len(key(fast)) == 9
+    words = timing.plan_documents(docs.filter("doc_id < 50")).filter("not has_ja")
+    assert words.filter("doc_id = 9").first().total_ms == 300 + 200 + 400 + 600
+
+
+def test_many_speeds(spark):
+    docs = spark.createDataFrame([(1, "a b, c.")], "doc_id long, text string")
+    speeds = spark.range(1_200).select(F.col("id").cast("string").alias("scenario"), F.lit(600.0).alias("ja_cpm"), (F.col("id") + 60).cast("double").alias("en_wpm"))
+    rows = {r.scenario: r.total_ms for r in timing.plan_at_speeds(segment.units(docs), speeds).collect()}
+    assert len(rows) == 1_200 and rows["0"] == 1000 + 1500 + 3000
+    assert [r.total_ms for r in timing.plan_at_speeds(segment.units(docs), speeds.filter("id = 0")).collect()] == [5500]
+
+
+def test_running_sums(spark):
+    n = [(i * 7) % 5 for i in range(1000)]
+    got = one(spark, ",".join(map(str, n)), lambda t: boundaries.running(F.transform(F.split(t, ","), lambda x: x.cast("int"))))
+    assert got == [sum(n[: i + 1]) for i in range(1000)]
 
 
 def test_durations(spark):
