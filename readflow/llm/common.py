@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,28 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_checkpoints
+
 #: A word is a run of characters other than these (space and U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Stands for a null id in keys; a null id sorts first, as in Spark.
+#: Stands for a null id in keys; a null id sorts first, as in Spark. A real id of this value counts as null.
 NO_ID = -(2**63)
-
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the session's own, or in local mode a temporary one.
-
-    On a cluster a folder on one machine is of no use, so there the setting is required.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        sc.setCheckpointDir(given)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+#: Bits of the filters before joins with few keys.
+FILTER_BITS = 1 << 22
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,6 +37,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _maybe(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
+    """df with _maybe: false where the keys surely are no row of ids, by a broadcast of FILTER_BITS bits."""
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))
+    at = place(ids.columns)
+    bits = ids.select(F.floor(at / 64).alias("_w"), bit(at).alias("_bit")).groupBy("_w").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumn("_at", place(keys)).withColumn("_w", F.floor(F.col("_at") / 64)).join(F.broadcast(bits), "_w", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_at"))) != 0, F.lit(False))).drop("_at", "_w", "_bits")
+
+
+def among(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
+    """Rows of df whose keys are a row of ids (in its columns' order): a semi-join of those that a filter lets through.
+
+    The filter is made in Spark and has a fixed size; with very many ids it lets all through, and the join decides.
+    """
+    return _maybe(df, keys, ids).filter("_maybe").drop("_maybe").join(ids.toDF(*keys), keys, "left_semi")
+
+
+def but_not(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
+    """Rows of df whose keys are no row of ids; only those that the filter of among() can't clear are joined."""
+    marked = _maybe(df, keys, ids)
+    rest = marked.filter("_maybe").join(ids.toDF(*keys), keys, "left_anti")
+    return marked.filter("not _maybe").unionByName(rest).select(*df.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Has Spark hand Python at most ``rows`` rows at once, unless the session says otherwise itself.
 

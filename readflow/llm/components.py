@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-
-MOST_ROUNDS = 60
+from .common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,11 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs neighbours below the smallest vertex that they see, first from above, then from
     below, until nothing moves. Minima are partial sums and a hub's rows are joined, not gathered, so a
-    hub needs no task that holds all its links. Rounds are written to the shared folder.
+    hub needs no task that holds all its links. Rounds are written to the shared folder. Every round but the
+    last moves an edge to a smaller vertex, so the rounds end; their number grows with the logarithm of a path.
     """
-    edges = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
@@ -31,7 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours go below the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
+        edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("v"), F.col("v").alias("c"))

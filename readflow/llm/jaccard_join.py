@@ -12,10 +12,16 @@ A group of near copies isn't paired out: of every list of documents with a prefi
 are first compared with the list's leader only. What links falls into components. Then pairs of the
 same list that are in different components are compared, each of them once. A true link has both ends
 in some list, so in the end none joins two components. Texts are compared by their whole sets.
+
+The prefixes are shuffled once, into the lists. A list that by the word counts can hold more than
+LIST_ROWS documents is dealt to several tasks, each with a leader of its own, and these meet the first of
+them. For the comparison only the texts of candidates move, each once per leader, and a leader's text once
+per COMPARED of its candidates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +29,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, mixed, slices, word_codes
+from .common import NO_ID, among, but_not, mixed, slices, stored, word_codes
 from .components import components
 from .substring_dedup import rolling
 
-#: Sizes of the tables that steer the work: word counts, and the filter of documents to compare.
-BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
+#: Size of the table of word counts that steers the work.
+BUCKETS = 1 << 18
 LONGEST_MATCH = 4
+#: Documents of a list in one task by the estimate, and candidates that share a copy of their leader's text.
+LIST_ROWS, COMPARED = 100_000, 1_000
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -86,7 +95,10 @@ def _least(t: int, n: int) -> int:
 
 
 def records(df: DataFrame, percent: int, width: int) -> DataFrame:
-    """k, n, g1, g2 (two hashes of the set), p, l, sig, prefix of each row (k, text)."""
+    """k, n, g1, g2 (two hashes of the set), p, l, s0 to s3 (parities), prefix and split of each row (k, text).
+
+    split tells for every shingle of the prefix over how many tasks its list is dealt.
+    """
     counts = df.sparkSession.sparkContext.broadcast(word_counts(df.select("text")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +106,7 @@ def records(df: DataFrame, percent: int, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, ends = _hashed(part.column(1))
-                n, g1, g2, p, want, sig, prefixes = [], [], [], [], [], [], []
+                n, g1, g2, p, want, sig, prefixes, splits = [], [], [], [], [], [], [], []
                 for a, b in zip(ends, ends[1:], strict=False):
                     words = h[a:b]
                     s = shingles(words, width)
@@ -113,18 +125,21 @@ def records(df: DataFrame, percent: int, width: int) -> DataFrame:
                     l = match_length(rare[first], prefix, size) if size else 1  # noqa: E741
                     p.append(prefix)
                     want.append(l)
-                    prefixes.append(s[first[: prefix + l - 1]] if size else s)
+                    first = first[: prefix + l - 1]
+                    prefixes.append(s[first])
+                    splits.append(-(-rare[first] // LIST_ROWS))
                     odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1 if size else np.zeros(256, int)
                     sig.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
+                at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
+                flat, dealt = np.concatenate([np.empty(0, np.uint64), *prefixes]), np.concatenate([np.empty(0, np.int32), *splits])
                 sigs = np.frombuffer(b"".join(sig), "<i8").reshape(-1, 4)
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (flat.view(np.int64), dealt.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int32()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(p, pa.int32()), pa.array(want, pa.int32()), *[pa.array(sigs[:, i]) for i in range(4)], pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))],
-                    ["k", "n", "g1", "g2", "p", "l", "s0", "s1", "s2", "s3", "prefix"],
+                    [part.column(0), pa.array(n, pa.int32()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(p, pa.int32()), pa.array(want, pa.int32()), *[pa.array(sigs[:, i]) for i in range(4)], *lists],
+                    ["k", "n", "g1", "g2", "p", "l", "s0", "s1", "s2", "s3", "prefix", "split"],
                 )
 
-    return df.select("k", "text").mapInArrow(make, "k long, n int, g1 long, g2 long, p int, l int, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
+    return df.select("k", "text").mapInArrow(make, "k long, n int, g1 long, g2 long, p int, l int, s0 long, s1 long, s2 long, s3 long, prefix array<long>, split array<int>")
 
 
 def _shared_least(n: Column, m: Column, percent: int) -> Column:
@@ -132,9 +147,9 @@ def _shared_least(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _fits(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Whether sets of n and m, first alike at places i and j of their order, can still link."""
-    return F.least(n - i, m - j) >= _shared_least(n, m, percent)
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    """Whether the sets of two postings (i, n: the place of a shared shingle and the set's size) can still link."""
+    return F.least(x["n"] - x["i"], y["n"] - y["i"]) >= _shared_least(x["n"], y["n"], percent)
 
 
 def _near(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
@@ -144,52 +159,78 @@ def _near(n: Column, a: Column, m: Column, b: Column, percent: int) -> Column:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (a, salt, b, text) that come by a and salt, those of a itself (b is null) first."""
+    own, held = None, {}
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            (ha, ea), (hb, eb) = _hashed(part.column(2)), _hashed(part.column(3))
-            keep, last, held = [], None, None
+        for part in slices(batch, 3):
+            h, ends = _hashed(part.column(3))
+            a, salt, b = (part.column(i).to_pylist() for i in range(3))
+            out = []
             for i in range(part.num_rows):
-                a = ha[ea[i] : ea[i + 1]]
-                if last is None or len(last) != len(a) or not np.array_equal(last, a):
-                    last, held = a, np.unique(shingles(a, width))
-                b = np.unique(shingles(hb[eb[i] : eb[i + 1]], width))
-                both = len(np.intersect1d(held, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A filter of ids, FILTER_BITS bits whatever their number: built by partial ors in Spark."""
-    at = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    bits = ids.select(F.floor(at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
-    found = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["w"].to_numpy()] = found["bits"].to_numpy()
-    return out
+                s = np.unique(shingles(h[ends[i] : ends[i + 1]], width))
+                if b[i] is None:
+                    if own != (a[i], salt[i]):
+                        own, held = (a[i], salt[i]), {}
+                    held[s.tobytes()] = s
+                    continue
+                for x in held.values():
+                    both = len(np.intersect1d(x, s, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(s) - both):
+                        out.append((a[i], b[i]))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
 
 def verified(pairs: DataFrame, recs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, written to the shared folder.
+    """Those of the written pairs (a, b) whose sets link, written to the shared folder.
 
     First the prefixes must share as many shingles as both documents ask for; then the texts are compared.
     """
-    heads = recs.select("k", "l", "prefix")
+    ids = stored(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+    heads = among(recs.select("k", "l", "prefix"), ["k"], ids)
     one, two = (heads.select(*[F.col(c).alias(f"{c}_{x}") for c in heads.columns]) for x in "ab")
     match = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("l_a", "l_b")
     near = pairs.join(one, F.col("a") == F.col("k_a")).join(two, F.col("b") == F.col("k_b")).filter(match)
-    near = checkpointed(near.select("a", "b").distinct())
-    wanted = texts.sparkSession.sparkContext.broadcast(_filter_words(near.select(F.col("a").alias("k")).union(near.select("b"))))
+    near = stored(near.select("a", "b").distinct())
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
+    near = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b")
+    some = among(texts, ["k"], ids)
+    members = near.join(some, F.col("b") == F.col("k")).select("a", "salt", "b", "text")
+    own = near.select("a", "salt").distinct().join(some, F.col("a") == F.col("k")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    rows = members.unionByName(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return stored(rows.mapInArrow(lambda it: _compared(it, percent, width), "a long, b long"))
 
-    @F.pandas_udf("boolean")
-    def asked(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((wanted.value[x >> 6] >> (x & 63)) & 1 == 1)
 
-    some = texts.filter(asked(F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))))
-    joined = near.join(some.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
-    found = joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _compared(it, percent, width), "a long, b long")
-    return checkpointed(found)
+def lists_of(recs: DataFrame) -> DataFrame:
+    """tok, k, x, lead, top: postings of the shingles that are in the prefixes of several documents, written to the shared folder.
+
+    x is the posting's place and the set's size. lead is the first posting of the task's part of the list,
+    top that of the whole list: there the shingle comes first, so the document has the fewest rarer ones.
+    """
+    post = recs.select("k", "n", F.posexplode(F.slice(F.arrays_zip("prefix", "split"), F.lit(1), F.col("p"))).alias("i", "at"))
+    salt = F.when(F.col("at.split") > 1, F.pmod(F.xxhash64("k"), F.col("at.split"))).otherwise(0).cast("int")
+    post = post.select(F.col("at.prefix").alias("tok"), F.when(F.col("at.split") > 1, salt).alias("salt"), F.struct("i", "n").alias("x"), "k")
+    part = W.partitionBy("tok", "salt")
+    dealt = post.withColumns({"lead": F.min(F.struct("x", "k")).over(part), "docs": F.count("*").over(part)})
+    dealt = dealt.filter("docs > 1 or salt is not null").select("tok", "salt", "k", "x", "lead")
+    dealt = stored(dealt)
+    tops = dealt.filter("salt is not null").groupBy("tok").agg(F.min("lead").alias("top"))
+    split = dealt.filter("salt is not null").join(tops, "tok")
+    return stored(dealt.filter("salt is null").withColumn("top", F.col("lead")).unionByName(split).drop("salt"))
+
+
+def _candidates(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one list of named (tok, k, x, sig, c, outside), one end of each outside its list's top's.
+
+    Sets that link have sizes within percent of each other, so an outsider meets three bands of sizes only.
+    """
+    band = F.floor(F.ln(F.col("x.n")) / (math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else F.col("x.n")
+    named = named.withColumn("band", band)
+    out = named.filter("outside").select("tok", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"{c}_o") for c in ("k", "x", "sig", "c")])
+    one_way = ~F.col("outside") | (F.col("k_o") < F.col("k"))
+    near = _near(F.col("x.n"), F.col("sig"), F.col("x_o.n"), F.col("sig_o"), percent)
+    both = out.join(named, ["tok", "band"]).filter((F.col("c") != F.col("c_o")) & one_way & _fits(F.col("x"), F.col("x_o"), percent) & near)
+    return both.select(F.col("k_o").alias("a"), F.col("k").alias("b"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
@@ -197,38 +238,44 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased. A text of fewer
     words than width has its whole sequence as its one shingle; one without words, or null, has none and
-    links with nothing. Rows with one id are one document that links where any of its texts does. Rows
-    with a null id link with nothing and have a null component_id.
+    links with nothing. Very long texts are taken whole: a task holds the shingles of one text at a time and
+    the set of one leader. Rows with one id are one document that links where any of its texts does; rows
+    that repeat have equal results, one each. Rows with a null id link with nothing and have a null
+    component_id. An empty table gives none. Other columns, whatever their names, aren't read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    recs = checkpointed(records(texts.withColumn("k", F.coalesce("k", F.lit(NO_ID))), percent, width))
+    recs = stored(records(texts.withColumn("k", F.coalesce("k", F.lit(NO_ID))), percent, width))
     some = recs.filter((F.col("n") > 0) & (F.col("k") != F.lit(NO_ID)))
     # Equal sets are one: their smallest id stands for all.
-    sets = some.groupBy("n", "g1", "g2").agg(F.min("k").alias("rep"))
-    member = some.select("k", "n", "g1", "g2").join(sets, ["n", "g1", "g2"]).select("k", "rep").distinct()
-    reps = some.join(sets.select("n", "g1", "g2", F.col("rep").alias("k")), ["n", "g1", "g2", "k"]).dropDuplicates(["k", "n", "g1", "g2"])
-    post = reps.select("k", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("p"))).alias("i", "tok"))
-    # The leader of a list is the one in which the shingle comes first: it has the fewest rarer ones.
-    lead = post.groupBy("tok").agg(F.min(F.struct("i", "n", "k")).alias("lead"), F.count("*").alias("docs")).filter("docs > 1")
-    lists = post.join(lead, "tok").select("tok", "k", "n", "i", "lead")
-    sigs = recs.select(F.col("k").alias("sk"), F.col("n").alias("sn"), F.struct("s0", "s1", "s2", "s3").alias("sig")).distinct()
-    lists = lists.join(sigs, (F.col("k") == F.col("sk")) & (F.col("n") == F.col("sn"))).drop("sk", "sn")
-    heads = sigs.withColumnRenamed("sig", "lead_sig")
-    lists = checkpointed(lists.join(heads, (F.col("lead.k") == F.col("sk")) & (F.col("lead.n") == F.col("sn"))).drop("sk", "sn"))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    fits = _fits(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"), percent)
-    fits &= _near(F.col("n"), F.col("sig"), F.col("lead.n"), F.col("lead_sig"), percent)
-    first = lists.filter((F.col("k") != F.col("lead.k")) & fits).select(*pair("k", "lead.k")).distinct()
+    sets = some.groupBy("n", "g1", "g2").agg(F.min("k").alias("rep"), F.max("k").alias("last")).filter("rep < last")
+    member = stored(some.select("k", "n", "g1", "g2").join(sets, ["n", "g1", "g2"]).filter("k <> rep").select("k", "rep").distinct())
+    sizes = some.groupBy("k").agg(F.count("*").alias("rows")).filter("rows > 1").select("k")
+    single = but_not(some, ["k"], stored(member.select("k").union(sizes).distinct()))
+    # An id with several texts keeps all of its distinct sets.
+    several = among(some, ["k"], sizes).dropDuplicates(["k", "n", "g1", "g2"])
+    lists = lists_of(single.unionByName(several))
+    sig = recs.select("k", "n", F.struct("s0", "s1", "s2", "s3").alias("sig")).distinct()
+    head = lambda x: sig.select(*[F.col(c).alias(f"{c}_{x}") for c in sig.columns])
+    # All meet their leaders, and these the first of their list.
+    led = lists.select(F.col("lead.k").alias("a"), F.col("lead.x").alias("u"), F.col("k").alias("b"), F.col("x").alias("v"))
+    led = led.unionByName(lists.filter("lead.k <> top.k").select(F.col("top.k").alias("a"), F.col("top.x").alias("u"), F.col("lead.k").alias("b"), F.col("lead.x").alias("v")))
+    led = led.filter((F.col("a") != F.col("b")) & _fits(F.col("u"), F.col("v"), percent)).select("a", "b", F.col("u.n").alias("n"), F.col("v.n").alias("m")).distinct()
+    near = _near(F.col("n"), F.col("sig_a"), F.col("m"), F.col("sig_b"), percent)
+    led = led.join(head("a"), (F.col("a") == F.col("k_a")) & (F.col("n") == F.col("n_a"))).join(head("b"), (F.col("b") == F.col("k_b")) & (F.col("m") == F.col("n_b")) & near)
+    first = stored(led.select("a", "b").distinct())
     links = verified(first, recs, texts, percent, width)
     label = components(links)
-    # Lists whose documents are not all in their leader's component: its outsiders meet all others.
-    named = lists.join(label, F.col("k") == F.col("v"), "left").select("tok", "k", "n", "i", "sig", F.coalesce("c", "k").alias("c"))
-    heads = lists.select("tok", F.col("lead.k").alias("lk")).distinct().join(label, F.col("lk") == F.col("v"), "left").select("tok", F.coalesce("c", "lk").alias("lc"))
-    named = checkpointed(named.join(heads, "tok"))
-    out = named.filter("c <> lc").select("tok", *[F.col(x).alias(f"{x}_o") for x in ("k", "n", "i", "sig", "c")])
-    rest = out.join(named.withColumn("inside", F.col("c") == F.col("lc")), "tok")
-    rest = rest.filter((F.col("c") != F.col("c_o")) & (F.col("inside") | (F.col("k_o") < F.col("k"))) & _fits(F.col("n"), F.col("i"), F.col("n_o"), F.col("i_o"), percent) & _near(F.col("n"), F.col("sig"), F.col("n_o"), F.col("sig_o"), percent))
-    rest = rest.select(*pair("k", "k_o")).distinct().join(first, ["a", "b"], "left_anti")
+    # Lists whose documents are not all in the component of their first: its outsiders meet all others.
+    seen = lists.select("k", F.col("top.k").alias("t")).filter("k <> t").distinct()
+    of = lambda x, c: label.select(F.col("v").alias(x), F.col("c").alias(c))
+    apart = stored(seen.join(of("k", "ck"), "k", "left").join(of("t", "ct"), "t", "left").filter(F.coalesce("ck", "k") != F.coalesce("ct", "t")).select("k", "t"))
+    flat = lists.select("tok", "k", "x", F.col("top.k").alias("t"))
+    named = among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct()))
+    named = named.join(of("k", "c"), "k", "left").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n").join(of("t", "ct"), "t", "left")
+    named = stored(named.select("tok", "k", "x", "sig", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("ct", "t")).alias("outside")))
+    both = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    known = first.select(*both).distinct()
+    rest = stored(_candidates(named, percent).select(*both).distinct().join(known, ["a", "b"], "left_anti"))
     links = links.union(verified(rest, recs, texts, percent, width))
     label = components(links.union(member.select(F.col("k").alias("a"), F.col("rep").alias("b"))))
     found = recs.select("k", "n").join(label, F.col("k") == F.col("v"), "left")
@@ -241,22 +288,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-
 def one_of_each(df: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each group of linked ones: that of the smallest id. Null ids stay.
+    """df with one document of each group of linked ones: that of the smallest id. Null ids stay, repeated rows stay or go together.
 
-    Few documents go, so only those that a filter of fixed size takes for one of them are joined.
+    Few documents go, so only those that a filter of fixed size takes for one of them are joined. All columns of
+    df stay as they are, whatever their names. An empty table stays empty.
     """
     found = jaccard_components(df, id_col, text_col, percent, width)
-    gone = checkpointed(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("k")).distinct())
-    shared = df.sparkSession.sparkContext.broadcast(_filter_words(gone))
-
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
-
-    at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), F.lit(FILTER_BITS))
-    marked = df.withColumn("_maybe", maybe(at))
-    rest = marked.filter("_maybe").join(gone, F.col(id_col) == F.col("k"), "left_anti")
-    return marked.filter("not _maybe").unionByName(rest).select(*df.columns)
+    gone = stored(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
+    return but_not(rows, ["id"], gone).select("row.*")
