@@ -247,7 +247,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     recs = stored(records(texts.withColumn("k", F.coalesce("k", F.lit(NO_ID))), percent, width))
     some = recs.filter((F.col("n") > 0) & (F.col("k") != F.lit(NO_ID)))
     # Equal sets are one: their smallest id stands for all.
-    sets = some.groupBy("n", "g1", "g2").agg(F.min("k").alias("rep"), F.max("k").alias("last")).filter("rep < last")
+    sets = stored(some.groupBy("n", "g1", "g2").agg(F.min("k").alias("rep"), F.max("k").alias("last")).filter("rep < last").drop("last"))
     member = stored(some.select("k", "n", "g1", "g2").join(sets, ["n", "g1", "g2"]).filter("k <> rep").select("k", "rep").distinct())
     sizes = some.groupBy("k").agg(F.count("*").alias("rows")).filter("rows > 1").select("k")
     single = but_not(some, ["k"], stored(member.select("k").union(sizes).distinct()))
