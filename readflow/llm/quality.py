@@ -2,7 +2,8 @@
 
 Both views learn from the labelled documents. In each round either view labels the other documents of
 which it is surest, some of each class, and both learn from them. Each view's log odds are calibrated by
-a logistic curve on labelled documents; the mean of the calibrated log odds scores a document.
+a logistic curve on labelled documents that it didn't learn from (a fifth of the sample, by hash); the mean
+of the calibrated log odds scores a document.
 
 The labelled documents are a bounded sample, MAX_LABELLED by the hash of their id. The rounds run in Spark
 over all documents without a label, whose features are computed once: one pass tells the histogram of each
@@ -26,6 +27,8 @@ MAX_LABELLED = 10_000
 BUCKETS, SHAPES = 1 << 17, 1 << 12
 META = 4_096
 ROUNDS, GROWTH = 4, 0.05
+#: One labelled document in so many calibrates, the others teach.
+FOLDS = 5
 #: Classes of odds per unit in the histograms.
 FINE = 4_096
 COLUMNS = ["text", "source", "lang"]
@@ -202,15 +205,18 @@ def _passed(pool: DataFrame, rounds: list[Choice], counted: bool) -> dict[str, n
     return {c: rows[c].to_numpy() for c in ("kind", "at", "n")}
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS, growth: float = GROWTH) -> Model:
+def co_train(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS, growth: float = GROWTH) -> Model:
     """From the labelled rows' features and labels (0 or 1), and all others' (words, meta, h; h is a hash of the id).
 
-    In each round a view labels about ``growth`` of the pool at most.
+    In each round a view labels about ``growth`` of the pool at most. The rows that are held calibrate, if they are
+    of both classes; else all do.
     """
     views = (Bayes(BUCKETS + SHAPES), Bayes(META))
     rows = (text, meta)
+    if len(set(labels[held].tolist())) < 2:
+        held = np.zeros(len(labels), bool)
     for view, r in zip(views, rows, strict=True):
-        view.learn(r, labels)
+        view.learn([x for x, h in zip(r, held, strict=True) if not h], labels[~held])
     good = float(np.mean(labels)) if len(labels) else 0.5
     past: list[Choice] = []
     size = 0
@@ -236,8 +242,9 @@ def co_train(text: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray,
             else:
                 for view in views:
                     view.docs[k - 4] += n
-    y = labels.astype(float)
-    curves = tuple(calibrate(view.odds(r), y) if len(y) else (0.0, 0.0) for view, r in zip(views, rows, strict=True))
+    some = held if held.any() else ~held
+    y = labels[some].astype(float)
+    curves = tuple(calibrate(view.odds(r)[some], y) if len(y) else (0.0, 0.0) for view, r in zip(views, rows, strict=True))
     return Model(*views, curves)
 
 
@@ -249,22 +256,27 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str
     """A model from df (id_col, text, source, lang) and labels (id_col, label_col: above 0 is good).
 
     Null labels count for nothing; of several labels the best counts. Without labels of both classes every score is near
-    the labelled share. Labelled documents beyond max_labelled are left out; all others with an id are the pool.
+    the labelled share, as with an empty table. Labelled documents beyond max_labelled are left out; all others with an id
+    are the pool. Rows that repeat an id are documents of their own with its label. Documents with equal odds at the end of
+    what a round takes are taken by hash. Texts are taken whole; a very long one has at most BUCKETS + SHAPES features.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    known = stored(labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y")))
     ids = df.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
     order = F.xxhash64(F.col("id").cast("string"))
     taken = known.join(ids, "id", "left_semi").orderBy(order, "id").limit(max_labelled)  # so many rows at most
     inputs = _inputs(df, id_col).filter("id is not null")
     found = _features(inputs.join(F.broadcast(taken), "id")).toArrow()
-    at = np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")
+    names = np.array([str(x) for x in found["id"].to_pylist()], object)
+    at = np.argsort(names.astype(str), kind="stable")
+    held = pd.util.hash_array(names, categorize=False) % np.uint64(FOLDS) == 0 if len(names) else np.zeros(0, bool)
     words, meta = ([np.frombuffer(x, np.int32) for x in found[c].to_pylist()] for c in ("words", "meta"))
     y = found["y"].to_numpy()
     pool = None
     if 0 < np.sum(y) < len(y):
-        rest = _features(inputs.withColumn("y", F.lit(-1))).join(known.select("id"), "id", "left_anti")
+        # The labels grow with the documents, so at every size both sides are shuffled; each is a row per id, and features are short.
+        rest = _features(inputs.withColumn("y", F.lit(-1))).hint("merge").join(known.select("id"), "id", "left_anti")
         pool = stored(rest.select("words", "meta", order.alias("h")))
-    return co_train([words[i] for i in at], [meta[i] for i in at], y[at], pool)
+    return co_train([words[i] for i in at], [meta[i] for i in at], y[at], held[at], pool)
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -284,7 +296,9 @@ def _features(rows: DataFrame) -> DataFrame:
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """id_col, p_text, p_meta, score (0 to 1) and keep (score >= least) of every row of df.
 
-    Null texts, sources and languages are features of their own, as empty or null values.
+    Null texts, sources and languages are features of their own, as empty or null values. Equal rows have equal
+    scores, one row each; very long texts are taken whole; an empty table gives no rows. Columns other than id_col,
+    text, source and lang aren't read, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
