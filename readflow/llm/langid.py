@@ -6,8 +6,8 @@ An unseen word falls back to its n-grams of the greatest length of which any is
 letters, each step at a fixed cost. A text goes to the language of the greatest sum.
 
 The most frequent words and n-grams are broadcast too (a bound each), so that only the others of a text are
-joined to the tables. Where a word is looked up doesn't change its score. Scores are whole multiples of
-1 / UNIT, so that sums don't depend on their order.
+joined to the tables, by name. Where a word is looked up doesn't change its score. Scores are whole multiples
+of 1 / UNIT, so that sums don't depend on their order.
 """
 
 from __future__ import annotations
@@ -19,17 +19,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import but_not, slices, stored
 
-#: Runs of letters and marks are words; RE2 syntax.
-NOT_WORD = r"[^\pL\pM]+"
+#: Runs of letters and marks are words if they hold a letter; RE2 syntax.
+NOT_WORD, LETTER = r"[^\pL\pM]+", r"\pL"
 LONGEST = 4
-#: Words and n-grams that are broadcast; the others are joined.
-MAX_WORDS, MAX_GRAMS = 100_000, 100_000
-#: Distinct n-grams of a language that a task counts before it hands them on.
+#: Words and n-grams that are broadcast (a hash and a score per language each); the others are joined.
+MAX_WORDS, MAX_GRAMS = 500_000, 200_000
+#: Distinct names of a language that a task counts before it hands them on.
 MOST_COUNTED = 200_000
 #: Log cost of each step to shorter n-grams, and the weight of words that fall back.
 STEP = 0.4
@@ -43,11 +44,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     found = lists.flatten().dictionary_encode()
     rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     codes = found.indices.to_numpy(zero_copy_only=False)
-    words = found.dictionary.to_pylist()
-    if "" in words:
-        keep = codes != words.index("")
+    real = pc.match_substring_regex(found.dictionary, LETTER).to_numpy(zero_copy_only=False).astype(bool)
+    if not real.all():
+        keep = real[codes]
         codes, rows = codes[keep], rows[keep]
-    return codes, rows, words
+    return codes, rows, found.dictionary.to_pylist()
 
 
 def grams(word: str, n: int) -> Iterator[str]:
@@ -65,140 +66,159 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both, n = np.unique(lang.astype(np.int64) * (len(words) + 1) + codes, return_counts=True)
             names = pa.array(langs.dictionary.to_pylist(), pa.string()).take(pa.array(both // (len(words) + 1)))
             texts = pa.array(words, pa.string()).take(pa.array(both % (len(words) + 1)))
-            yield pa.RecordBatch.from_arrays([names, texts, pa.array(n)], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([names, texts, pa.array(n)], ["lang", "name", "n"])
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found: dict[str, Counter] = defaultdict(Counter)
-        for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True):
+        for lang, word, n in zip(pdf["lang"], pdf["name"], pdf["n"], strict=True):
             mine = found[lang]
             for size in range(1, LONGEST + 1):
                 for g in grams(word, size):
                     mine[g] += n
             if len(mine) > MOST_COUNTED:
-                yield pd.DataFrame({"lang": lang, "gram": list(mine), "n": list(mine.values())})
+                yield pd.DataFrame({"lang": lang, "name": list(mine), "n": list(mine.values())})
                 del found[lang]
         for lang, mine in found.items():
-            yield pd.DataFrame({"lang": lang, "gram": list(mine), "n": list(mine.values())})
-
-
-def _code(name: Column) -> list[Column]:
-    """128 bits that stand for a string in keys."""
-    return [F.xxhash64(name).alias("c1"), F.xxhash64(F.lit(1), name).alias("c2")]
+            yield pd.DataFrame({"lang": lang, "name": list(mine), "n": list(mine.values())})
 
 
 class Table:
-    """Scores of names in every language, in units; for a broadcast."""
+    """Scores of names in every language, in units, by the names' hashes; for a broadcast."""
 
     def __init__(self, rows: pa.Table, k: int):
-        self.at = {x: i for i, x in enumerate(rows["name"].to_pylist())}
-        self.scores = rows["s"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, k) if len(self.at) else np.zeros((0, k), np.int64)
+        codes = self.codes_of(rows["name"].to_pylist())
+        order = np.argsort(codes)
+        self.codes = codes[order]
+        self.scores = rows["s"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, k)[order] if len(codes) else np.zeros((0, k), np.int32)
+
+    @staticmethod
+    def codes_of(names: list[str]) -> np.ndarray:
+        return pd.util.hash_array(np.array(names, object), categorize=False) if names else np.empty(0, np.uint64)
 
     def find(self, names: list[str]) -> np.ndarray:
-        return np.fromiter((self.at.get(x, -1) for x in names), np.int64, len(names))
+        codes = self.codes_of(names)
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
 
 
 class Model:
-    """All words and n-grams with their scores (name, c1, c2, n, s), and the broadcast part of each."""
+    """All words and n-grams with their scores (name, n, s), and the broadcast part of each."""
 
     def __init__(self, langs: list[str], words: DataFrame | None = None, grams: DataFrame | None = None):
         self.langs, self.words, self.grams = langs, words, grams
         self.hot = [Table(_most(x, bound), len(langs)) for x, bound in ((words, MAX_WORDS), (grams, MAX_GRAMS))] if langs else []
 
 
+def _sums(hot: Table, at: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per owner the sums of the scores at the places that aren't -1."""
+    sums = np.zeros((n, hot.scores.shape[1]), np.int64)
+    some = at >= 0
+    for j in range(hot.scores.shape[1] if some.any() else 0):
+        # Whole numbers below 2^53, so that floats are exact.
+        sums[:, j] = np.bincount(owner[some], weights=hot.scores[at[some], j], minlength=n)
+    return sums
+
+
 def word_parts(texts: pa.Array, hot: Table) -> tuple[np.ndarray, np.ndarray, list[list[tuple[str, int]]]]:
     """Of each text: the sums of its words in hot, its number of words, and its other words with their counts."""
     codes, rows, words = words_of(texts)
-    n, k, at = len(texts), hot.scores.shape[1], hot.find(words)
-    seen, sums = np.bincount(rows, minlength=n), np.zeros((n, k), np.int64)
-    found = at[codes]
-    for j in range(k if (found >= 0).any() else 0):
-        # Whole numbers below 2^53, so that floats are exact.
-        sums[:, j] = np.bincount(rows[found >= 0], weights=hot.scores[found[found >= 0], j], minlength=n)
+    n, found = len(texts), hot.find(words)[codes]
     both, times = np.unique(rows[found < 0].astype(np.int64) * (len(words) + 1) + codes[found < 0], return_counts=True)
     cold: list[list[tuple[str, int]]] = [[] for _ in range(n)]
     for x, m in zip(both.tolist(), times.tolist(), strict=True):
         cold[x // (len(words) + 1)].append((words[x % (len(words) + 1)], m))
-    return sums, seen, cold
+    return _sums(hot, found, rows, n), np.bincount(rows, minlength=n), cold
 
 
-def gram_parts(word: str, hot: Table) -> Iterator[tuple[int, np.ndarray, int, list[tuple[str, int]]]]:
-    """Of each size from LONGEST down to the first with an n-gram in hot: the size, sums and number of those in hot, and the others."""
+def gram_parts(words: list[str], hot: Table) -> Iterator[tuple[int, int, np.ndarray, int, list[tuple[str, int]]]]:
+    """Of each word and each size from LONGEST down to the first with an n-gram in hot: the word's place, the size, sums and number of those in hot, and the others."""
+    left = list(range(len(words)))
     for size in range(LONGEST, 0, -1):
-        mine = Counter(grams(word, size))
-        known = {hot.at[g]: m for g, m in mine.items() if g in hot.at}
-        sums = np.array(list(known.values()), np.int64) @ hot.scores[list(known)] if known else np.zeros(hot.scores.shape[1], np.int64)
-        yield size, sums, sum(known.values()), [(g, m) for g, m in mine.items() if g not in hot.at]
-        if known:
-            return
+        mine = [list(grams(words[i], size)) for i in left]
+        flat, owner = [g for x in mine for g in x], np.repeat(np.arange(len(left)), [len(x) for x in mine])
+        at = hot.find(flat)
+        sums, seen = _sums(hot, at, owner, len(left)), np.bincount(owner[at >= 0], minlength=len(left))
+        cold: list[Counter] = [Counter() for _ in left]
+        for j in np.flatnonzero(at < 0).tolist():
+            cold[owner[j]][flat[j]] += 1
+        for j, i in enumerate(left):
+            yield i, size, sums[j], int(seen[j]), list(cold[j].items())
+        left = [i for j, i in enumerate(left) if not seen[j]]
 
 
 _PARTS = "sums array<long>, seen long, cold array<struct<name: string, n: long>>"
 _COLD = pa.list_(pa.struct([("name", pa.string()), ("n", pa.int64())]))
 
 
-def _cold(lists: list[list[tuple[str, int]]]) -> pa.Array:
-    flat = [x for mine in lists for x in mine]
+def _columns(sums: list[np.ndarray], seen: list[int], cold: list[list[tuple[str, int]]]) -> list[pa.Array]:
+    flat = [x for mine in cold for x in mine]
     items = pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([m for _, m in flat], pa.int64())], fields=list(_COLD.value_type))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), items, type=_COLD)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cold)]), pa.int32()), items, type=_COLD)
+    return [pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), lists]
 
 
-def _added(parts: DataFrame, keys: list[str], scores: DataFrame, k: int, count: bool) -> DataFrame:
-    """keys, sums, seen and copies of parts, with the scores (c1, c2, s) of their cold names added; seen counts these if asked."""
-    cold = parts.select(*keys, F.explode("cold").alias("x")).select(*keys, *_code(F.col("x.name")), "x.n")
-    more = cold.join(scores.select("c1", "c2", "s"), ["c1", "c2"])
-    more = more.select(*keys, F.transform("s", lambda x: x * F.col("n")).alias("sums"), (F.col("n") if count else F.lit(0).cast("long")).alias("seen"), F.lit(0).alias("copies"))
-    rows = parts.select(*keys, "sums", "seen", F.lit(1).alias("copies")).unionByName(more)
-    sums = F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(k)])
-    return rows.groupBy(*keys).agg(sums.alias("sums"), F.sum("seen").alias("seen"), F.sum("copies").alias("copies"))
+def _times(s: str, n: str) -> Column:
+    return F.transform(s, lambda x: x.cast("long") * F.col(n))
+
+
+def _total(sums: str, k: int) -> Column:
+    return F.array(*[F.coalesce(F.sum(F.get(sums, F.lit(j))), F.lit(0)) for j in range(k)])
 
 
 def _unseen(names: DataFrame, model: Model) -> DataFrame:
-    """c1, c2, s of names (name, c1, c2) by their n-grams; those without any known n-gram are left out."""
+    """name, s of names by their n-grams; those without any known n-gram are left out."""
     shared, k = names.sparkSession.sparkContext.broadcast(model.hot[1]), len(model.langs)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 200_000):
-                rows = [(i, *x) for i, word in enumerate(part.column(0).to_pylist()) for x in gram_parts(word, shared.value)]
-                at, size, sums, seen, cold = zip(*rows, strict=True)
-                own = [part.column(c).take(pa.array(at)) for c in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int32()), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["w1", "w2", "size", "sums", "seen", "cold"])
-
-    found = stored(names.mapInArrow(parts, f"w1 long, w2 long, size int, {_PARTS}"))
-    found = _added(found, ["w1", "w2", "size"], model.grams, k, True).filter("seen > 0")
-    best = found.groupBy("w1", "w2").agg(F.max(F.struct("size", "sums", "seen")).alias("x"))
-    best = best.select("w1", "w2", "x.size", F.transform("x.sums", lambda x: x / F.col("x.seen")).alias("mean"))
+                at, size, *rest = zip(*gram_parts(part.column(0).to_pylist(), shared.value), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(size, pa.int32()), *_columns(*rest)], ["word", "size", "sums", "seen", "cold"])
+
+    found = stored(names.mapInArrow(parts, f"word string, size int, {_PARTS}"))
+    cold = found.select("word", "size", F.inline("cold")).join(model.grams.select("name", "s"), "name")
+    rows = found.select("word", "size", "sums", "seen").unionByName(cold.select("word", "size", _times("s", "n").alias("sums"), F.col("n").alias("seen")))
+    rows = rows.groupBy("word", "size").agg(_total("sums", k).alias("sums"), F.sum("seen").alias("seen")).filter("seen > 0")
+    best = rows.groupBy("word").agg(F.max(F.struct("size", "sums", "seen")).alias("x"))
+    best = best.select("word", "x.size", F.transform("x.sums", lambda x: x / F.col("x.seen")).alias("mean"))
     cost = (F.lit(LONGEST) - F.col("size")) * STEP * UNIT
-    return best.select(F.col("w1").alias("c1"), F.col("w2").alias("c2"), F.transform("mean", lambda x: F.round(x - F.array_max("mean") - cost).cast("long")).alias("s"))
+    return best.select(F.col("word").alias("name"), F.transform("mean", lambda x: F.round(x - F.array_max("mean") - cost).cast("int")).alias("s"))
 
 
-def verdicts(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """t1, t2 (of _text_key()), lang_pred and score of the distinct texts of df."""
+def verdicts(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep, lang_pred and score of the rows of df."""
     shared, k = df.sparkSession.sparkContext.broadcast(model.hot[0]), len(model.langs)
+    own = [f"c{i}" for i in range(len(keep))]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Numbers of rows hold for good: what they are written with is read back from the shared folder.
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch, 2):
-                sums, seen, cold = word_parts(part.column(2), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(sums), pa.list_(pa.int64())), pa.array(seen, pa.int64()), _cold(cold)], ["t1", "t2", "sums", "seen", "cold"])
-
-    texts = df.select(*_text_key(text_col), F.col(text_col).cast("string").alias("text"))
-    found = stored(texts.mapInArrow(parts, f"t1 long, t2 long, {_PARTS}"))
-    cold = found.select(F.explode("cold").alias("x")).select(F.col("x.name").alias("name"), *_code(F.col("x.name")))
-    names = cold.groupBy("c1", "c2").agg(F.first("name").alias("name")).select("name", "c1", "c2")
-    new = names.join(model.words, ["c1", "c2"], "left_anti").select("name", "c1", "c2")
-    scores = model.words.select("c1", "c2", "s").unionByName(_unseen(new, model))
-    found = _added(found, ["t1", "t2"], scores, k, False)
-    # Equal texts were added up; their sums are copies of one another.
-    one = found.select("t1", "t2", F.transform("sums", lambda x: x / F.col("copies") / UNIT).alias("sums"), (F.col("seen") / F.col("copies")).alias("seen"))
-    return one.select("t1", "t2", *_told(F.col("sums"), F.col("seen"), model.langs))
-
-
-def _text_key(text_col: str) -> list[Column]:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+            for part in slices(batch, 0):
+                sums, seen, cold = word_parts(part.column(0), shared.value)
+                rows = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([rows, *part.columns[1:], *_columns(sums, seen, cold)], ["row", *own, "sums", "seen", "cold"])
+
+    texts = df.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(x) for c, x in zip(keep, own, strict=True)])
+    kinds = "".join(f"{x} {texts.schema[x].dataType.simpleString()}, " for x in own)
+    found = stored(texts.mapInArrow(parts, f"row long, {kinds}{_PARTS}"))
+    cold = found.select("row", F.inline("cold")).join(model.words.select("name", "s"), "name", "left")
+    # What is known of a row's other words is summed up; words without a score stay apart.
+    new = F.when(F.col("s").isNull(), F.col("name")).alias("name")
+    cold = cold.select("row", new, _times("s", "n").alias("got"), "n")
+    cold = stored(cold.groupBy("row", "name").agg(_total("got", k).alias("got"), F.sum("n").alias("n")))
+    new = cold.filter("name is not null").select("row", "name", "n")
+    guessed = new.join(_unseen(new.select("name").distinct(), model), "name").select("row", _times("s", "n").alias("got"))
+    more = cold.filter("name is null").select("row", "got").unionByName(guessed).groupBy("row").agg(_total("got", k).alias("got"))
+    both = found.drop("cold").join(more, "row", "left")
+    sums = F.array(*[(F.get("sums", F.lit(j)) + F.coalesce(F.get("got", F.lit(j)), F.lit(0))) / UNIT for j in range(k)])
+    both = both.select(*own, sums.alias("sums"), F.col("seen").cast("double").alias("seen"))
+    return both.select(*[F.col(x).alias(c) for c, x in zip(keep, own, strict=True)], *_told(F.col("sums"), F.col("seen"), model.langs))
 
 
 def _told(sums: Column, n: Column, langs: list[str]) -> list[Column]:
@@ -211,33 +231,39 @@ def _told(sums: Column, n: Column, langs: list[str]) -> list[Column]:
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the texts of df with a language; counts cover all of them."""
-    texts = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    words = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words, parts = words.persist(), None
-    try:
-        totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        langs = sorted(totals)
-        if not langs:
-            return Model([])
-        parts = words.mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-        size = F.when(F.length("gram") > 1, F.length("gram")).otherwise(1)
-        sizes = parts.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("n"))
-        gram_totals = {(r["lang"], r["size"]): r["n"] for r in sizes.collect()}
-        of_words = [F.lit(totals[x]) for x in langs]
-        of_grams = [F.get(F.array(*[F.lit(gram_totals.get((x, n), 0)) for n in range(1, LONGEST + 1)]), F.length("name") - 1) for x in langs]
-        return Model(langs, _scored(words, "word", langs, of_words), _scored(parts, "gram", langs, of_grams))
-    finally:
-        words.unpersist()
-        if parts is not None:
-            parts.unpersist()
-
-
-def _scored(rows: DataFrame, name: str, langs: list[str], totals: list[Column]) -> DataFrame:
-    """name, c1, c2, n and s of rows (name, lang, n): the true count in every language, as log frequencies in units."""
-    found = rows.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
-    s = [F.round((F.ln(F.col(f"n{i}") + 0.5) - F.ln(t + F.lit(1.0))) * UNIT).cast("long") for i, t in enumerate(totals)]
-    return stored(found.select("name", *_code(F.col("name")), "n", F.array(*s).alias("s")))
+    """A model of the texts of df with a language; counts cover all of them, whole texts, repeated rows each.
+
+    Null texts and languages teach nothing; from an empty table comes a model that knows no language.
+    """
+    texts = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    words = _by_name(texts.mapInArrow(_count_words, "lang string, name string, n long"))
+    rows = words.select("name", F.inline("by"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals)
+    if not langs:
+        return Model([])
+    parts = _by_name(rows.mapInPandas(_count_grams, "lang string, name string, n long"))
+    sizes = parts.select(F.length("name").alias("size"), F.inline("by")).groupBy("lang", "size").agg(F.sum("n").alias("n"))
+    gram_totals = {(r["lang"], r["size"]): r["n"] for r in sizes.collect()}
+    of_words = [F.lit(totals[x]) for x in langs]
+    of_grams = [F.get(F.array(*[F.lit(gram_totals.get((x, n), 0)) for n in range(1, LONGEST + 1)]), F.length("name") - 1) for x in langs]
+    return Model(langs, _scored(words, langs, of_words), _scored(parts, langs, of_grams))
+
+
+def _by_name(rows: DataFrame) -> DataFrame:
+    """name and by, the counts (lang, n) of its languages, from rows (lang, name, n), written to the shared folder.
+
+    Tasks hand on sums, so a frequent name has a row or so per slice; one shuffle serves both groupings.
+    """
+    sums = rows.repartition("name").groupBy("name", "lang").agg(F.sum("n").alias("n"))
+    return stored(sums.groupBy("name").agg(F.collect_list(F.struct("lang", "n")).alias("by")))
+
+
+def _scored(rows: DataFrame, langs: list[str], totals: list[Column]) -> DataFrame:
+    """name, n and s of rows (name, by): the true count in every language, as log frequencies in units."""
+    count = lambda x: F.aggregate("by", F.lit(0).cast("long"), lambda s, y: s + F.when(y["lang"] == x, y["n"]).otherwise(0))
+    s = [F.round((F.ln(count(x) + 0.5) - F.ln(t + F.lit(1.0))) * UNIT).cast("int") for x, t in zip(langs, totals, strict=True)]
+    return stored(rows.select("name", F.aggregate("by", F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), F.array(*s).alias("s")))
 
 
 def _most(rows: DataFrame, bound: int) -> pa.Table:
@@ -258,54 +284,31 @@ def _most(rows: DataFrame, bound: int) -> pa.Table:
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's columns id_col and text_col with lang_pred and score (0 to 1).
+    """id_col, lang_pred and score (0 to 1) of the rows of df, one each.
 
-    A text that is null or has no letters gets ``und`` and 0; so does every text if the model knows no
-    language. Equal texts get equal results; of languages with equal sums the first by name wins.
+    A text that is null or has no letters (marks alone are none) gets ``und`` and 0; so does every text if
+    the model knows no language. Equal texts get equal results, whatever their ids; of languages with equal
+    sums the first by name wins. Texts count whole, however long. An empty table gives no rows. Other
+    columns, whatever their names, aren't read.
     """
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     if not model.langs:
-        return rows.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    found = rows.withColumns(dict(zip(("t1", "t2"), _text_key(text_col), strict=True))).join(verdicts(df, model, text_col), ["t1", "t2"])
-    return found.select(id_col, text_col, "lang_pred", "score")
+        return df.select(F.col(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return verdicts(df.select(F.col(id_col), F.col(text_col)), model, [id_col], text_col)
 
 
-def predicted(model: Model, spark: SparkSession, text_col: str = "text") -> Column:
-    """Column of structs (lang_pred, score) for a text column, as identify() gives them.
+def told(df: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language is told with a score of at least ``least``; all columns as they are.
 
-    A column can't be joined, so here the whole model is broadcast: for small models only.
+    Rows are as in identify(). What isn't told is looked for by two hashes of the text, behind a filter of
+    fixed size, so that where little goes few texts are shuffled. Column names don't matter.
     """
-    langs = model.langs
-    shared = spark.sparkContext.broadcast([Table(x.select("name", "s").toArrow(), len(langs)) for x in (model.words, model.grams)] if langs else None)
-
-    @F.pandas_udf("sums array<double>, seen double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        words, parts = shared.value
-        out = []
-        for batch in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
-            sums, seen, cold = word_parts(batch.column(0), words)
-            for row, mine in enumerate(cold):
-                for word, m in mine:
-                    *_, (size, own, count, _) = gram_parts(word, parts)
-                    if count:
-                        mean = own / count
-                        sums[row] += m * np.floor(mean - mean.max() - (LONGEST - size) * STEP * UNIT + 0.5).astype(np.int64)
-            out += [(list(x / UNIT), float(n)) for x, n in zip(sums, seen, strict=True)]
-        return pd.DataFrame(out, columns=["sums", "seen"])
-
-    if not langs:
-        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    parts = predict(F.col(text_col).cast("string"))
-    return F.transform(F.array(parts), lambda x: F.struct(*_told(x.sums, x.seen, langs)))[0]
-
-
-def told(df: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of df whose language is told with a score of at least ``least``; all columns as they are."""
     if not model.langs:
         return df.limit(0)
-    kept = verdicts(df, model, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("t1", "t2")
-    rows = df.withColumns(dict(zip(("t1", "t2"), _text_key(text_col), strict=True)))
-    return rows.join(kept, ["t1", "t2"], "left_semi").select(*df.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = df.select(text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    gone = verdicts(keys, model, ["t1", "t2"]).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    rows = df.select(F.struct("*").alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    return but_not(rows, ["t1", "t2"], stored(gone.select("t1", "t2").distinct())).select("row.*")
 
 
 def held_out(id_col: str = "doc_id"):
