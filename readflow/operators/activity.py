@@ -146,6 +146,11 @@ def replay(actions: DataFrame, units: DataFrame) -> DataFrame:
     return actions.groupBy("reader", "text_hash").cogroup(needed.groupBy("of", "text")).applyInPandas(run, STATE)
 
 
+def finishes(states: DataFrame) -> DataFrame:
+    """reader, text_hash, finished_at, seq, ja_characters, en_words, ja_ms, en_ms, played_ms: the records of the actions that finished a text (states: replay())."""
+    return states.filter("finished").select("reader", "text_hash", F.timestamp_millis("ts_ms").alias("finished_at"), "seq", "ja_characters", "en_words", "ja_ms", "en_ms", "played_ms")
+
+
 def played(actions: DataFrame, now_ms: Column | None = None) -> DataFrame:
     """reader, text_hash, played_ms from play, pause and finish alone: windows, no fold.
 

@@ -410,15 +410,6 @@ def e2_played(spark, sf_dir):
     return activity.played(A.actions(spark, sf_dir))
 
 
-@query("e1_replay")
-def e1_replay(spark, sf_dir):
-    """The fold over all actions, with the units of the documents whose id is k. (Tested against a plain replay.)"""
-    acts = A.actions(spark, sf_dir).filter("action <> 'finish'")
-    docs = A.table(spark, sf_dir, "documents").join(acts.select(F.col("text_hash").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    units = segment.units(docs).withColumn("text_hash", F.col("doc_id").cast("string"))
-    return activity.replay(acts, activity.unit_table(units))
-
-
 def _spoken(spark, sf_dir):
     """Units of the documents that events name by k."""
     named = A.events(spark, sf_dir).select(F.col("k").cast("long").alias("doc_id")).distinct()
@@ -575,8 +566,12 @@ def s4_sessions(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import rules  # noqa: F401  registers its queries
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import rules  # noqa: F401
+
     return dict(SQL)
