@@ -100,3 +100,36 @@ def ingest(texts: DataFrame, path: str, checkpoint: str):
             fresh.unpersist()
 
     return texts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+
+
+def english_days(finished_units: DataFrame, shown: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """reader, date, english_read, translations per day, from unit ends (reader, ts, language) and rises (reader, ts) of a shown translation.
+
+    Both streams are put together as one, so that a day is one row of one window; what comes later than the lateness is dropped.
+    """
+    ends = finished_units.select("reader", "ts", (F.col("language") == "en").alias("english"), F.lit(0).alias("rise"))
+    both = ends.unionByName(shown.select("reader", "ts", F.lit(False).alias("english"), F.lit(1).alias("rise"))).withWatermark("ts", lateness)
+    found = both.groupBy("reader", F.window("ts", "1 day").alias("w")).agg(F.max("english").alias("english_read"), F.sum("rise").alias("translations"))
+    return found.select("reader", F.to_date("w.start").alias("date"), "english_read", "translations")
+
+
+def request_verdicts(requests: DataFrame, limit: int = crawl.REQUESTS, period: int = crawl.PERIOD, lateness: str = "2 minutes") -> DataFrame:
+    """request_id, key, ts, limited: a verdict per request (request_id, key, ts) as it comes; the state of a key and period is one number.
+
+    In a batch requests count by time and id; those of a later batch count after them.
+    """
+    bucket = F.floor(F.unix_seconds("ts") / period)
+    rows = requests.withWatermark("ts", lateness).select("request_id", "key", "ts", bucket.alias("bucket"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"], kind="stable")
+        before = state.get[0] if state.exists else 0
+        state.update((before + len(pdf),))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * period * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pdf[["request_id", "key", "ts"]].assign(limited=[before + i >= limit for i in range(len(pdf))])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("request_id", "key", "ts"))
+    return rows.groupBy("key", "bucket").applyInPandasWithState(step, f"{kinds}, limited boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)

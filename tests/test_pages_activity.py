@@ -194,3 +194,77 @@ def test_readers_return(spark, tmp_path):
     q.stop()
     last = spark.table("returns").filter("reader = 1").orderBy("seq").collect()[-1]
     assert (last.status, last.unit_index, last.played_ms, last.en_words) == ("paused", 3, 7_000, 2)
+
+
+def _streamed(spark, tmp_path, name, make, *inputs, mode="append"):
+    """The rows of a stream over inputs, each a (folder name, batches of rows, schema); batches come one by one."""
+    streams = []
+    for folder, _, schema in inputs:
+        (tmp_path / folder).mkdir()
+        streams.append(spark.readStream.schema(schema).parquet(str(tmp_path / folder)))
+    q = make(*streams).writeStream.format("memory").outputMode(mode).queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
+    for i in range(max(len(parts) for _, parts, _ in inputs)):
+        for folder, parts, schema in inputs:
+            if i < len(parts):
+                spark.createDataFrame(parts[i], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+        q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_live_verdicts(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    parts = [[(i, "k", at(i)) for i in range(4)] + [(10, "other", at(1))], [(4, "k", at(30)), (5, "k", at(61))]]
+    got = {r.request_id: r.limited for r in _streamed(spark, tmp_path, "verdicts", lambda s: streaming.request_verdicts(s, limit=3), ("in", parts, "request_id long, key string, ts timestamp"))}
+    assert got == {0: False, 1: False, 2: False, 3: True, 10: False, 4: True, 5: False}
+
+
+def test_live_days(spark, tmp_path):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    ends = [[(1, at(1, 5), "en"), (1, at(1, 6), "ja"), (1, at(2, 1), "ja")], [(2, at(9, 1), "en")]]
+    shown = [[(1, at(1, 7)), (1, at(2, 8)), (1, at(2, 9))], [(2, at(9, 1))]]
+    got = _streamed(spark, tmp_path, "english", streaming.english_days, ("ends", ends, "reader long, ts timestamp, language string"), ("shown", shown, "reader long, ts timestamp"))
+    assert {(r.reader, str(r.date)): (r.english_read, r.translations) for r in got} == {(1, "2024-01-01"): (True, 1), (1, "2024-01-02"): (False, 2)}
+
+
+def test_live_sessions_and_finishes(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    got = _streamed(spark, tmp_path, "sittings", streaming.sessions, ("in", [[(1, at(0)), (1, at(10)), (1, at(50))], [(2, at(500))]], "reader long, ts timestamp"))
+    assert sorted((r.reader, r.start, r.events) for r in got) == [(1, at(0), 2), (1, at(50), 1)]
+    rows = [[(1, at(0), 5), (1, at(0), 6), (1, at(1), 7)], [(1, at(0), 8)]]
+    kept = _streamed(spark, tmp_path, "once", streaming.distinct_finishes, ("done", rows, "reader long, finished_at timestamp, seq long"))
+    assert sorted(r.finished_at for r in kept) == [at(0), at(1)]
+
+
+def test_ingest_adds_new_texts_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    texts = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    for rows in ([(1, "a b."), (2, " a b. \r\n"), (3, "")], [(4, "a b."), (5, "c")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streaming.ingest(texts, str(tmp_path / "out"), str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    units = spark.read.parquet(str(tmp_path / "out" / "units"))
+    assert sorted(r.text for r in units.collect()) == ["a", "b.", "c"]
+    assert spark.read.parquet(str(tmp_path / "out" / "hashes")).count() == 2
+
+
+def test_files_and_writers(spark, tmp_path):
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "a.txt").write_bytes("one\r\ntwo".encode())
+    (tmp_path / "books" / "b.TXT").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "books" / "c.pdf").write_bytes(b"x")
+    (tmp_path / "books" / "d.epub").write_bytes(_book())
+    found = files.read_files(spark, str(tmp_path / "books"))
+    assert sorted((r.kind or "", r.reason or "") for r in found.collect()) == [("", "unsupported-file"), ("epub", ""), ("txt", ""), ("txt", "")]
+    assert sorted((r.text or "", r.reason or "") for r in files.import_texts(found).collect()) == [("", "unsupported-encoding"), ("one\ntwo", "")]
+    entries = files.archive_entries(found.filter("kind = 'epub'").select(F.col("path").alias("book_id"), "content"))
+    assert {r.path for r in entries.collect()} == {"META-INF/container.xml", "O/p.opf", "O/a b.xhtml", "b.xhtml"}
+    from readflow.operators import segment
+
+    units = segment.units(spark.createDataFrame([(1, "a b"), (2, "日本")], "doc_id long, text string"))
+    files.write_units(units, str(tmp_path / "units"))
+    assert {(r.language, r.text) for r in spark.read.parquet(str(tmp_path / "units")).collect()} == {("en", "a"), ("en", "b"), ("ja", "日本")}
+    days = spark.createDataFrame([(1, "2024-01-01", 2)], "reader long, date string, finishes long")
+    files.write_daily(days, str(tmp_path / "days"))
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 1
