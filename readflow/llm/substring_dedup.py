@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, NO_ID, WORD, mixed, slices, word_hashes
+from .common import GAP, NO_ID, WORD, but_not, mixed, slices, stored, word_hashes
 
 WIDTH, GRAM = 50, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -73,18 +73,17 @@ def _out(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with _k and _h, a null-free key of the row's id and text (null as empty)."""
-    return df.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    """k and h, a null-free key of the row's id and text (null as empty), and row, all columns of df."""
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.struct("*").alias("row"))
 
 
 def repeated_windows(rows: DataFrame, text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """_k, _h, _starts (int array): where the repeated windows of a row of _keys() start.
+    """k, h, starts (int array): where the repeated windows of a row of _keys() start.
 
-    Exact copies of an earlier text are all repeated: for them _starts is the array of -1 alone. Rows
+    Exact copies of an earlier text are all repeated: for them starts is the array of -1 alone. Rows
     with a null id neither give nor lose windows; rows that repeat a key share their windows.
     """
     gram = min(gram, width)
-    at = {x: i for i, x in enumerate(rows.columns)}
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, docs in _texts(batches, 3):
@@ -93,22 +92,23 @@ def repeated_windows(rows: DataFrame, text_col: str = "text", width: int = WIDTH
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             marks = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
             keys = [part.column(i).take(pa.array(long, pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends), marks)], ["_k", "_h", "_g", "marks"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends), marks)], ["k", "h", "g", "marks"])
 
-    usable = rows.filter(F.col("_k") != F.lit(NO_ID))
-    docs = usable.select("_k", "_h", F.hash(text_col).alias("_g"), text_col).mapInArrow(anchors, "_k long, _h long, _g int, marks array<long>")
+    text = F.col("row").getField(text_col)
+    usable = rows.filter(F.col("k") != F.lit(NO_ID)).select("k", "h", F.hash(text).alias("g"), text.alias("text"))
+    docs = stored(usable.mapInArrow(anchors, "k long, h long, g int, marks array<long>"))
     # Copies are told by two hashes of the text; the first of them stands for all.
-    first = docs.groupBy("_h", "_g").agg(F.min("_k").alias("_first"))
-    docs = docs.join(first, ["_h", "_g"])
-    copies = docs.filter("_k > _first").select("_k", "_h", F.array(F.lit(-1)).alias("_starts")).distinct()
-    marks = docs.filter("_k = _first").select("_k", "_h", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).filter("low < high").select("mark")
-    mine = marks.join(shared, "mark").groupBy("_k", "_h").agg(F.collect_set("mark").alias("marks"))
+    first = docs.groupBy("h", "g").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("h", "g", "first")
+    copies = stored(docs.select("k", "h", "g").join(first, ["h", "g"]).filter("k > first").select("k", "h").distinct())
+    marks = but_not(docs.select("k", "h", "marks"), ["k", "h"], copies).select("k", "h", F.explode("marks").alias("mark"))
+    shared = marks.groupBy("mark").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("mark")
+    mine = marks.join(shared, "mark").groupBy("k", "h").agg(F.collect_set("mark").alias("marks"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, at[text_col]):
+        flat = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).field(text_col), b.column(3)], ["k", "h", "text", "marks"]) for b in batches)
+        for part, texts in _texts(flat, 2):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k, h, d, known in zip(part.column(at["_k"]).to_numpy(), part.column(at["_h"]).to_numpy(), texts, part.column(len(at)), strict=True):
+            for k, h, d, known in zip(part.column(0).to_numpy(), part.column(1).to_numpy(), texts, part.column(3), strict=True):
                 low = minimizers(d, width, gram)
                 here = np.flatnonzero(np.isin(low, known.values.to_numpy().view(np.uint64)))
                 for x, y in zip(out, (np.full(len(here), k), np.full(len(here), h), low[here], rolling(d, width)[here], here.astype(np.int32)), strict=True):
@@ -116,12 +116,13 @@ def repeated_windows(rows: DataFrame, text_col: str = "text", width: int = WIDTH
             if out[0]:
                 yield _out(*[np.concatenate(x) for x in out])
 
-    # All columns of rows go in, so that this shuffle of the texts is the one that the caller uses again.
-    found = rows.join(mine, ["_k", "_h"]).select(*rows.columns, "marks")
-    found = found.mapInArrow(windows, "_k long, _h long, mark long, code long, start int")
-    lows = found.groupBy("mark", "code").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).filter("low < high").select("mark", "code", "low")
-    later = found.join(lows, ["mark", "code"]).filter("_k > low")
-    return later.groupBy("_k", "_h").agg(F.collect_list("start").alias("_starts")).unionByName(copies)
+    # Whole rows go in, so that this shuffle of the texts is the one that the caller uses again.
+    found = rows.join(mine, ["k", "h"]).select("k", "h", "row", "marks")
+    found = found.mapInArrow(windows, "k long, h long, mark long, code long, start int")
+    # The lows are dealt out anew, so that the join has a shuffle on either side and a frequent window can be split.
+    lows = found.groupBy("mark", "code").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("mark", "code", "low").repartition("low")
+    later = found.join(lows, ["mark", "code"]).filter("k > low")
+    return later.groupBy("k", "h").agg(F.collect_list("start").alias("starts")).unionByName(copies.withColumn("starts", F.array(F.lit(-1))))
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -150,10 +151,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text stays null, a short one as it is; removed is then empty. Rows with a null id stay as they
     are. Rows of one id don't take words from each other, so repeated rows stay. Windows are judged on the
-    input, not on what is left. Kept words keep the gaps between them.
+    input, not on what is left. Kept words keep the gaps between them. Texts count whole; a task holds the
+    windows of one slice of texts, or of one very long text. An empty table stays empty. All other columns
+    stay as they are, whatever their names; one named removed gives way to the result's.
     """
     rows = _keys(df, id_col, text_col)
-    found = rows.join(repeated_windows(rows, text_col, width, gram), ["_k", "_h"], "left")
+    found = rows.join(repeated_windows(rows, text_col, width, gram), ["k", "h"], "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -168,9 +171,10 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["text", "removed"])
 
     # Texts that lose nothing don't go to Python.
-    lost = F.col("_starts").isNotNull()
-    found = found.withColumn("_cut", cut(F.when(lost, F.col(text_col)), F.col("_starts")))
-    return found.select(*[F.when(lost, F.col("_cut.text")).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in df.columns], F.col("_cut.removed").alias("removed"))
+    lost, own = F.col("starts").isNotNull(), lambda c: F.col("row").getField(c)
+    found = found.withColumn("cut", cut(F.when(lost, own(text_col)), F.col("starts")))
+    kept = [(F.when(lost, F.col("cut.text")).otherwise(own(c)) if c == text_col else own(c)).alias(c) for c in df.columns if c.lower() != "removed"]
+    return found.select(*kept, F.col("cut.removed").alias("removed"))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
