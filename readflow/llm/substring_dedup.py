@@ -98,7 +98,7 @@ def repeated_windows(rows: DataFrame, text_col: str = "text", width: int = WIDTH
     usable = rows.filter(F.col("k") != F.lit(NO_ID)).select("k", "h", F.hash(text).alias("g"), text.alias("text"))
     docs = stored(usable.mapInArrow(anchors, "k long, h long, g int, marks array<long>"))
     # Copies are told by two hashes of the text; the first of them stands for all.
-    first = docs.groupBy("h", "g").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("h", "g", "first")
+    first = stored(docs.groupBy("h", "g").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("h", "g", "first"))
     copies = stored(docs.select("k", "h", "g").join(first, ["h", "g"]).filter("k > first").select("k", "h").distinct())
     marks = but_not(docs.select("k", "h", "marks"), ["k", "h"], copies).select("k", "h", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("mark")
