@@ -40,7 +40,7 @@ from .substring_dedup import rolling
 BUCKETS = 1 << 18
 LONGEST_MATCH = 4
 #: Documents of a list in one task by the estimate, and candidates that share a copy of their leader's text.
-LIST_ROWS, COMPARED = 100_000, 1_000
+LIST_ROWS, COMPARED = 100_000, 250
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
