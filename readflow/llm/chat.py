@@ -61,8 +61,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def replies(rows: DataFrame) -> DataFrame:
     """Messages of linear conversations (conv_id, turn, role, text): each replies to the one before.
 
-    Turns that are equal are ordered by role, then text; a null turn comes first. A null conv_id is a
-    conversation of its own.
+    Turns that are equal are ordered by role, then text, so repeated rows are turns of their own; a null turn
+    comes first. A null conv_id is a conversation of its own, null roles and texts are empty. An empty table
+    has no messages. Other columns, whatever their names, aren't read.
     """
     tree = F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID))
     named = rows.select(tree.alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -106,8 +107,10 @@ def ranked(messages: DataFrame, found: DataFrame, keep: int | None = None) -> Da
 def format_paths(messages: DataFrame, keep: int | None = None, learn: str = "assistant") -> DataFrame:
     """tree, leaf, rank, n_turns, formatted, loss (spans) of the best paths of each tree (all by default).
 
-    messages: tree, node, parent, role, text, score (null roles and texts count as empty). A conversation
-    is one text, so its turns meet in one row; nothing else is gathered.
+    messages: tree, node, parent, role, text, score (null roles and texts count as empty, a null score as 0). Of
+    a node's repeated rows the first by role and text counts; branches of equal scores go by their leaf. A
+    conversation is one text, so its turns meet in one row, however long; nothing else is gathered. Without
+    messages there are no rows.
     """
     found = paths(messages)
     best = ranked(messages, found, keep)

@@ -82,7 +82,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col and fingerprint (string) of every row of df.
 
     A null text counts as empty; texts without words share one fingerprint. Rows that repeat both id
-    and text count once and their result repeats; rows with one id and other texts are apart.
+    and text count once and their result repeats; rows with one id and other texts are apart. Texts count
+    whole; the words of a very long one are spread over tasks. Terms of equal rank can't be told apart and
+    give one mark. An empty table gives no rows. Other columns, whatever their names, aren't read.
     """
     rows = keyed(df, id_col, text_col).groupBy("k", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     words = rows.select("k", "h", _weight(F.col("text")).alias("total"), F.explode(_words("text")).alias("word"))
@@ -120,8 +122,9 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited form has its last floor(n/4) characters replaced by the first as many of the next text
     (by id; after the last comes the first). Columns: id_col, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Nulls and repeated rows are taken as in fingerprints().
-    The order among equal ids is that of a hash of the text; a null id comes first.
+    edited_fingerprint, near_edited, near_next. Nulls, repeated rows, very long texts, empty tables and
+    other columns are taken as in fingerprints(). The order among equal ids is that of a hash of the text;
+    a null id comes first. The next document of a table's only one is itself.
     """
     texts = keyed(df, id_col, text_col).groupBy("k", "h").agg(F.first("text").alias("text"))
     sizes = keyed(df, id_col, text_col).select("k", "h", F.length("text").alias("n")).groupBy("k", "h").agg(F.max("n").alias("n"), F.count("*").alias("copies"))

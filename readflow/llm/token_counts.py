@@ -102,7 +102,9 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id_col, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of df.
 
     path is a vocabulary file of the tokenizers library (byte-level BPE) that every worker can read.
-    A null text counts as empty: 0 bytes, 0 tokens. Rows repeat as they come; other columns are left.
+    A null text counts as empty: 0 bytes, 0 tokens. Rows repeat as they come, equal ones with equal counts; an empty
+    table gives none. Texts count whole; a run of letters in a very long one is merged in time that grows with its
+    length times its logarithm. Other columns, whatever their names, aren't read.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
