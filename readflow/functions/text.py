@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
@@ -101,29 +103,30 @@ def _first(lines: Column, hit) -> Column:
     return F.coalesce(F.get(places, F.lit(0)), F.lit(-1))
 
 
-def _footer(lines: Column, since: Column) -> Column:
-    """Where the notes on the source book start: its first line, if the credit stands in a later one."""
-    start = _first(lines, lambda x, i: (i >= since) & x.startswith(SOURCE_BOOK))
-    credit = F.exists(F.slice(lines, start + 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.contains(CREDIT))
-    return F.when((start >= 0) & credit, start).otherwise(F.lit(-1))
-
-
 def is_aozora(text: Column) -> Column:
+    """Whether a text has the notation's description of symbols, an inputter's note, or a source-book footer."""
     lines = F.split(text, "\n", -1)
-    return text.contains(SYMBOL_HEADING) | text.contains(NOTE_START) | (_footer(lines, F.lit(0)) >= 0)
+    start = _first(lines, lambda x, i: x.startswith(SOURCE_BOOK))
+    credit = F.exists(F.slice(lines, F.greatest(start, F.lit(0)) + 2, F.size(lines)), lambda x: x.contains(CREDIT))
+    footed = text.contains("\n" + SOURCE_BOOK) | text.startswith(SOURCE_BOOK)
+    return text.contains(SYMBOL_HEADING) | text.contains(NOTE_START) | (footed & text.contains(CREDIT) & credit)
 
 
-def aozora_body(text: Column) -> Column:
-    """The text less its description of symbols and its source-book footer."""
-    lines = F.split(text, "\n", -1)
-    rule = lambda x: trim(x).rlike(r"\A-{10,}\z")
-    head = _first(lines, lambda x, i: rule(x))
-    tail = F.when(head >= 0, _first(lines, lambda x, i: (i > head) & rule(x))).otherwise(F.lit(-1))
-    described = (tail > 0) & F.exists(F.slice(lines, head + 1, F.greatest(tail - head, F.lit(0))), lambda x: x.contains(SYMBOL_HEADING))
-    foot = _footer(lines, F.when(described, tail + 1).otherwise(F.lit(0)))
-    end = F.when(foot >= 0, foot).otherwise(F.size(lines))
-    kept = F.filter(lines, lambda x, i: (i < end) & (~described | (i < head) | (i > tail)))
-    return F.array_join(kept, "\n")
+_rule = re.compile(f"[{SPACE}]*-{{10,}}[{SPACE}]*")
+
+
+def aozora_body(text: str) -> str:
+    """text less its description of symbols (between two rules) and its source-book footer (from its first line, if the credit stands in a later one)."""
+    lines = text.split("\n")
+    rules = [i for i, x in enumerate(lines) if _rule.fullmatch(x)][:2]
+    if len(rules) == 2 and any(SYMBOL_HEADING in x for x in lines[rules[0] : rules[1]]):
+        head, rest = lines[: rules[0]], lines[rules[1] + 1 :]
+    else:
+        head, rest = [], lines
+    foot = next((i for i, x in enumerate(rest) if x.startswith(SOURCE_BOOK)), len(rest))
+    if any(CREDIT in x for x in rest[foot + 1 :]):
+        rest = rest[:foot]
+    return "\n".join([*head, *rest])
 
 
 def without_notes(text: str) -> str:
@@ -142,14 +145,10 @@ def without_notes(text: str) -> str:
     return "".join(out)
 
 
-def _without_notes(text: Column) -> Column:
-    return F.pandas_udf(lambda texts: texts.map(lambda x: None if x is None else without_notes(x)), "string", PandasUDFType.SCALAR)(text)
-
-
 def strip_aozora(text: Column) -> Column:
-    """Body without notes and readings; breaks of three or more lines become two."""
-    noted = _without_notes(F.when(text.isNotNull(), aozora_body(text)))
-    return trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(noted, "《[^》]*》", ""), "｜", ""), "\n{3,}", "\n\n"))
+    """Body without notes and readings; breaks of three or more lines become two. The notation's order and nesting are read by a small helper."""
+    helper = F.pandas_udf(lambda texts: texts.map(lambda x: None if x is None else without_notes(aozora_body(x))), "string", PandasUDFType.SCALAR)
+    return trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(helper(text), "《[^》]*》", ""), "｜", ""), "\n{3,}", "\n\n"))
 
 
 def import_plain(text: Column, aozora: bool = True) -> Column:

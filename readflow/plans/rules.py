@@ -13,6 +13,23 @@ from .queries import _EV, _FIN, _JA, _TIMED, _UNITS, KANA, LATIN, query
 
 # --- texts ---------------------------------------------------------------------------------------
 
+#: A head with a description of symbols, and a footer, as the notation has them.
+_RULE = "-" * 30
+_HEAD = f"題\n著者\n\n{_RULE}\n【テキスト中に現れる記号について】\n\n《》：ルビ\n（例）漢字《かんじ》\n{_RULE}\n\n\n\n"
+_FOOT = "\n\n\n底本：「本」出版\n入力：人\nこのファイルは、インターネットの図書館、青空文庫で作られました。\n"
+
+
+@query("a8_aozora", """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[｜《》［］\\r]', '', 'g') AS b FROM documents),
+u AS (SELECT doc_id, trim(regexp_replace('題' || repeat(chr(10), 1) || '著者' || repeat(chr(10), 5) || b || repeat(chr(10), 3), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM t)
+SELECT doc_id, sha256(t) AS text_hash, CAST(length(t) AS BIGINT) AS chars FROM u""")
+def a8_aozora(spark, sf_dir):
+    """Every text in the Aozora Bunko notation (head, readings, nested notes, footer), read back as it was."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[｜《》［］\r]", "")
+    marked = F.concat(F.lit(_HEAD), F.regexp_replace(body, " ", "《よみ》 ｜［＃注［＃中］記］"), F.lit(_FOOT))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", T.import_plain(marked).alias("t"))
+    return rows.select("doc_id", T.text_hash(F.col("t")).alias("text_hash"), F.length("t").cast("long").alias("chars"))
+
+
 @query("d3_seconds", f"WITH {_TIMED} SELECT doc_id, unit_index, round(60.0::DOUBLE / 1.0 * (1 + CASE pause WHEN 'none' THEN 0 WHEN 'comma' THEN 0.5 WHEN 'sentence' THEN 1 ELSE 2 END), 6) AS seconds FROM timed")
 def d3_seconds(spark, sf_dir):
     """D3: display times without rounding, in seconds; a speed below 1 counts as 1."""
