@@ -61,8 +61,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = sentence_pieces.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "inclusion", F.xxhash64("ids").alias("ids_hash"))
+    found = sentence_pieces.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    back = F.sha2("decoded", 256).alias("decoded_sha256")
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), back)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

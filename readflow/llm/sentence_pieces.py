@@ -22,8 +22,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +75,8 @@ class Vocabulary:
             maybe = np.zeros(1 << 18, bool)  # most places have no piece of a length: a look at this tells
             maybe[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
             self.by_size[n] = h[order], np.array([i for _, i in found])[order], maybe
-        self.text = [chr(int(x[1:-1], 16)) if i in self.bytes.values() else x.replace(chr(MARK), " ") for i, x in enumerate(self.names)]
+        value = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = pa.array([value.get(i, x.replace(chr(MARK), " ").encode()) for i, x in enumerate(self.names)], pa.binary())
 
     @staticmethod
     def hashes(points: np.ndarray) -> np.ndarray:
@@ -227,9 +228,9 @@ class _Text:
 
 
 def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int, theta: float):
-    """For each text its samples: (ids, log probability, inclusion probability), best perturbed score first."""
+    """For each text its samples: (ids, log probability, log of the inclusion probability), best perturbed score first."""
     live = [i for i, x in enumerate(texts) if x]
-    out: list[list[tuple[np.ndarray, float, float]]] = [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
+    out: list[list[tuple[np.ndarray, float, float]]] = [[(np.empty(0, np.int32), 0.0, 0.0)] for _ in texts]
     if not live:
         return out
     raw = [np.frombuffer((" " + texts[i]).encode("utf-32-le"), np.uint32) for i in live]
@@ -293,10 +294,15 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int,
             docs[d].take(lattice, np.concatenate([head, edges]), np.concatenate([first, units]), step + 1, bound)
     for i, x in zip(live, docs, strict=True):
         kappa = -x.agenda[0][0] if x.agenda else -np.inf
-        out[i] = [(expand(lattice.piece[e], vocab), q, float(-np.expm1(-np.exp(min(q - kappa, 700.0)))) if kappa > -np.inf else 1.0) for (e, _), q in zip(x.paths, x.scores, strict=True)]
+        out[i] = [(expand(lattice.piece[e], vocab), q, log_inclusion(q - kappa)) for (e, _), q in zip(x.paths, x.scores, strict=True)]
     return out
 
 
+def log_inclusion(d: float) -> float:
+    """log(1 - exp(-exp(d))), which is d itself where exp(d) is lost beside 1."""
+    return d if d < -36 else float(np.log(-np.expm1(-np.exp(min(d, 700.0)))))
+
+
 def expand(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Identifiers of pieces; characters without a piece become the identifiers of their bytes."""
     lost = np.flatnonzero(piece < 0)
@@ -309,13 +315,17 @@ def expand(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return np.concatenate([*parts, piece[upto:]]).astype(np.int32)
 
 
-def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", chars: int = 1_500_000) -> DataFrame:
-    """id_col, sample (from 1), ids (array of int), log_prob, inclusion: k distinct segmentations of each text.
+def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", chars: int = 1_500_000, decoded: bool = False) -> DataFrame:
+    """id_col, sample (from 1), ids (array of int), log_prob, log_inclusion: k distinct segmentations of each text.
+
+    With ``decoded`` there is also decoded, the text that the identifiers give, made in the same slices.
 
     path is a .model file that every worker can read. Texts are worked on in slices of about ``chars``
-    bytes, which bounds a worker's memory but for longer single texts. A text with fewer segmentations gives them all,
-    with an inclusion of 1; an empty or null one gives one empty sample. The seed is the hash of id and text, so equal rows
-    have equal samples, on every run.
+    bytes, which bounds a worker's memory but for longer single texts; these are taken whole. A text with fewer
+    segmentations gives them all, with an inclusion of 1 (log 0); an empty or null one gives one empty sample. The
+    seed is the hash of id and text (null has one of its own), so equal rows have equal samples, on every run. The
+    inclusion of a sample of a long text is below what a double can tell from 0, so its log is given. An empty table
+    gives no rows; other columns, whatever their names, aren't read.
     """
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("key"))
@@ -330,30 +340,26 @@ def sample_pieces(df: DataFrame, path: str, k: int = 2, theta: float = 1.0, id_c
                 ends = np.concatenate([[0], np.cumsum([len(y[0]) for y in flat])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([y[0] for y in flat]).astype(np.int32)))
                 place = pa.array([j + 1 for x in found for j in range(len(x))], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), place, ids, pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64())], ["id", "sample", "ids", "log_prob", "inclusion"])
+                back = [decode_lists(ids, vocab)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), place, ids, pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()), *back], ["id", "sample", "ids", "log_prob", "log_inclusion", "decoded"][: 5 + decoded])
 
     id_type = rows.schema[0].dataType.simpleString()
-    found = rows.mapInArrow(sample, f"id {id_type}, sample int, ids array<int>, log_prob double, inclusion double")
+    found = rows.mapInArrow(sample, f"id {id_type}, sample int, ids array<int>, log_prob double, log_inclusion double" + ", decoded string" * decoded)
     return found.withColumnRenamed("id", id_col)
 
 
-def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
-    """The text of a segmentation: bytes join to characters, word marks are spaces, the first goes."""
-    low, high = min(vocab.bytes.values()), max(vocab.bytes.values())
-    if not len(ids):
-        return ""
-    if not ((ids >= low) & (ids <= high)).any():
-        return "".join([vocab.text[i] for i in ids])[1:]
-    value = {i: b for b, i in vocab.bytes.items()}
-    raw = b"".join(bytes([value[i]]) if i in value else vocab.text[i].encode() for i in ids.tolist())
-    return raw.decode("utf-8", "replace")[1:]
+def decode_lists(ids: pa.Array, vocab: Vocabulary) -> pa.Array:
+    """The texts of segmentations: bytes join to characters, word marks are spaces, the first goes."""
+    pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))]), pa.int32()), vocab.raw.take(ids.flatten()))
+    joined = pc.if_else(ids.is_valid(), pc.binary_join(pieces, b""), None)
+    return pc.utf8_slice_codeunits(joined.cast(pa.string()), 1)
 
 
 def decode(ids: Column, path: str) -> Column:
-    """Column of texts from a column of identifier arrays; a null array gives null."""
-    @F.pandas_udf("string")
-    def text(x: pd.Series) -> pd.Series:
-        vocab = vocabulary(path)
-        return x.map(lambda v: None if v is None else decode_ids(np.asarray(v), vocab))
+    """Column of texts from a column of identifier arrays; a null array gives null, an empty one an empty text."""
+
+    @F.arrow_udf("string")
+    def text(x: pa.Array) -> pa.Array:
+        return decode_lists(x, vocabulary(path))
 
     return text(ids)

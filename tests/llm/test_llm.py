@@ -103,11 +103,11 @@ def test_topk(spark):
 
 def test_segmentations(spark, docs, none):
     path = P.path("piece_bpe_32k.model")
-    out = sentence_pieces.sample_pieces(docs, path, k=3)
+    out = sentence_pieces.sample_pieces(docs, path, k=3, decoded=True)
     rows = out.withColumn("back", sentence_pieces.decode(F.col("ids"), path)).collect()
     seen = collections.defaultdict(set)
     for r in rows:
-        assert r.back == (TEXTS[r.doc_id] or "") and 0 <= r.inclusion <= 1 and tuple(r.ids) not in seen[r.doc_id]
+        assert r.back == r.decoded == (TEXTS[r.doc_id] or "") and r.log_inclusion <= 0 and tuple(r.ids) not in seen[r.doc_id]
         seen[r.doc_id].add(tuple(r.ids))
     assert seen[4] == {()} and len(seen[1]) == 3
     again = {(r.doc_id, r.sample): r.ids for r in sentence_pieces.sample_pieces(docs.repartition(3), path, k=3).collect()}
@@ -238,7 +238,8 @@ def test_language(spark, docs, none):
     assert all(0 <= s <= 1 for _, s in got.values())
     empty = langid.fit(none)
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
-    assert docs.withColumn("p", langid.predicted(model, spark)).select("p.lang_pred").count() == len(TEXTS)
+    marks = spark.createDataFrame([(1, "\u0301\u0301 \u0308"), (2, "\u0301 the thing")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(marks, model).collect()} == {1: "und", 2: "en"}
 
 
 def test_quality(spark, docs, none):
@@ -268,8 +269,6 @@ def test_language_counts_are_whole(spark, monkeypatch):
         got.append({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(tests, model).collect()})
     assert got[0] == got[1] and len(got[0]) == 8
     assert [got[0][i][0] for i in (1, 2, 5)] == ["xx", "xx", "ja"] and got[0][1] == got[0][6] and got[0][8] == ("und", 0.0)
-    column = tests.select("doc_id", langid.predicted(model, spark).alias("p")).select("doc_id", "p.*")
-    assert {r.doc_id: r.lang_pred for r in column.collect()} == {k: x for k, (x, _) in got[0].items()}
     told = {r.doc_id for r in langid.told(tests, model, 0.4).collect()}
     assert told == {k for k, (x, p) in got[0].items() if x != "und" and p >= 0.4}
 
@@ -281,8 +280,8 @@ def test_ngrams_of_whole_words(spark):
     assert {"漢字仮", "字仮名$", "漢"} <= {r.name for r in model.grams.collect()}
     tests = spark.createDataFrame([(1, "漢字仮名漢"), (2, "文章文")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.identify(tests, model).collect()} == {1: "ja", 2: "zz"}
-    parts = next(langid._count_grams(iter([langid.pd.DataFrame({"lang": ["ja"], "word": ["あ" * 70 + "漢"], "n": [3]})])))
-    counts = dict(zip(parts["gram"], parts["n"], strict=True))
+    parts = next(langid._count_grams(iter([langid.pd.DataFrame({"lang": ["ja"], "name": ["あ" * 70 + "漢"], "n": [3]})])))
+    counts = dict(zip(parts["name"], parts["n"], strict=True))
     assert counts["あ"] == 210 and counts["漢$"] == 3 and "あ$" not in counts
 
 
