@@ -75,10 +75,11 @@ def ends_with_comma(word: Column) -> Column:
 def english_counts(text: Column) -> dict[str, Column]:
     """words and paragraphs of an English text, and of the words before a paragraph's last those that end a sentence (ends) or have a comma."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    # From the start of a word, so that a very long one is looked at once.
-    tail = lambda end: f"(?<![^{SPACE}])[^{SPACE}]*" + end.removesuffix(r"\z").replace("]+", "]") + _ON
+    # A word's end matches once, from its last stop or comma on; so the search is for a few characters.
+    tail = lambda end: end.removesuffix(r"\z").replace("]+", "]") + _ON
     short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
-    exempt = rf"(?i)(?<![^{SPACE}]){OPENERS[1:-1]}*(?:{short}){_ON}"
+    starts = OPENERS[2:-2] + "".join(sorted({x[0] for x in ABBREVIATIONS}))
+    exempt = rf"(?i)(?=[{starts}])(?<![^{SPACE}]){OPENERS[1:-1]}*(?:{short}){_ON}"
     return {
         "words": count(f"[^{SPACE}]+"),
         "paragraphs": count(f"[^{SPACE}][^{BREAK}]*"),

@@ -110,7 +110,7 @@ def parsed_paragraphs(pages: DataFrame) -> DataFrame:
 def entities(text: Column) -> Column:
     """Named and numeric entities as characters; texts that hold only the common ones skip Python."""
     helper = F.pandas_udf(lambda x: x.map(lambda v: None if v is None else html.unescape(v)), "string", PandasUDFType.SCALAR)
-    rare = F.regexp_replace(text, r"&(nbsp|lt|gt|quot|#39|copy|middot|amp);", "").rlike("&(#|[A-Za-z])")
+    rare = text.rlike(r"&(?!(?:nbsp|lt|gt|quot|#39|copy|middot|amp);)[#A-Za-z]")
     return F.when(rare, helper(F.when(rare, text))).otherwise(_common_entities(text))
 
 

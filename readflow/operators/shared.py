@@ -25,3 +25,9 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there on."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it comes in fewer parts (a small table in one file); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import segment
+from .shared import spread
 
 # Default speeds, their limits and steps, pauses in units, characters of a mean Japanese unit.
 JA_CPM, EN_WPM = 600.0, 300.0
@@ -87,10 +88,11 @@ def plan_documents(docs: DataFrame, ja_cpm=JA_CPM, en_wpm=EN_WPM, **options) ->
     """plan() of the units of docs (doc_id, unique; text), without making the units of texts that have no Japanese.
 
     A plan of English words needs numbers only: of words, paragraphs, sentences and commas. They are counted in the
-    text, without a shuffle. Japanese texts, and those given with options of segment.units(), go by way of their units.
+    text, without a shuffle if there are parts for all cores. Japanese texts, and those given with options of segment.units(), go by way of their units.
     """
     if options:
         return plan(segment.units(docs, **options), ja_cpm, en_wpm)
+    docs = spread(docs)
     ja = F.coalesce(T.is_japanese(F.col("text")), F.lit(False))
     n = {k: v.cast("long") for k, v in T.english_counts(F.col("text")).items()}
     rows = docs.filter(~ja).select("doc_id", *[v.alias(k) for k, v in n.items()]).filter("words > 0")
