@@ -55,7 +55,8 @@ def text_hash(text: Column) -> Column:
 
 
 def is_japanese(text: Column) -> Column:
-    return text.rlike(f"[{JAPANESE}]")
+    # All ranges lie from U+2E80 on, so that most texts need one comparison a character.
+    return text.rlike(r"[\x{2E80}-\x{10FFFF}]") & text.rlike(f"[{JAPANESE}]")
 
 
 def language(text: Column) -> Column:
