@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """The rows of all parts (at least one, of one schema), each computed once and written into one folder; the plan that reads them doesn't grow with their number."""
+    path = schema = spark = None
+    for i, df in enumerate(parts):
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            shared_checkpoints(spark)
+            path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
+        df.write.parquet(f"{path}/part={i}")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def _maybe(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     """df with _maybe: false where the keys surely are no row of ids, by a broadcast of FILTER_BITS bits."""
     place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))

@@ -11,16 +11,17 @@ matter: bins from its own best down to its own kth.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, stored_all
 
 #: Numbers in the queries of a round, and scores that a task holds at once.
 QUERY_CELLS, SCORE_CELLS = 1 << 22, 1 << 21
@@ -29,6 +30,13 @@ FIRST, FINER = 9, 10
 LONG, NONE = 2**63 - 1, -(2**63)
 
 
+def round_cells(spark: SparkSession) -> int:
+    """Numbers in the queries of a round: a 64th of an executor's memory, or QUERY_CELLS if that is more."""
+    given = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.executor.memory", "1g").strip().lower())
+    number = int(given[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[given[2]] if given else 0
+    return max(QUERY_CELLS, number >> 9)  # 8 bytes each
+
+
 def matrix(vecs: pa.ListArray, width: int = 0) -> np.ndarray:
     """Vectors as rows; missing components are 0. Wider than the longest vector if width asks for it."""
     n = pc.list_value_length(vecs).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -126,7 +134,7 @@ def _kth(hist: DataFrame, want: Column, k: int) -> DataFrame:
 
 
 def _round(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score of a round's queries, written to the shared folder."""
+    """query_id, rank, id, score of a round's queries."""
     sc = rows.sparkSession.sparkContext
     known = queries.toArrow().sort_by("id").combine_chunks()  # QUERY_CELLS numbers or so
     ids, vecs = known["id"].to_numpy(), matrix(known["vec"].combine_chunks())
@@ -156,7 +164,7 @@ def _round(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = rows.mapInArrow(select, "query_id long, id long, score long")
-    return stored(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def topk(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
@@ -175,9 +183,6 @@ def topk(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: i
     # Of a query's rows the one with the least vector asks.
     queries = stored(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")))
     n, width = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
-    rounds = max(1, math.ceil(n * max(1, width or 1) / QUERY_CELLS))
-    out = None
-    for i in range(rounds):
-        found = _round(rows, queries.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i), k)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    rounds = max(1, math.ceil(n * max(1, width or 1) / round_cells(df.sparkSession)))
+    parts = (_round(rows, queries.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i), k) for i in range(rounds))
+    return stored_all(parts).select("query_id", "rank", F.col("id").alias(id_col), "score")
