@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, hard_negatives, jaccard_join, langid, mixing, quality, sentence_pieces, substring_dedup, token_counts, topk
+from . import chat, fingerprints, hard_negatives, jaccard_join, langid, mixing, prefix_trie, quality, sentence_pieces, substring_dedup, token_counts, topk
 from .common import table
 
 
@@ -66,17 +66,22 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), back)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes_with_ends(*prefix_trie.rebuilt(turns))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op9_quality": op9_quality, "op10_language_id": op10_language_id, "op13_hard_negatives": op13_hard_negatives}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op9_quality": op9_quality, "op10_language_id": op10_language_id, "op12_prefix_trie": op12_prefix_trie, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+    return {"op3_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op12_prefix_trie": TRIE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
 
 
 TOPK_SQL = """
@@ -151,3 +156,43 @@ WITH v AS (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS code,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT c, c - c % 20 AS head, CAST(xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, x: list_reduce(range(8), lambda b, i: xor(b >> 1, (b & 1) * 3988292384), xor(a, x)), 4294967295)) AS BIGINT) % 4 AS share
+  FROM (SELECT DISTINCT c FROM t)
+), b AS (
+  SELECT k.c, least(k.share, count(h.pos)) AS begun, k.share, k.head
+  FROM k LEFT JOIN t h ON h.c = k.head AND h.pos <= k.share GROUP BY k.c, k.share, k.head
+), r AS (
+  SELECT b.c, h.pos, h.code, h.words FROM b JOIN t h ON h.c = b.head AND h.pos <= b.share
+  UNION ALL
+  SELECT b.c, b.begun + t.pos - b.share, t.code, t.words FROM b JOIN t ON t.c = b.c AND t.pos > b.share
+), s AS (
+  SELECT k.c, coalesce(list(code ORDER BY pos) FILTER (WHERE code IS NOT NULL), []) AS codes, list(words ORDER BY pos) AS words
+  FROM k LEFT JOIN r USING (c) GROUP BY k.c
+), p AS (
+  SELECT c, unnest(range(0, len(codes) + 1)) AS depth, codes, words FROM s
+), q AS (
+  SELECT c, depth, md5(array_to_string(codes[:depth], '')) AS node, CASE WHEN depth > 0 THEN md5(array_to_string(codes[:depth - 1], '')) END AS up,
+    CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS w, depth = len(codes) AS ended FROM p
+), n AS (
+  SELECT node, depth, up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(w) AS own,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ended), '')) AS ends_sha256
+  FROM q GROUP BY node, depth, up
+), m AS (
+  SELECT n.*, count(x.node) AS n_children, min(y.conv_id) AS parent_conv_id
+  FROM n LEFT JOIN n x ON x.up = n.node AND x.depth = n.depth + 1 LEFT JOIN n y ON y.node = n.up AND y.depth = n.depth - 1 GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, CAST(sum(CASE WHEN z.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+  CAST(sum(z.own) AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN q ON q.node = m.node AND q.depth = m.depth JOIN m z ON z.conv_id = q.c AND z.depth >= m.depth
+GROUP BY m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, m.ends_sha256
+"""
