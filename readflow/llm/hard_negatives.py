@@ -53,7 +53,7 @@ def turned(x: np.ndarray, size: int) -> np.ndarray:
         y = y * flip
         step = 1
         while step < size:
-            z = y.reshape(len(y), -1, 2, step)
+            z = y.reshape(len(y), size // (2 * step), 2, step)
             y = np.stack([z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]], axis=2).reshape(len(y), size)
             step *= 2
         y = y / math.sqrt(size)

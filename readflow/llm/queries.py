@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, hard_negatives, jaccard_join, langid, mixing, prefix_trie, quality, sentence_pieces, substring_dedup, token_counts, topk
+from . import chat, fingerprints, hard_negatives, jaccard_join, langid, mixing, prefix_trie, quality, sentence_pieces, substring_dedup, token_counts, topk, warc
 from .common import table
 
 
@@ -66,6 +66,11 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), back)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
     return prefix_trie.nodes_with_ends(*prefix_trie.rebuilt(turns))
@@ -77,11 +82,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op9_quality": op9_quality, "op10_language_id": op10_language_id, "op12_prefix_trie": op12_prefix_trie, "op13_hard_negatives": op13_hard_negatives}
+    return {"op1_fingerprints": op1_fingerprints, "op2_token_counts": op2_token_counts, "op3_topk": op3_topk, "op4_sentence_pieces": op4_sentence_pieces, "op5_jaccard_join": op5_jaccard_join, "op6_mixing": op6_mixing, "op7_chat_format": op7_chat_format, "op8_substring_dedup": op8_substring_dedup, "op9_quality": op9_quality, "op10_language_id": op10_language_id, "op11_warc": op11_warc, "op12_prefix_trie": op12_prefix_trie, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op12_prefix_trie": TRIE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+    return {"op3_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op11_warc": WARC_SQL, "op12_prefix_trie": TRIE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
 
 
 TOPK_SQL = """
@@ -196,3 +201,16 @@ SELECT m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, CAST(sum(C
 FROM m JOIN q ON q.node = m.node AND q.depth = m.depth JOIN m z ON z.conv_id = q.c AND z.depth >= m.depth
 GROUP BY m.conv_id, m.depth, m.parent_conv_id, m.n_convs, m.n_children, m.ends_sha256
 """
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS low, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS place FROM p
+)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN low END AS refers_to
+FROM g
+"""
