@@ -261,8 +261,8 @@ _PARAGRAPHS = f"list_filter(list_transform(string_split({_entities(_CONTENT)}, c
 
 @query("a16_paragraphs", f"SELECT page_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS paragraph FROM (SELECT page_id, {_PARAGRAPHS} AS ps FROM pages)")
 def a16_paragraphs(spark, sf_dir):
-    """Paragraphs of the main content, with built-in functions."""
-    return A.table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.simple_paragraphs(html.main_html(F.col("html")))).alias("pos", "paragraph"))
+    """Paragraphs of the main content."""
+    return html.paragraphs(A.table(spark, sf_dir, "pages"))
 
 
 _ARTICLES = f"""SELECT page_id, title, lang, CASE WHEN body <> '' THEN CASE WHEN title <> '' AND NOT starts_with(title, string_split(body, chr(10))[1]) THEN title || chr(10) || chr(10) || body ELSE body END END AS text,
@@ -278,8 +278,8 @@ def a22_articles(spark, sf_dir):
 
 @query("a16_parsed")
 def a16_parsed(spark, sf_dir):
-    """Paragraphs of whole pages by the parser."""
-    return html.parsed_paragraphs(A.table(spark, sf_dir, "pages"))
+    """Paragraphs of whole pages."""
+    return html.paragraphs(A.table(spark, sf_dir, "pages"), main=False)
 
 
 _HOST = "lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"

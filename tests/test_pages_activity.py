@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readflow import streaming
 from readflow.functions import urls
-from readflow.operators import activity, crawl, html
+from readflow.operators import activity, crawl
 from readflow.sources import files, stores
 
 
@@ -83,20 +83,10 @@ def test_translator(spark):
     assert [(r.status, r.visible) for r in found if r.reader == 2] == [("unavailable", False)] * 4
 
 
-def test_entities(spark):
-    rows = spark.createDataFrame([("a &amp;lt; &nbsp;b",), ("&eacute;&#233;&#xe9; &amp;",), ("plain & simple",), (None,)], "t string").select(html.entities(F.col("t")).alias("u")).collect()
-    assert [r.u for r in rows] == ["a &lt; \xa0b", "ééé &", "plain & simple", None]
-
-
 def test_named_entities_of_packages():
     assert files.numbered("<a b='x&amp;y&eacute;'/><!-- &eacute; --><![CDATA[&eacute;]]>&nbsp;&none;") == "<a b='x&amp;y&#233;'/><!-- &eacute; --><![CDATA[&eacute;]]>&#160;&none;"
 
 
-def test_paragraphs():
-    page = "<nav>n</nav><p>a<b>b</b> c<br>d</p><pre>x\n y</pre><sup>[4]</sup><sup>2</sup><ruby>漢<rt>かん</rt></ruby>日本\n語<table><tr><td>t</table><span class='mw-editsection'>e</span>&amp;"
-    assert html.paragraphs_of(page) == ["n", "ab c", "d", "x", "y", "2漢日本語&"]
-
-
 def test_replay_matches_windows(spark):
     acts = [("play", 0, 0), ("advance", 0, 200), ("pause", 0, 300), ("play", 0, 1000), ("advance", 0, 1200), ("play", 0, 2000), ("move", 5, 2100)]
     rows = spark.createDataFrame([(1, "t", ts, i, a, arg) for i, (a, arg, ts) in enumerate(acts)], "reader long, text_hash string, ts_ms long, seq long, action string, arg int")
