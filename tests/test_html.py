@@ -104,7 +104,7 @@ ODD = [
     "<nav>n</nav><p>a<b>b</b> c<br>d</p><pre>x\n y</pre><sup>[4]</sup><sup>2</sup><ruby>漢<rt>かん</rt></ruby>日本\n語<table><tr><td>t</table><span class='mw-editsection'>e</span>&amp;",
     None, "", "plain", "<", "a < b <3 & c", "<p>one<p>two<li>three", "<p title=\"a>b\">q</p>", "<p title='a>b' x=\"'\">q<i>r</i></p>", "<div id=siteSub>gone</div>kept<span id='siteSubs'>kept too</span>",
     "<pre>l1\n l2\n\nl3<div>same line</div></pre>after", "<sup>[1]</sup>x<sup> [注 2] </sup>y<sup>[a][b]</sup>z<sup>th</sup><sup>[]</sup>", "a<script>if (a < b) { '</p>' }</script>b<style>p{}</style>c<noscript><p>no</noscript>d",
-    "<!-- <p>hidden --> shown <!-- - -- > -->x", "日本\n語 speed\nreading は\n　速い", "<svg><title>t</title><text>x</text></svg>y<math><mi>z</mi></math>w", "<table><tr><td>a<table><tr><td>b</table>c</table>d",
+    "<!-- <p>hidden --> shown <!-- - > -->x", "日本\n語 speed\nreading は\n　速い", "<svg><title>t</title><text>x</text></svg>y<math><mi>z</mi></math>w", "<table><tr><td>a<table><tr><td>b</table>c</table>d",
     "</div></p>stray</table>closes<template>x</template>", "<BR><P>Upper</P><Script>x</SCRIPT>case", "<a href=x>in</a>line <em>tags</em> <unknown-tag>stay</unknown-tag>", "<ul><li>1<li>2</ul><dl><dt>k<dd>v</dl><hr>end<br/>x",
     "&lt;p&gt; &eacute;&#233;&#xe9; &copy 2 &notit; &hearts; &#128; &#0; &unknown; &", "x\u00a0\u3000 y\u2028z", "<sup>[<b>3</b>]</sup><sup>[<br>4]</sup>t", "<p>a</p>\n\n  <p> </p><p>b",
 ]
