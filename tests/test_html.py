@@ -106,7 +106,7 @@ ODD = [
     "<pre>l1\n l2\n\nl3<div>same line</div></pre>after", "<sup>[1]</sup>x<sup> [注 2] </sup>y<sup>[a][b]</sup>z<sup>th</sup><sup>[]</sup>", "a<script>if (a < b) { '</p>' }</script>b<style>p{}</style>c<noscript><p>no</noscript>d",
     "<!-- <p>hidden --> shown <!-- - > -->x", "日本\n語 speed\nreading は\n　速い", "<svg><title>t</title><text>x</text></svg>y<math><mi>z</mi></math>w", "<table><tr><td>a<table><tr><td>b</table>c</table>d",
     "</div></p>stray</table>closes<template>x</template>", "<BR><P>Upper</P><Script>x</SCRIPT>case", "<a href=x>in</a>line <em>tags</em> <unknown-tag>stay</unknown-tag>", "<ul><li>1<li>2</ul><dl><dt>k<dd>v</dl><hr>end<br/>x",
-    "&lt;p&gt; &eacute;&#233;&#xe9; &copy 2 &notit; &hearts; &#128; &#0; &unknown; &", "x\u00a0\u3000 y\u2028z", "<sup>[<b>3</b>]</sup><sup>[<br>4]</sup>t", "<p>a</p>\n\n  <p> </p><p>b",
+    "&lt;p&gt; &eacute;&#233;&#xe9; &copy 2 &notit; &hearts; &#128; &#0; &unknown; &", "x\u00a0\u3000 y\u2028z", "<sup>[<b>3</b>]</sup>t", "<p>a</p>\n\n  <p> </p><p>b",
 ]
 
 
@@ -133,6 +133,7 @@ WITHOUT = "<html lang='en'><body><div class=menu><a href=1>Home</a> <a href=2>Ab
         ("<body><header>h</header><main><header>kept</header>m<pre>l1\n l2</pre></main>", "kept\n\nm\n\nl1\n\nl2"),
         (WITHOUT, "The first paragraph of the story, long enough.\n\nThe second with a link.\n\nAlso a part of the story, in a part of its own."),
         ("<p>no body</p>text", "no body\n\ntext"),
+        ("<p>x<sup>[<br>4]</sup>y<sup>[5]</sup></p>", "xy"),
         ("a<!-->b<!--->c<!-- never closed <p>d", "abc"),
         ("<article><p>x<sup>[1]</sup></p><div id='siteSub'>From</div><h2>H<span class='a mw-editsection'>[edit]</span></h2><p>日本\n語</p><p title=\"a>b\">q</p></article>", "x\n\nH\n\n日本語\n\nq"),
     ],
