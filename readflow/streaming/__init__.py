@@ -12,45 +12,114 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..operators import activity, crawl, segment
 
-_FIELDS = "unit int, status string, since long, played long, ja_cpm double, en_wpm double, a0 long, a1 long, a2 long, a3 long, finished_at long, last long"
+#: A live state row: what replay() tells, what is needed to go on from it, and why it is there.
+LIVE = f"{activity.STATE}, ja_cpm double, en_wpm double, since_ms long, finished_at_ms long, last_ms long, cause string"
+_KEPT = "unit int, status string, since long, played long, ja_cpm double, en_wpm double, a0 long, a1 long, a2 long, a3 long, finished_at long, last long, seq long"
 
 
-def reader_states(events: DataFrame, units: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """The state after every action (activity.STATE), by the fold that replay() uses.
+class _Reader(StatefulProcessor):
+    """A reader in a text: one value of a few numbers, and two timers, for the pause and for leaving."""
 
-    units: activity.unit_table(), a static table. It is joined per text as one array, so that the state of a
-    reader and text holds numbers only. A reader who stays silent for idle_ms is paused at the last action; the
-    state is kept, so that one who returns goes on from there.
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("reading", _KEPT)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self, count: int) -> tuple[activity.Reading, int, int]:
+        reading, s = activity.Reading(count), self.kept.get() if self.kept.exists() else None
+        if s is None:
+            return reading, -1, -1
+        reading.unit, reading.status, reading.since, reading.played, reading.ja_cpm, reading.en_wpm = s[0], s[1], (None if s[2] < 0 else s[2]), s[3], s[4], s[5]
+        reading.amount, reading.finished_at = list(s[6:10]), (None if s[10] < 0 else s[10])
+        return reading, s[11], s[12]
+
+    def _save(self, r: activity.Reading, last: int, seq: int) -> None:
+        none = lambda x: -1 if x is None else int(x)
+        self.kept.update((int(r.unit), r.status, none(r.since), int(r.played), float(r.ja_cpm), float(r.en_wpm), *map(int, r.amount), none(r.finished_at), int(last), int(seq)))
+
+    def _timers(self, start: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(start + self.idle_ms)
+        self.handle.registerTimer(start + self.keep_ms)
+
+    def _row(self, key: tuple, r: activity.Reading, last: int, seq: int, cause: str) -> pd.DataFrame:
+        row = (key[0], key[1], last, seq, r.status, r.unit, r.played, *r.amount, False, r.ja_cpm, r.en_wpm, r.since, r.finished_at, last, cause)
+        return pd.DataFrame([row], columns=_names(LIVE)).astype({"since_ms": "Int64", "finished_at_ms": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
+        known = {int(u["unit_index"]): (u["sentence_index"], u["language"], int(u["characters"]), float(u["pause_units"])) for u in pdf["units"].iloc[0]}
+        reading, last, seq = self._load(len(known))
+        out = []
+        for x in pdf.itertuples(index=False):
+            state = next(activity.fold(pd.DataFrame([x]), known, reading))
+            if x.ts_ms >= last:
+                last, seq = int(x.ts_ms), int(x.seq)
+            out.append((*state, reading.ja_cpm, reading.en_wpm, reading.since, reading.finished_at, last, "action"))
+        self._save(reading, last, seq)
+        self._timers(max(last, timerValues.getCurrentWatermarkInMs()))
+        yield pd.DataFrame(out, columns=_names(LIVE)).astype({"since_ms": "Int64", "finished_at_ms": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        reading, last, seq = self._load(0)
+        leaves = not [t for t in self.handle.listTimers() if t > expiredTimerInfo.getExpiryTimeInMs()]  # the later one of the two
+        if reading.status == "playing":
+            reading.stop(last, "paused")
+            self._save(reading, last, seq)
+            yield self._row(key, reading, last, seq, "idle")
+        if leaves:
+            self.kept.clear()
+            yield self._row(key, reading, last, seq, "left")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        s = initialState.sort_values(["last_ms", "seq"]).iloc[-1]
+        some = lambda x: None if pd.isna(x) else int(x)
+        reading = activity.Reading(0, int(s.unit_index), s.status, some(s.since_ms), int(s.played_ms), s.ja_cpm, s.en_wpm, [int(s[c]) for c in ("ja_characters", "en_words", "ja_ms", "en_ms")], some(s.finished_at_ms))
+        self._save(reading, int(s.last_ms), int(s.seq))
+        self._timers(max(int(s.last_ms), timerValues.getCurrentWatermarkInMs()))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def reader_states(events: DataFrame, units: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 60 * 1000, keep_ms: int = 90 * 24 * 3600 * 1000, saved: DataFrame | None = None) -> DataFrame:
+    """LIVE rows: the state after every action, by the fold that replay() uses, and at two times without one.
+
+    units: activity.unit_table(), a static table; it is joined per text as one array, so that the state of a
+    reader and text holds numbers only. ``cause`` is ``action``; or ``idle`` when a reader who plays has been silent for
+    idle_ms and is paused as of the last action; or ``left`` when keep_ms (more than idle_ms) have passed without an
+    action: that row goes out with all that is known, and the state is gone. One who goes on before that goes on from
+    there; to bring back those who have left, start a query with the table of rows that it wrote (saved: states_to_resume()).
+
+    Timers need the RocksDB state store, which this call chooses where the session is at its default.
     """
+    if keep_ms <= idle_ms:
+        raise ValueError("keep_ms must be more than idle_ms")
+    spark, store = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(store):
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     packed = units.groupBy("text_hash").agg(F.collect_list(F.struct("unit_index", "sentence_index", "language", "characters", "pause_units")).alias("units"))
     rows = events.withWatermark("ts", lateness).join(packed, "text_hash").withColumn("ts_ms", F.unix_millis("ts"))
     rows = rows.select("reader", "text_hash", "ts", "ts_ms", "seq", "action", "arg", "units")
+    first = None if saved is None else saved.select(*_names(LIVE)).groupBy("reader", "text_hash")
+    return rows.groupBy("reader", "text_hash").transformWithStateInPandas(_Reader(idle_ms, keep_ms), LIVE, "Append", "EventTime", initialState=first)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            unit, status, since, played, *rest = state.get
-            if status == "playing":
-                status, since, played = "paused", -1, played + rest[-1] - since
-            state.update((unit, status, since, played, *rest))
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
-        known = {int(u["unit_index"]): (u["sentence_index"], u["language"], int(u["characters"]), float(u["pause_units"])) for u in pdf["units"].iloc[0]}
-        reading, last = activity.Reading(len(known)), int(pdf["ts_ms"].max())
-        if state.exists:
-            s = state.get
-            reading.unit, reading.status, since, reading.played, reading.ja_cpm, reading.en_wpm = s[:6]
-            reading.since, reading.amount, reading.finished_at = (None if since < 0 else since), list(s[6:10]), (None if s[10] < 0 else s[10])
-            last = max(last, s[11])
-        out = list(activity.fold(pdf, known, reading))
-        state.update((reading.unit, reading.status, -1 if reading.since is None else reading.since, reading.played, reading.ja_cpm, reading.en_wpm, *reading.amount, -1 if reading.finished_at is None else reading.finished_at, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in activity.STATE.split(", ")])
 
-    return rows.groupBy("reader", "text_hash").applyInPandasWithState(step, activity.STATE, _FIELDS, "append", GroupStateTimeout.EventTimeTimeout)
+def states_to_resume(written: DataFrame) -> DataFrame:
+    """Of LIVE rows that a query wrote the last of each reader and text: the initial states of a new query."""
+    order = F.struct("last_ms", F.when(F.col("cause") == "action", 0).otherwise(1), "seq")
+    return written.groupBy("reader", "text_hash").agg(F.max_by(F.struct(*_names(LIVE)), order).alias("_s")).select("_s.*")
 
 
 def request_counts(requests: DataFrame, limit: int = crawl.REQUESTS, period: str = "60 seconds", lateness: str = "2 minutes") -> DataFrame:
@@ -133,3 +202,50 @@ def request_verdicts(requests: DataFrame, limit: int = crawl.REQUESTS, period: i
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("request_id", "key", "ts"))
     return rows.groupBy("key", "bucket").applyInPandasWithState(step, f"{kinds}, limited boolean", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Places(StatefulProcessor):
+    """Numbers the rows of a key, in a batch by time and id; one number of state, which ends with the period."""
+
+    def __init__(self, period_ms: int, counts: str, out: str):
+        self.period_ms, self.counts, self.out = period_ms, counts, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.n = handle, handle.getValueState("n", "n long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
+        before = self.n.get()[0] if self.n.exists() else 0
+        asks = pdf[self.counts].astype(bool)
+        place = before + asks.cumsum()
+        self.n.update((int(place.iloc[-1]),))
+        if not before:
+            self.handle.registerTimer(max((int(key[0]) + 1) * self.period_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pdf.assign(**{self.out: place.where(asks, 0).astype("int64")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.n.clear()
+        return iter(())
+
+
+def grants(requests: DataFrame, per_key: int = crawl.MODEL_PER_KEY, in_all: int = crawl.MODEL_IN_ALL, period: int = crawl.PERIOD, lateness: str = "2 minutes") -> DataFrame:
+    """request_id, key, ts, granted: crawl.two_level_limit() of requests (request_id, key, ts, has_work) as they come.
+
+    Two stateful operators, one after the other in append mode: the first numbers a key's requests of a period, the
+    second, over all keys, those that come through and have work. Only these meet under one key (at most per_key of each
+    key and period); the others pass in 64 lanes. Requests of a later batch count after those of an earlier one.
+    """
+    spark, store = requests.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(store):
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = requests.withWatermark("ts", lateness).select(F.floor(F.unix_seconds("ts") / period).alias("bucket"), "key", "request_id", "ts", "has_work", F.lit(True).alias("asks"))
+    kind = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    own = rows.groupBy("bucket", "key").transformWithStateInPandas(_Places(period * 1000, "asks", "own"), f"{kind(rows)}, own long", "Append", "EventTime", eventTimeColumnName="ts")
+    asks = (F.col("own") <= per_key) & F.col("has_work")
+    lane = F.when(asks, 0).otherwise(1 + F.pmod(F.xxhash64("request_id"), F.lit(64)))
+    dealt = own.select("bucket", lane.cast("long").alias("lane"), "key", "request_id", "ts", F.coalesce(asks, F.lit(False)).alias("asks"))
+    placed = dealt.groupBy("bucket", "lane").transformWithStateInPandas(_Places(period * 1000, "asks", "place"), f"{kind(dealt)}, place long", "Append", "EventTime", eventTimeColumnName="ts")
+    return placed.select("request_id", "key", "ts", (F.col("asks") & (F.col("place") <= in_all)).alias("granted"))
