@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,41 +20,82 @@ def bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+# Characters that names lose, and further full stops (hexadecimal code points).
+IGNORED, STOPS = "00AD 034F 200B 2060 2064 FEFF 180B-180D FE00-FE0F", "3002 FF0E FF61"
+_SCHEME = r"\A([A-Za-z][A-Za-z0-9+.-]*):"
+_AUTHORITY = rf"{_SCHEME}[/\\]*"
+
+
+def _codes(ranges: str) -> list[int]:
+    return [c for part in ranges.split() for c in range(int(part.split("-")[0], 16), int(part.split("-")[-1], 16) + 1)]
+
+
+def _plain() -> str:
+    """Characters and the letters, digits, hyphens and stops that they stand for in a name, as one literal of a map; made from Unicode's compatibility mappings."""
+    known = {chr(c): "" for c in _codes(IGNORED)} | {chr(c): "." for c in _codes(STOPS)}
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        to = unicodedata.normalize("NFKC", chr(c)).lower()
+        if re.fullmatch(r"[a-z0-9.-]+", to):
+            known.setdefault(chr(c), to)
+    return "\x01".join(f"{k}\x02{v}" for k, v in known.items())
+
+
+def cleaned(url: Column) -> Column:
+    """The URL as a parser takes it in: without controls and blanks at its ends, and without tabs and line breaks."""
+    return F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+
+
 def canonical(url: Column) -> Column:
-    """The URL without its fragment."""
-    return F.regexp_replace(url, r"(?s)#.*\z", "")
+    """The URL as taken in, without its fragment."""
+    return F.regexp_replace(cleaned(url), r"(?s)#.*\z", "")
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.lower(F.regexp_extract(cleaned(url), _SCHEME, 1))
 
 
 def authority(url: Column) -> Column:
-    return F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    """User, host and port; any number of slashes, forward or backward, may come before and end them."""
+    return F.regexp_extract(cleaned(url), rf"{_AUTHORITY}([^/\\?#]*)", 2)
 
 
 def host(url: Column) -> Column:
-    """Host in lower case, without user and port; IPv4 in any notation as four decimal numbers."""
+    """Host in lower case, without user and port, escapes and compatible characters carried out; IPv4 in any notation as four decimal numbers."""
     bare = F.regexp_replace(F.regexp_replace(authority(url), r"\A.*@", ""), r":\d*\z", "")
-    return ipv4_canonical(F.lower(bare))
+    return ipv4_canonical(F.lower(bound(bare, _name)))
+
+
+def _name(bare: Column) -> Column:
+    told = F.when(bare.contains("%"), F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)).otherwise(bare)
+    return F.when(bare.startswith("["), bare).otherwise(bound(told, _as_ascii))
+
+
+def _as_ascii(name: Column) -> Column:
+    known = F.str_to_map(F.lit(_plain()), F.lit("\x01"), F.lit("\x02"))
+    letters = F.transform(F.split(name, ""), lambda x: F.coalesce(F.try_element_at(known, x), x))
+    return F.when(name.rlike(r"[^\x00-\x7F]"), F.array_join(letters, "")).otherwise(name)
 
 
 def port(url: Column) -> Column:
-    return F.regexp_extract(authority(url), r":(\d+)\z", 1)
+    """The port without leading zeros; empty if there is none."""
+    return F.regexp_replace(F.regexp_extract(authority(url), r":(\d+)\z", 1), r"\A0+(?=\d)", "")
 
 
 def path(url: Column) -> Column:
     """Path and query, at least a slash."""
-    rest = F.regexp_extract(canonical(url), r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)\z", 1)
+    rest = F.regexp_extract(canonical(url), rf"(?s){_AUTHORITY}[^/\\?#]*(.*)\z", 2)
+    before = F.translate(F.regexp_extract(rest, r"(?s)\A([^?]*)", 1), "\\", "/")
+    rest = F.concat(before, F.regexp_extract(rest, r"(?s)\A[^?]*(.*)\z", 1))
     return F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
 
 
 def _number(x: Column) -> Column:
-    """A decimal, octal or hexadecimal number as a URL parser reads it; null if it is none."""
+    """A decimal, octal or hexadecimal number as a URL parser reads it, at most 2 to the 40th; null if it is none."""
+    read = lambda pattern, base: bound(F.regexp_replace(x, pattern, ""), lambda d: F.when(F.length(d) > 12, F.lit(1 << 40)).when(d == "", F.lit(0)).otherwise(F.conv(d, base, 10).cast("long")).cast("long"))
     return (
-        F.when(x.rlike(r"\A0x[0-9a-f]*\z"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 20)), 16, 10).cast("long"))
-        .when(x.rlike(r"\A0[0-7]+\z"), F.conv(x, 8, 10).cast("long"))
-        .when(x.rlike(r"\A(0|[1-9]\d{0,18})\z"), x.try_cast("long"))
+        F.when(x.rlike(r"\A0x[0-9a-f]*\z"), read(r"\A0x0*", 16))
+        .when(x.rlike(r"\A0[0-7]+\z"), read(r"\A0+", 8))
+        .when(x.rlike(r"\A(0|[1-9]\d*)\z"), read(r"\A0", 10))
     )
 
 
@@ -84,7 +126,8 @@ def _as_four(x: Column) -> Column:
 
 
 def is_ipv4(name: Column) -> Column:
-    return name.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z")
+    byte = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return name.rlike(rf"\A{byte}(\.{byte}){{3}}\z")
 
 
 def private_ipv4(a: Column, b: Column) -> Column:
@@ -104,6 +147,11 @@ def ipv6_groups(address: Column) -> Column:
         gap = F.when(x["n"] == 2, F.greatest(F.lit(8) - F.size(x["head"]) - F.size(x["tail"]), F.lit(0))).otherwise(0)
         return F.when(x["n"] <= 2, F.concat(x["head"], F.array_repeat(F.lit("0"), gap), x["tail"]))
 
+    # An IPv4 address at the end is two groups.
+    last = r"\A(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z"
+    byte = lambda i: F.lpad(F.lower(F.hex(F.regexp_extract(address, last, i).cast("int"))), 2, "0")
+    bytes_ = F.forall(F.array(*[F.regexp_extract(address, last, i).try_cast("int") for i in range(2, 6)]), lambda x: x < 256)
+    address = F.when(address.rlike(last) & bytes_, F.concat(F.regexp_extract(address, last, 1), byte(2), byte(3), F.lit(":"), byte(4), byte(5))).otherwise(address)
     good = lambda g: (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z"))
     numbers = lambda g: F.when(good(g), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")))
     return bound(bound(bound(F.split(address, "::"), halves), filled), numbers)
@@ -146,7 +194,10 @@ def reason(url: Column) -> Column:
 
 def _reason(x: Column) -> Column:
     url, name = x["url"], x["host"]
-    invalid = url.isNull() | (F.length(url) > LONGEST) | ~scheme(url).isin("http", "https") | (name == "") | name.rlike(r"[\s<>^|%\\]")
+    # Names with characters that no name has; those that end in a number but are no address; ports beyond 16 bits.
+    odd = ~name.startswith("[") & (name.rlike(r"[\x00-\x20#/:<>?@\[\]^|%\\\x7F\x{FFFD}]") | (name.rlike(r"(\A|\.)(\d+|0x[0-9a-f]*)\.?\z") & ~is_ipv4(F.regexp_replace(name, r"\.\z", ""))))
+    far = (F.length(port(url)) > 5) | (port(url).try_cast("int") > 65535)
+    invalid = url.isNull() | (F.length(url) > LONGEST) | ~scheme(url).isin("http", "https") | name.isin("", ".") | odd | F.coalesce(far, F.lit(False))
     blocked = authority(url).contains("@") | ~port(url).isin(PORTS) | blocked_host(name)
     return F.when(invalid, "invalid-url").when(blocked, "blocked-url")
 

@@ -100,6 +100,27 @@ def b17_rate_keys(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", urls.rate_key(ip).alias("key"))
 
 
+#: What comes before and after a page's host or number, and what the URL is then refused for; {h} host, {n} number, {t} a tab.
+ODD_URLS = [
+    ("http://{h}:080/{n}", None), ("  http://{h}/{n} ", None), ("ht{t}tp://{h}{t}/", None), ("https:\\\\{h}\\{n}", None), ("http://{h}:8080/", "blocked-url"), ("http://{h}:70000/", "invalid-url"),
+    ("http:/127.0.0.1/{n}", "blocked-url"), ("http://%31%32%37.0.0.1/{n}", "blocked-url"), ("http://①②⑦.0.0.1/{n}", "blocked-url"), ("http://127。0．0｡1/", "blocked-url"), ("http://１２７.1/{n}", "blocked-url"),
+    ("http://1.2.3.4.{n}/", "invalid-url"), ("http://{h}.{n}/", "invalid-url"), ("http://0x0000000000000000000000000000007f000001/", "blocked-url"), ("http://0x00000000000000000000000008080808/", None),
+    ("http://010.8.8.8/", None), ("http://012.8.8.8/", "blocked-url"), ("http://08.8.8.8/", "invalid-url"), ("http://256.8.8.8/", "invalid-url"), ("http://8.8.8.8./", None), ("http://lo\u00adcalhost/", "blocked-url"),
+    ("http://a b.com/", "invalid-url"), ("http://{h}%2f.com/", "invalid-url"), ("http://[::ffff:8.8.4.4]/{n}", None), ("http://[::ffff:10.0.0.1]/{n}", "blocked-url"), ("http://user@{h}/", "blocked-url"), ("http://{h}:8x/", "invalid-url"),
+    ("http://𝐞xample.com/", None), ("http:{h}/{n}", None), ("http:///{h}/{n}", None), ("//{h}/", "invalid-url"), ("http://./", "invalid-url"), ("ftp://{h}/", "invalid-url"),
+]
+
+
+@query("b1_odd_urls", f"SELECT page_id, CASE page_id % {len(ODD_URLS)} " + " ".join(f"WHEN {i} THEN '{why}'" for i, (_, why) in enumerate(ODD_URLS) if why) + " END AS reason FROM pages")
+def b1_odd_urls(spark, sf_dir):
+    """URLs as a parser reads them: blanks, slashes, escapes, compatible characters, numbers and ports of any notation."""
+    pages = A.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#:]*)", 1).alias("host"))
+    odd = F.element_at(F.array(*[F.lit(x) for x, _ in ODD_URLS]), (F.col("page_id") % len(ODD_URLS) + 1).cast("int"))
+    for mark, to in (("{h}", F.col("host")), ("{n}", F.col("page_id").cast("string")), ("{t}", F.lit("\t"))):
+        odd = F.replace(odd, F.lit(mark), to)
+    return pages.select("page_id", urls.reason(odd).alias("reason"))
+
+
 @query("b5_addresses", """WITH a AS (SELECT event_id, event_id % 8 AS kind, event_id * 7919 % 256 AS a, user_id % 256 AS b FROM events)
 SELECT event_id, CASE WHEN kind < 3 THEN a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (0, 168)) OR (a = 198 AND b IN (18, 19))
   WHEN kind = 3 THEN true WHEN kind = 4 THEN false WHEN kind = 5 THEN true WHEN kind = 6 THEN false ELSE true END AS blocked FROM a""")
