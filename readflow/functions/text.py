@@ -11,8 +11,19 @@ from pyspark.sql.functions import PandasUDFType
 # Characters that count as white space, as code points (hexadecimal).
 SPACE_CODES = "0009-000D 0020 00A0 1680 2000-200A 2028 2029 202F 205F 3000 FEFF"
 SPACE = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in SPACE_CODES.split())
+def _others(codes: str) -> str:
+    """The inside of a class of all characters but these, as ranges, the one with most letters first: the expression engine tries them in turn."""
+    held = sorted(tuple(int(x, 16) for x in (part.split("-") * 2)[:2]) for part in codes.split())
+    starts, ends = [0, *[b + 1 for _, b in held]], [*[a - 1 for a, _ in held], 0x10FFFF]
+    ranges = sorted(((a, b) for a, b in zip(starts, ends, strict=True) if a <= b), key=lambda r: not r[0] <= ord("a") <= r[1])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+#: The inside of a class of all that isn't white space.
+SOLID = _others(SPACE_CODES)
 # Line breaks that part paragraphs, and those added by the extended rule.
-BREAK = "\r\n" + chr(0x2028) + chr(0x2029)
+BREAK_CODES = "000A 000D 2028 2029"
+BREAK = "".join(chr(int(x, 16)) for x in BREAK_CODES.split())
 EXTENDED_BREAK = BREAK + "\x0b\f" + chr(0x85)
 # Ranges of characters that make a paragraph Japanese (hexadecimal code points).
 JAPANESE_RANGES = (
@@ -30,7 +41,7 @@ SENTENCE_END = r"""[.!?]+["'”’)\]]*\z"""
 OPENERS = r"""^["'“‘(\[]+"""
 COMMA_END = r"""[、，,;；:：]["'”’)\]」』）】〕］]*\z"""
 #: What follows a word that isn't the last of its paragraph.
-_ON = f"(?=[{SPACE}&&[^{BREAK}]]+[^{SPACE}])"
+_ON = f"(?=[{SPACE}&&[^{BREAK}]]+[{SOLID}])"
 # Marks of the Aozora Bunko text format.
 SYMBOL_HEADING, NOTE_START = "【テキスト中に現れる記号について】", "［＃"
 SOURCE_BOOK, CREDIT = "底本：", "インターネットの図書館、青空文庫"
@@ -80,10 +91,10 @@ def english_counts(text: Column) -> dict[str, Column]:
     tail = lambda end: end.removesuffix(r"\z").replace("]+", "]") + _ON
     short = "|".join(x.replace(".", r"\.") for x in ABBREVIATIONS)
     starts = OPENERS[2:-2] + "".join(sorted({x[0] for x in ABBREVIATIONS}))
-    exempt = rf"(?i)(?=[{starts}])(?<![^{SPACE}]){OPENERS[1:-1]}*(?:{short}){_ON}"
+    exempt = rf"(?i)(?=[{starts}])(?<![{SOLID}]){OPENERS[1:-1]}*(?:{short}){_ON}"
     return {
-        "words": count(f"[^{SPACE}]+"),
-        "paragraphs": count(f"[^{SPACE}][^{BREAK}]*"),
+        "words": count(f"[{SOLID}]++"),
+        "paragraphs": count(f"[{SOLID}][{_others(BREAK_CODES)}]*+"),
         "ends": count(tail(SENTENCE_END)) - count(exempt),
         "commas": count(tail(COMMA_END)),
     }

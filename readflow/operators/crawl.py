@@ -62,6 +62,20 @@ def robots_state(log: DataFrame) -> DataFrame:
     return log.select("host", F.when(ok & why.isNull(), F.col("robots_text")).alias("robots_text"), why.alias("reason"))
 
 
+def robots_fetched(hosts: DataFrame, log: DataFrame, redirects: DataFrame, scheme: str = "https", most: int = MOST_HOPS) -> DataFrame:
+    """host, status, robots_text, blocked_reason: each host's robots file, behind its redirects.
+
+    hosts: host. log: url, status, robots_text, what a fetch of each URL answers. redirects: from_url, to_url, of which
+    those of robots files count too. Every hop's URL is checked, but no hop by robots rules; a refused hop, or more
+    than ``most``, passes its reason on. A file that the log lacks has no status.
+    """
+    start = hosts.select(F.col("host").alias("page_id"), F.concat(F.lit(f"{scheme}://"), "host", F.lit("/robots.txt")).alias("url")).distinct()
+    ends = follow(start, redirects, most=most).select(F.col("page_id").alias("host"), F.col("final_url").alias("_url"), F.col("reason").alias("blocked_reason"))
+    answers = written(log.groupBy("url").agg(F.min(F.struct("status", "robots_text")).alias("_got")))
+    found = ends.join(answers, F.col("_url") == F.col("url"), "left")
+    return found.select("host", F.col("_got.status").alias("status"), F.col("_got.robots_text").alias("robots_text"), "blocked_reason")
+
+
 def follow(pages: DataFrame, redirects: DataFrame, rules: DataFrame | None = None, most: int = MOST_HOPS, closed: DataFrame | None = None) -> DataFrame:
     """page_id, final_url, hops, reason: pages (page_id, url) after redirects (from_url, to_url), every hop checked.
 

@@ -28,6 +28,6 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out to all cores if it comes in fewer parts (a small table in one file); larger tables stay as they are."""
+    """df, dealt out to all cores if it comes from fewer files (a small table in one file); no job is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

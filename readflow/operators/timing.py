@@ -95,7 +95,7 @@ def plan_documents(docs: DataFrame, ja_cpm=JA_CPM, en_wpm=EN_WPM, **options) ->
     docs = spread(docs)
     ja = F.coalesce(T.is_japanese(F.col("text")), F.lit(False))
     n = {k: v.cast("long") for k, v in T.english_counts(F.col("text")).items()}
-    rows = docs.filter(~ja).select("doc_id", *[v.alias(k) for k, v in n.items()]).filter("words > 0")
+    rows = docs.filter(~ja & F.col("text").rlike(f"[{T.SOLID}]")).select("doc_id", *[v.alias(k) for k, v in n.items()])
     ms = lambda pause: display_ms(F.lit(""), F.lit("en"), F.lit(pause), ja_cpm, en_wpm)
     rest = F.col("words") - F.col("paragraphs") - F.col("ends") - F.col("commas")
     total = F.col("paragraphs") * ms("paragraph") + F.col("ends") * ms("sentence") + F.col("commas") * ms("comma") + rest * ms("none")

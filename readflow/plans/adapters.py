@@ -64,11 +64,18 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.withColumn("robots_text", text)
 
 
-def robots_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host, status, robots_text, blocked_reason: fetches of the robots files; by the length of the host's name modulo 5 none is there (0), or the host fails (1)."""
-    kind = F.length("host") % 5
-    rows = robots_files(spark, sf_dir).withColumn("status", F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200))
-    return rows.select("host", "status", F.when(F.col("status") == 200, F.col("robots_text")).alias("robots_text"), F.lit(None).cast("string").alias("blocked_reason"))
+def robots_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """url, status, robots_text of fetches of robots files, and their redirects (from_url, to_url), by the length of the host's name.
+
+    Modulo 5, none is there (0), the host fails (1), or the file lies behind two hops (2, the second one relative); modulo 10, a
+    hop leads to an address that isn't public (3).
+    """
+    rows = robots_files(spark, sf_dir).withColumn("n", F.length("host"))
+    own, far, last = (F.concat(F.lit("https://"), F.lit(sub), "host", F.lit(path)) for sub, path in (("", "/robots.txt"), ("files.", "/a/b.txt"), ("files.", "/robots/all.txt")))
+    status = F.when(F.col("n") % 5 == 0, 404).when(F.col("n") % 5 == 1, 503).otherwise(200)
+    log = rows.select(F.when(F.col("n") % 5 == 2, last).otherwise(own).alias("url"), status.alias("status"), F.when(status == 200, F.col("robots_text")).alias("robots_text"))
+    hops = rows.filter("n % 5 = 2").select(own.alias("from_url"), far.alias("to_url")).unionByName(rows.filter("n % 5 = 2").select(far.alias("from_url"), F.lit("../robots/all.txt").alias("to_url")))
+    return log, hops.unionByName(rows.filter("n % 10 = 3").select(own.alias("from_url"), F.lit("http://10.0.0.1/robots.txt").alias("to_url")))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

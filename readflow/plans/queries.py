@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls
 from ..operators import activity, boundaries, crawl, html, segment, timing
+from ..operators.shared import written
 from . import adapters as A
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,7 +325,7 @@ def b14_redirects(spark, sf_dir):
 
 
 @query("w2_plan", f"""WITH RECURSIVE {_RULES}, r AS (SELECT a.canonical_url AS from_url, min(b.canonical_url) AS to_url FROM pr a JOIN pr b ON b.page_id = a.page_id + 1 WHERE a.page_id % 7 < 3 GROUP BY 1),
-v AS (SELECT canonical_url, min(page_id) AS target, min(CASE WHEN reason IS NOT NULL THEN reason WHEN length(host) % 5 = 1 THEN 'page-unavailable' WHEN length(host) % 5 <> 0 AND NOT allowed THEN 'robots-disallowed' END) AS why FROM ok GROUP BY 1),
+v AS (SELECT canonical_url, min(page_id) AS target, min(CASE WHEN reason IS NOT NULL THEN reason WHEN length(host) % 5 = 1 THEN 'page-unavailable' WHEN length(host) % 10 = 3 THEN 'blocked-url' WHEN length(host) % 5 <> 0 AND NOT allowed THEN 'robots-disallowed' END) AS why FROM ok GROUP BY 1),
 rq AS (SELECT page_id, canonical_url, row_number() OVER (PARTITION BY page_id % 7, page_id // 60 ORDER BY page_id) > 8 AS limited FROM pr),
 f AS (SELECT page_id, canonical_url AS loc, 0 AS hops FROM rq WHERE NOT limited UNION ALL SELECT page_id, r.to_url, hops + 1 FROM f JOIN v ON canonical_url = loc AND why IS NULL JOIN r ON loc = from_url WHERE hops < 6),
 g AS (SELECT page_id, loc, hops, target, why FROM f JOIN v ON canonical_url = loc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY hops DESC) = 1),
@@ -335,10 +336,11 @@ h AS (SELECT rq.page_id, loc, art.text, CASE WHEN limited THEN 'rate-limited' WH
 documents AS (SELECT page_id AS doc_id, text FROM h WHERE reason IS NULL), {_TIMED}
 SELECT h.page_id, loc AS final_url, reason, count(doc_id) AS units, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms FROM h LEFT JOIN timed ON doc_id = h.page_id GROUP BY ALL""")
 def w2_plan(spark, sf_dir):
-    """Pages to reading plans, with one reason per page: rate limit, URL, redirects with robots at every hop, response, content."""
+    """Pages to reading plans, with one reason per page: rate limit, URL, redirects with robots (behind redirects of their own) at every hop, response, content."""
     pages = A.table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 7).alias("key"), F.timestamp_seconds("page_id").alias("ts"))
     asked = crawl.rate_limited(pages.withColumnRenamed("page_id", "request_id"), 8).select(F.col("request_id").alias("page_id"), "url", "limited")
-    log = crawl.robots_state(A.robots_log(spark, sf_dir))
+    log, hops = A.robots_log(spark, sf_dir)
+    log = written(crawl.robots_state(crawl.robots_fetched(A.robots_files(spark, sf_dir), log, hops)))
     rules = crawl.robots_rules(log.filter("robots_text is not null"), "readbot")
     found = crawl.follow(asked.filter("not limited").select("page_id", "url"), A.redirects(spark, sf_dir), rules, closed=log.select("host", "reason"))
     got = A.responses(spark, sf_dir).withColumn("_why", crawl.response_reason(F.col("status"), F.col("content_type"), F.octet_length("html")))
@@ -353,6 +355,17 @@ def w2_plan(spark, sf_dir):
     return rows.select("page_id", "final_url", F.when(F.col("limited"), "rate-limited").otherwise(F.col("reason")).alias("reason"), none("units"), none("total_ms"))
 
 
+@query("b13_robots_files", f"""WITH {_PAGES}, h AS (SELECT DISTINCT host, length(host) AS n FROM pr WHERE reason IS NULL)
+SELECT host, CASE n % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'html' ELSE 'de' END AS file, CASE WHEN n % 5 = 1 THEN 'page-unavailable' WHEN n % 10 = 3 THEN 'blocked-url' END AS reason, n % 5 > 1 AND n % 10 <> 3 AS has_rules FROM h""")
+def b13_robots_files(spark, sf_dir):
+    """Robots files behind their redirects, or why a host has none."""
+    log, hops = A.robots_log(spark, sf_dir)
+    files = A.robots_files(spark, sf_dir)
+    found = crawl.robots_state(crawl.robots_fetched(files, log, hops)).withColumnRenamed("robots_text", "got")
+    own = F.when(F.col("robots_text").contains("/en/"), "en").when(F.col("robots_text").contains("html"), "html").otherwise("de")
+    return files.join(found, "host").select("host", own.alias("file"), "reason", (F.col("got") == F.col("robots_text")).alias("has_rules")).na.fill(False)
+
+
 @query("b15_responses", """SELECT page_id, CASE WHEN CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END <> 200 THEN 'page-unavailable' WHEN page_id % 13 = 0 THEN 'unextractable' WHEN strlen(html) > 5242880 THEN 'page-too-large' END AS reason FROM pages""")
 def b15_responses(spark, sf_dir):
     """The first rule that a fetched page fails."""

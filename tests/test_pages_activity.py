@@ -70,6 +70,29 @@ def test_robots_at_every_hop(spark):
     assert got == {1: ("http://b.com/no", 1, "robots-disallowed"), 2: ("http://c.com/", 1, None), 3: ("http://d.com/", 1, "page-unavailable")}
 
 
+def test_robots_behind_redirects(spark):
+    hosts = spark.createDataFrame([(x,) for x in ("a.com", "b.com", "c.com", "d.com", "e.com")], "host string")
+    log = spark.createDataFrame([("https://a.com/robots.txt", 200, "own"), ("https://x.b.com/r.txt", 200, "far"), ("https://e.com/robots.txt", 404, None)], "url string, status int, robots_text string")
+    hops = [("https://b.com/robots.txt", "https://x.b.com/one"), ("https://x.b.com/one", "/r.txt"), ("https://c.com/robots.txt", "http://127.1/"), ("https://d.com/robots.txt", "https://d.com/0")]
+    hops += [(f"https://d.com/{i}", f"https://d.com/{i + 1}") for i in range(9)]
+    found = crawl.robots_fetched(hosts, log, spark.createDataFrame(hops, "from_url string, to_url string"))
+    want = {"a.com": (200, "own", None), "b.com": (200, "far", None), "c.com": (None, None, "blocked-url"), "d.com": (None, None, "page-unavailable"), "e.com": (404, None, None)}
+    assert {r.host: (r.status, r.robots_text, r.blocked_reason) for r in found.collect()} == want
+
+
+def test_plans_are_built_without_jobs(spark):
+    from readflow.operators import html, timing
+
+    docs, pages = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "pages"))
+    spark.sparkContext.setJobGroup("building", "no job")
+    try:
+        joined = docs.join(docs.select("doc_id").filter("doc_id % 2 = 0"), "doc_id")
+        plans = [timing.plan_documents(joined), html.articles(pages)]
+        assert len(plans) == 2 and not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_translator(spark):
     """Toggles have no effect before availability; a failure hides; what comes when nothing is being made counts for nothing."""
     events = "toggle created available toggle toggle failed toggle failed failed created toggle toggle toggle created failed toggle available unavailable".split()
