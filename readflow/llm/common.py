@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable
 
@@ -115,7 +116,15 @@ def slices(batch: pa.RecordBatch, text_at: int = 1, chars: int = 4_000_000, rows
         seen += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    released()
+
+
+def released() -> None:
+    """Gives freed memory back to the system: a worker serves many stages, and what it keeps adds to what the next one needs."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
