@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
+
+from .urls import bound
 
 # Characters that count as white space, as code points (hexadecimal).
 SPACE_CODES = "0009-000D 0020 00A0 1680 2000-200A 2028 2029 202F 205F 3000 FEFF"
@@ -125,49 +124,58 @@ def is_aozora(text: Column) -> Column:
     return text.contains(SYMBOL_HEADING) | text.contains(NOTE_START) | (footed & text.contains(CREDIT) & credit)
 
 
-_rule = re.compile(f"[{SPACE}]*-{{10,}}[{SPACE}]*")
+def aozora_body(text: Column) -> Column:
+    """text less its description of symbols (between two rules) and its source-book footer (from its first line, if the credit stands in a later one)."""
+    rule = lambda x: x.rlike(rf"\A[{SPACE}]*-{{10,}}[{SPACE}]*\z")
+    rules = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(rule(x), i)), lambda i: i.isNotNull())
 
+    def parts(x: Column) -> Column:
+        lines, first, second = x["lines"], F.get(x["rules"], F.lit(0)), F.get(x["rules"], F.lit(1))
+        described = F.coalesce(F.exists(F.slice(lines, first + 1, second - first), lambda y: y.contains(SYMBOL_HEADING)), F.lit(False))
+        head = F.when(described, F.slice(lines, F.lit(1), first)).otherwise(F.slice(lines, F.lit(1), F.lit(0)))
+        return F.struct(head.alias("head"), F.when(described, F.slice(lines, second + 2, F.size(lines))).otherwise(lines).alias("rest"))
 
-def aozora_body(text: str) -> str:
-    """text less its description of symbols (between two rules) and its source-book footer (from its first line, if the credit stands in a later one)."""
-    lines = text.split("\n")
-    rules = [i for i, x in enumerate(lines) if _rule.fullmatch(x)][:2]
-    if len(rules) == 2 and any(SYMBOL_HEADING in x for x in lines[rules[0] : rules[1]]):
-        head, rest = lines[: rules[0]], lines[rules[1] + 1 :]
-    else:
-        head, rest = [], lines
-    foot = next((i for i, x in enumerate(rest) if x.startswith(SOURCE_BOOK)), len(rest))
-    if any(CREDIT in x for x in rest[foot + 1 :]):
-        rest = rest[:foot]
-    return "\n".join([*head, *rest])
-
-
-def without_notes(text: str) -> str:
+    def joined(x: Column) -> Column:
+        rest, foot = x["rest"], x["foot"]
+        credited = (foot >= 0) & F.exists(F.slice(rest, F.greatest(foot, F.lit(0)) + 2, F.size(rest)), lambda y: y.contains(CREDIT))
+        return F.array_join(F.concat(x["head"], F.when(credited, F.slice(rest, F.lit(1), F.greatest(foot, F.lit(0)))).otherwise(rest)), "\n")
+
+    split = bound(F.split(text, "\n", -1), lambda lines: F.struct(lines.alias("lines"), rules(lines).alias("rules")))
+    footed = lambda x: F.struct(x["head"].alias("head"), x["rest"].alias("rest"), _first(x["rest"], lambda y, i: y.startswith(SOURCE_BOOK)).alias("foot"))
+    return bound(bound(bound(split, parts), footed), joined)
+
+
+#: Levels of brackets in a note that one expression follows; what lies deeper is folded.
+NESTED = 8
+
+
+def _note() -> str:
+    """A note with its brackets; what isn't closed goes on to the end. Nothing that was read is read again."""
+    inside = "[^［］]*+"
+    for _ in range(NESTED):
+        inside = rf"(?:[^［］]++|［{inside}(?:］|\z))*+"
+    return rf"{NOTE_START}{inside}(?:］|\z)"
+
+
+def without_notes(text: Column) -> Column:
     """text less inputter's notes; brackets nest inside a note, and an open note goes on to the end."""
-    out, depth, at = [], 0, 0
-    while at < len(text):
-        if not depth:
-            start = text.find(NOTE_START, at)
-            out.append(text[at:] if start < 0 else text[at:start])
-            if start < 0:
-                break
-            depth, at = 1, start + 1
-        else:
-            depth += {"［": 1, "］": -1}.get(text[at], 0)
-            at += 1
-    return "".join(out)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
+    def step(s: Column, x: Column) -> Column:
+        depth = F.when(s["depth"] == 0, F.when(x == NOTE_START, 1).otherwise(0)).when(x.startswith("［"), s["depth"] + 1).when(x == "］", s["depth"] - 1).otherwise(s["depth"])
+        out = F.when((s["depth"] == 0) & (x != NOTE_START), F.concat(s["out"], x)).otherwise(s["out"])
+        return F.struct(depth.alias("depth"), out.alias("out"))
+
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(f"{NOTE_START}|［|］|[^［］]++"), F.lit(0)), start, step)["out"]
+    return bound(F.regexp_replace(text, _note(), ""), lambda plain: F.when(plain.contains(NOTE_START), folded).otherwise(plain))
 
-def strip_aozora(text: Column) -> Column:
-    """Body without notes and readings; breaks of three or more lines become two. The notation's order and nesting are read by a small helper."""
-    helper = F.pandas_udf(lambda texts: texts.map(lambda x: None if x is None else without_notes(aozora_body(x))), "string", PandasUDFType.SCALAR)
-    return trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(helper(text), "《[^》]*》", ""), "｜", ""), "\n{3,}", "\n\n"))
 
+def strip_aozora(text: Column) -> Column:
+    """Body without notes and readings; breaks of three or more lines become two."""
+    return trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(without_notes(aozora_body(text)), "《[^》]*》", ""), "｜", ""), "\n{3,}", "\n\n"))
 
-def import_plain(text: Column, aozora: bool = True) -> Column:
-    """A plain text as it is read: normalised, and stripped of the Aozora Bunko notation if it has one.
 
-    aozora=False leaves the Python helper for nested notes out of the plan.
-    """
+def import_plain(text: Column) -> Column:
+    """A plain text as it is read: normalised, and stripped of the Aozora Bunko notation if it has one."""
     plain = normalise(text)
-    return F.when(is_aozora(plain), normalise(strip_aozora(F.when(is_aozora(plain), plain)))).otherwise(plain) if aozora else plain
+    return F.when(is_aozora(plain), normalise(strip_aozora(plain))).otherwise(plain)

@@ -23,9 +23,9 @@ _FOOT = "\n\n\n底本：「本」出版\n入力：人\nこのファイルは、
 u AS (SELECT doc_id, trim(regexp_replace('題' || repeat(chr(10), 1) || '著者' || repeat(chr(10), 5) || b || repeat(chr(10), 3), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM t)
 SELECT doc_id, sha256(t) AS text_hash, CAST(length(t) AS BIGINT) AS chars FROM u""")
 def a8_aozora(spark, sf_dir):
-    """Every text in the Aozora Bunko notation (head, readings, nested notes, footer), read back as it was."""
+    """Every text in the Aozora Bunko notation (head, readings, nested and open notes, footer), read back as it was."""
     body = F.regexp_replace(F.coalesce("text", F.lit("")), "[｜《》［］\r]", "")
-    marked = F.concat(F.lit(_HEAD), F.regexp_replace(body, " ", "《よみ》 ｜［＃注［＃中］記］"), F.lit(_FOOT))
+    marked = F.concat(F.lit(_HEAD), F.regexp_replace(body, " ", "《よみ》 ｜［＃注［＃中］記］"), F.when(F.col("doc_id") % 3 == 0, "\n\n［＃" + "［深" * 12 + "］" * 5).otherwise(_FOOT))
     rows = A.table(spark, sf_dir, "documents").select("doc_id", T.import_plain(marked).alias("t"))
     return rows.select("doc_id", T.text_hash(F.col("t")).alias("text_hash"), F.length("t").cast("long").alias("chars"))
 

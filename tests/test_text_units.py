@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from readflow.functions import japanese, text as T
@@ -105,13 +108,58 @@ def test_offsets(spark):
     assert [r.unit_index for r in rows] == [0, 1, 1, 1, 2, 2]
 
 
+_rule = re.compile(f"[{T.SPACE}]*-{{10,}}[{T.SPACE}]*")
+
+
+def aozora_body(text: str) -> str:
+    """text less its description of symbols (between two rules) and its source-book footer (from its first line, if the credit stands in a later one)."""
+    lines = text.split("\n")
+    rules = [i for i, x in enumerate(lines) if _rule.fullmatch(x)][:2]
+    if len(rules) == 2 and any(T.SYMBOL_HEADING in x for x in lines[rules[0] : rules[1]]):
+        head, rest = lines[: rules[0]], lines[rules[1] + 1 :]
+    else:
+        head, rest = [], lines
+    foot = next((i for i, x in enumerate(rest) if x.startswith(T.SOURCE_BOOK)), len(rest))
+    if any(T.CREDIT in x for x in rest[foot + 1 :]):
+        rest = rest[:foot]
+    return "\n".join([*head, *rest])
+
+
+def without_notes(text: str) -> str:
+    """text less inputter's notes; brackets nest inside a note, and an open note goes on to the end."""
+    out, depth, at = [], 0, 0
+    while at < len(text):
+        if not depth:
+            start = text.find(T.NOTE_START, at)
+            out.append(text[at:] if start < 0 else text[at:start])
+            if start < 0:
+                break
+            depth, at = 1, start + 1
+        else:
+            depth += {"［": 1, "］": -1}.get(text[at], 0)
+            at += 1
+    return "".join(out)
+
+
 def test_aozora(spark):
     rule = "-" * 55
     text = f"題名\n著者\n\n{rule}\n【テキスト中に現れる記号について】\n\n《》：ルビ\n{rule}\n\n吾輩《わがはい》は｜猫［＃「※［＃二の字点］」に傍点］である\n\n底本：「本」\nインターネットの図書館、青空文庫（x）"
     assert one(spark, text, T.import_plain) == "題名\n著者\n\n吾輩は猫である"
     assert one(spark, "ふつう\r\nの文 ", T.import_plain) == "ふつう\nの文"
     assert one(spark, "書評\n底本：引用だけ", T.import_plain) == "書評\n底本：引用だけ"
-    assert T.without_notes("a［＃b［c］d］e［＃open") == "ae"
+
+
+def test_aozora_equals_a_plain_reader(spark):
+    random.seed(6)
+    rule, marks = "-" * 12, ["［＃", "［", "］", "あ", "\n", "＃", "本文"]
+    texts = ["".join(random.choice(marks) for _ in range(random.randint(0, 40))) for _ in range(400)]
+    texts += ["［＃" + "［" * n + "x" + "］" * n + "］y" for n in (0, 6, 7, 8, 9, 30)] + ["［＃" * n + "z" for n in (1, 8, 9, 20)] + ["a［＃b［c］d］e［＃open", "［［＃x］＃y］z", "［＃" * 3000 + "］" * 3000 + "end"]
+    lines = [rule, f" {rule} ", "-" * 9, T.SYMBOL_HEADING, f"x{T.SYMBOL_HEADING}", T.SOURCE_BOOK + "「本」", "引用" + T.SOURCE_BOOK, T.CREDIT, "", "本文"]
+    texts += ["\n".join(random.choice(lines) for _ in range(random.randint(0, 9))) for _ in range(600)]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.aozora_body(F.col("t")).alias("body"), T.without_notes(F.col("t")).alias("rest")).collect()
+    for r in rows:
+        assert (r.body, r.rest) == (aozora_body(r.t), without_notes(r.t)), r.t[:200]
+    assert "Python" not in spark.createDataFrame([("x",)], "t string").select(T.import_plain(F.col("t")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_boundary_lists(spark):
