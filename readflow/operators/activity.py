@@ -187,8 +187,15 @@ def effective_speed(amount: Column, language_ms: Column, total_ms: Column, playe
     return F.when((amount > 0) & (played_ms > 0), timing.rounded(rate))
 
 
-def local_date(ts: Column, tz: str = "UTC") -> Column:
-    return F.to_date(F.from_utc_timestamp(ts, tz)) if tz != "UTC" else F.to_date(ts)
+def local_time(ts: Column, tz: str | Column = "UTC") -> Column:
+    """The wall clock (without a zone) at ts in a zone: one for all, or each row's own; a null zone is UTC."""
+    zone = F.lit(tz) if isinstance(tz, str) else F.coalesce(tz, F.lit("UTC"))
+    return F.convert_timezone(F.current_timezone(), zone, ts.cast("timestamp_ntz"))
+
+
+def local_date(ts: Column, tz: str | Column = "UTC") -> Column:
+    """The date at ts on the wall clock of a zone, over its changes of daylight-saving time."""
+    return F.to_date(local_time(ts, tz))
 
 
 def distinct_finishes(finishes: DataFrame) -> DataFrame:
@@ -197,8 +204,8 @@ def distinct_finishes(finishes: DataFrame) -> DataFrame:
     return finishes.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def daily_totals(finishes: DataFrame, tz: str = "UTC", shown: int | None = None) -> DataFrame:
-    """reader, date, finishes, ja_characters, en_words, played_ms; with shown, the newest days of each reader."""
+def daily_totals(finishes: DataFrame, tz: str | Column = "UTC", shown: int | None = None) -> DataFrame:
+    """reader, date (in tz, a zone or a column of finishes), finishes, ja_characters, en_words, played_ms; with shown, the newest days of each reader."""
     days = finishes.groupBy("reader", local_date(F.col("finished_at"), tz).alias("date")).agg(
         F.count("*").alias("finishes"), F.sum("ja_characters").alias("ja_characters"), F.sum("en_words").alias("en_words"), F.sum("played_ms").alias("played_ms")
     )
@@ -216,9 +223,10 @@ def week_and_all(days: DataFrame, as_of: Column) -> DataFrame:
     return days.groupBy("reader").agg(*out)
 
 
-def english_days(finished_units: DataFrame, shown: DataFrame, tz: str = "UTC") -> DataFrame:
+def english_days(finished_units: DataFrame, shown: DataFrame, tz: str | Column = "UTC") -> DataFrame:
     """reader, date, english_read, translations, from unit ends (reader, ts, language) and flags (reader, ts, seq, visible).
 
+    Dates are those of tz, a zone or a column that both have.
     A translation counts on each rise of visible (the conjunction of shown, ready, English sentence, unfinished).
     """
     read = finished_units.groupBy("reader", local_date(F.col("ts"), tz).alias("date")).agg(F.bool_or(F.col("language") == "en").alias("english_read"))

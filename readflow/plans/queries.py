@@ -464,6 +464,19 @@ def e7_daily(spark, sf_dir):
     return activity.daily_totals(A.finishes(spark, sf_dir), shown=activity.SHOWN_DAYS).withColumn("date", F.col("date").cast("string"))
 
 
+#: Zones of readers by their number: whole and half hours, both sides of the date line, with and without daylight-saving time.
+ZONES = ["UTC", "Asia/Tokyo", "America/New_York", "Pacific/Kiritimati", "Europe/Berlin", "Pacific/Pago_Pago", "Australia/Adelaide", None]
+
+
+@query("e7_zones", f"""WITH {_FIN}, z AS (SELECT *, timezone(CASE reader % {len(ZONES)} {" ".join(f"WHEN {i} THEN '{z or 'UTC'}'" for i, z in enumerate(ZONES))} END, timezone('UTC', finished_at + to_days(CAST(seq % 300 AS INTEGER)))) AS wall FROM fin)
+SELECT reader, CAST(CAST(wall AS DATE) AS VARCHAR) AS date, count(*) AS finishes, CAST(sum(ja_characters) AS BIGINT) AS ja_characters, CAST(sum(en_words) AS BIGINT) AS en_words, CAST(sum(played_ms) AS BIGINT) AS played_ms FROM z GROUP BY ALL""")
+def e7_zones(spark, sf_dir):
+    """Daily totals by the dates of each reader's zone, over most of a year with its changes of the clock."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("reader") % len(ZONES) + 1).cast("int"))
+    rows = A.finishes(spark, sf_dir).withColumn("finished_at", F.col("finished_at").cast("timestamp") + F.make_dt_interval((F.col("seq") % 300).cast("int"))).withColumn("zone", zone)
+    return activity.daily_totals(rows, F.col("zone")).withColumn("date", F.col("date").cast("string"))
+
+
 @query("e8_week", f"""WITH {_DAYS} SELECT reader, {", ".join(f"CAST(sum(CASE WHEN date BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}' THEN {c} ELSE 0 END) AS BIGINT) AS week_{c}, CAST(sum({c}) AS BIGINT) AS all_{c}" for c in ("ja_characters", "en_words", "played_ms"))} FROM days GROUP BY reader""")
 def e8_week(spark, sf_dir):
     return activity.week_and_all(activity.daily_totals(A.finishes(spark, sf_dir)), F.lit(AS_OF).cast("date"))

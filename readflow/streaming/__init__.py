@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -128,9 +128,25 @@ def request_counts(requests: DataFrame, limit: int = crawl.REQUESTS, period: str
     return found.select("key", F.col("w.start").alias("start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("limited"))
 
 
-def daily_totals(finishes: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """reader, date, finishes, ja_characters, en_words, played_ms of finishes with finished_at; late ones are dropped."""
-    found = finishes.withWatermark("finished_at", lateness).groupBy("reader", F.window("finished_at", "1 day").alias("w")).agg(
+#: Hours between the first and the last zone of the world.
+ZONES_APART = 26
+
+
+def _by_local_day(events: DataFrame, at: str, lateness: str, tz: str | Column | None) -> tuple[DataFrame, Column]:
+    """events with a watermark, and the window of a day: in UTC, or on the wall clock of tz (a zone, or a column of events).
+
+    Wall clocks of different zones are up to ZONES_APART hours apart, so much later the days of a column of zones end.
+    """
+    if tz is None:
+        return events.withWatermark(at, lateness), F.window(at, "1 day")
+    later = lateness if isinstance(tz, str) else f"{lateness} {ZONES_APART} hours"
+    return events.withColumn("_wall", activity.local_time(F.col(at), tz).cast("timestamp")).withWatermark("_wall", later), F.window("_wall", "1 day")
+
+
+def daily_totals(finishes: DataFrame, lateness: str = "1 day", tz: str | Column | None = None) -> DataFrame:
+    """reader, date, finishes, ja_characters, en_words, played_ms of finishes with finished_at, by UTC days or those of tz; late ones are dropped."""
+    rows, day = _by_local_day(finishes, "finished_at", lateness, tz)
+    found = rows.groupBy("reader", day.alias("w")).agg(
         F.count("*").alias("finishes"), F.sum("ja_characters").alias("ja_characters"), F.sum("en_words").alias("en_words"), F.sum("played_ms").alias("played_ms")
     )
     return found.select("reader", F.to_date("w.start").alias("date"), "finishes", "ja_characters", "en_words", "played_ms")
@@ -171,14 +187,17 @@ def ingest(texts: DataFrame, path: str, checkpoint: str):
     return texts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def english_days(finished_units: DataFrame, shown: DataFrame, lateness: str = "1 day") -> DataFrame:
+def english_days(finished_units: DataFrame, shown: DataFrame, lateness: str = "1 day", tz: str | None = None) -> DataFrame:
     """reader, date, english_read, translations per day, from unit ends (reader, ts, language) and rises (reader, ts) of a shown translation.
 
-    Both streams are put together as one, so that a day is one row of one window; what comes later than the lateness is dropped.
+    Both streams are put together as one, so that a day is one row of one window; what comes later than the lateness is
+    dropped. Days are those of UTC, of the zone tz, or, if tz names a column of both streams, of each row's zone.
     """
-    ends = finished_units.select("reader", "ts", (F.col("language") == "en").alias("english"), F.lit(0).alias("rise"))
-    both = ends.unionByName(shown.select("reader", "ts", F.lit(False).alias("english"), F.lit(1).alias("rise"))).withWatermark("ts", lateness)
-    found = both.groupBy("reader", F.window("ts", "1 day").alias("w")).agg(F.max("english").alias("english_read"), F.sum("rise").alias("translations"))
+    zone = [F.col(tz)] if tz and tz in finished_units.columns else []
+    ends = finished_units.select("reader", "ts", (F.col("language") == "en").alias("english"), F.lit(0).alias("rise"), *zone)
+    both = ends.unionByName(shown.select("reader", "ts", F.lit(False).alias("english"), F.lit(1).alias("rise"), *zone))
+    rows, day = _by_local_day(both, "ts", lateness, zone[0] if zone else tz)
+    found = rows.groupBy("reader", day.alias("w")).agg(F.max("english").alias("english_read"), F.sum("rise").alias("translations"))
     return found.select("reader", F.to_date("w.start").alias("date"), "english_read", "translations")
 
 

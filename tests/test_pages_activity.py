@@ -274,6 +274,26 @@ def test_live_days(spark, tmp_path):
     assert {(r.reader, str(r.date)): (r.english_read, r.translations) for r in got} == {(1, "2024-01-01"): (True, 1), (1, "2024-01-02"): (False, 2)}
 
 
+def test_days_of_each_zone(spark, tmp_path):
+    """Wall dates around the changes of the clock, alike in batch and stream."""
+    at = lambda m, d, h, mi=0: dt.datetime(2024, m, d, h, mi)
+    rows = [
+        (1, at(3, 10, 4, 59), "America/New_York"), (1, at(3, 10, 5, 1), "America/New_York"), (1, at(3, 11, 3, 59), "America/New_York"), (1, at(3, 11, 4, 1), "America/New_York"),
+        (2, at(3, 9, 15), "Asia/Tokyo"), (2, at(3, 9, 14, 59), "Asia/Tokyo"), (3, at(3, 10, 9, 59), "Pacific/Kiritimati"), (3, at(3, 10, 10), "Pacific/Kiritimati"), (4, at(3, 10, 12), None), (5, at(3, 10, 10, 59), "Pacific/Pago_Pago"),
+    ]
+    rows = [(*r, 1, 2, 3) for r in rows]
+    schema = "reader long, finished_at timestamp, zone string, ja_characters long, en_words long, played_ms long"
+    want = {(1, "2024-03-09"): 1, (1, "2024-03-10"): 2, (1, "2024-03-11"): 1, (2, "2024-03-10"): 1, (2, "2024-03-09"): 1, (3, "2024-03-10"): 1, (3, "2024-03-11"): 1, (4, "2024-03-10"): 1, (5, "2024-03-09"): 1}
+    batch = activity.daily_totals(spark.createDataFrame(rows, schema), F.col("zone"))
+    assert {(r.reader, str(r.date)): r.finishes for r in batch.collect()} == want
+    parts = [rows, [(9, at(3, 20, 0), "UTC", 0, 0, 0)], [(9, at(3, 20, 1), "UTC", 0, 0, 0)]]
+    got = _streamed(spark, tmp_path, "zones", lambda s: streaming.daily_totals(s, tz=F.col("zone")), ("in", parts, schema))
+    assert {(r.reader, str(r.date)): r.finishes for r in got if r.reader < 9} == want
+    ends = spark.createDataFrame([(1, at(3, 9, 15), "en", "Asia/Tokyo")], "reader long, ts timestamp, language string, zone string")
+    shown = spark.createDataFrame([(1, at(3, 9, 15), 1, True, "Asia/Tokyo")], "reader long, ts timestamp, seq long, visible boolean, zone string")
+    assert [str(r.date) for r in activity.english_days(ends, shown, F.col("zone")).collect()] == ["2024-03-10"]
+
+
 def test_live_sessions_and_finishes(spark, tmp_path):
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     got = _streamed(spark, tmp_path, "sittings", streaming.sessions, ("in", [[(1, at(0)), (1, at(10)), (1, at(50))], [(2, at(500))]], "reader long, ts timestamp"))
