@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls
 from ..operators import activity, boundaries, crawl, segment, timing
-from ..sources import stores
+from ..sources import files, stores
 from . import adapters as A
-from .queries import _EV, _FIN, _JA, _TIMED, _UNITS, KANA, LATIN, query
+from .queries import _ENGLISH, _EV, _FIN, _JA, _TIMED, _UNITS, KANA, LATIN, _english, query
 
 # --- texts ---------------------------------------------------------------------------------------
 
@@ -227,6 +227,41 @@ def e15_speeds(spark, sf_dir):
     return stores.speed(A.events(spark, sf_dir).select(F.col("seq").alias("reader"), json.alias("json"))).withColumnRenamed("reader", "seq")
 
 
+@query("e14_english_days", f"WITH {_ENGLISH} SELECT reader, CAST(date AS VARCHAR) AS date, english_read, translations FROM ed WHERE translations <> 2")
+def e14_english_days(spark, sf_dir):
+    """English days written as one JSON object per reader and read again; days of two translations have their number in quotes."""
+    written = stores.export_english_days(_english(spark, sf_dir))
+    return stores.english_days(written.withColumn("json", F.regexp_replace("json", r'"translationDisplayCount":2}', '"translationDisplayCount":"2"}')))
+
+
+@query("a5_readings", f"WITH {_FIN} SELECT reader, CAST(row_number() OVER (PARTITION BY reader ORDER BY seq) - 1 AS INTEGER) AS pos, CAST(epoch_us(finished_at) // 1000 AS BIGINT) AS finished_at, ja_characters, en_words, played_ms FROM fin")
+def a5_readings(spark, sf_dir):
+    """Finished readings written as a JSON array per reader, in order, and read again."""
+    rows = A.finishes(spark, sf_dir).withColumns({"finished_at": F.unix_millis(F.col("finished_at").cast("timestamp")), "pos": F.col("seq")})
+    return stores.finished_readings(stores.export_finished(rows))
+
+
+@query("a5_cut_lists", f"""WITH {_EV}, b AS (SELECT reader, k, max(seq) AS seq FROM ev WHERE event_type = 'view' GROUP BY ALL)
+SELECT reader, CAST(k AS VARCHAR) AS text_hash, to_json([[k + 1, k + 3], NULL]) AS lists, seq AS saved_at FROM b WHERE k % 4 <> 1""")
+def a5_cut_lists(spark, sf_dir):
+    """Saved cut lists written as one JSON object per reader and read again; every fourth doesn't ascend."""
+    rows = A.events(spark, sf_dir).filter("event_type = 'view'").groupBy("reader", "k").agg(F.max("seq").alias("saved_at"))
+    k = F.col("k").cast("int")
+    lists = F.array(F.array(k + 1, F.when(k % 4 == 1, k).otherwise(k + 3)), F.lit(None))
+    found = stores.saved_boundaries(stores.export_boundaries(rows.select("reader", k.cast("string").alias("text_hash"), lists.alias("boundaries"), "saved_at")))
+    return found.select("reader", "text_hash", F.to_json("boundaries").alias("lists"), "saved_at")
+
+
+@query("a6_charsets", """SELECT page_id, sha256(CASE page_id % 4 WHEN 1 THEN replace(html, '<meta charset="utf-8">', '<meta name=x><META http-equiv="Content-Type" content="text/html; charset=ISO-8859-1">') ELSE html END) AS sha FROM pages""")
+def a6_charsets(spark, sf_dir):
+    """Pages in the charset of their meta tag, of their Content-Type (which wins over the tag), and of neither."""
+    html, which = F.col("html"), F.col("page_id") % 4
+    marked = F.replace(html, F.lit('<meta charset="utf-8">'), F.lit('<meta name=x><META http-equiv="Content-Type" content="text/html; charset=ISO-8859-1">'))
+    content = F.when(which == 1, F.encode(marked, "ISO-8859-1")).when(which == 2, F.encode(html, "UTF-16")).otherwise(F.encode(html, "UTF-8"))
+    kind = F.when(which == 2, "text/html; charset=UTF-16").when(which == 3, "text/html;charset=no-such-name")
+    return A.table(spark, sf_dir, "pages").select("page_id", F.sha2(files.decode_html(content, kind), 256).alias("sha"))
+
+
 @query("e19_opening", f"""WITH {_EV}, rc AS (SELECT DISTINCT reader, k FROM ev), sv AS (SELECT DISTINCT reader, k FROM ev WHERE event_type = 'view'), po AS (SELECT DISTINCT reader, k FROM ev WHERE event_type = 'click')
 SELECT rc.reader, CAST(rc.k AS VARCHAR) AS text_hash, CASE WHEN sv.k IS NOT NULL THEN rc.k + 1000 WHEN po.k IS NULL THEN rc.k END AS cut FROM rc LEFT JOIN sv ON sv.reader = rc.reader AND sv.k = rc.k LEFT JOIN po ON po.reader = rc.reader AND po.k = rc.k""")
 def e19_opening(spark, sf_dir):

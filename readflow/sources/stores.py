@@ -77,3 +77,29 @@ def export_positions(rows: DataFrame) -> DataFrame:
     amount = F.struct(*[F.col(a).alias(b) for a, b in zip(("ja_characters", "en_words", "ja_ms", "en_ms"), AMOUNTS, strict=True)])
     item = F.struct(F.col("unit_index").alias("unitIndex"), F.col("played_ms").alias("playedMs"), amount.alias("readAmount"), F.col("unit_count").alias("unitCount"), F.col("saved_at").alias("savedAt"))
     return rows.groupBy("reader").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("text_hash", item)))).alias("json"))
+
+
+def export_finished(rows: DataFrame) -> DataFrame:
+    """reader, json: finished readings (pos or any order column, finished_at, ja_characters, en_words, played_ms) as a JSON array per reader, in their order."""
+    item = F.struct(F.col("finished_at").alias("finishedAt"), F.col("ja_characters").alias("japaneseCharacters"), F.col("en_words").alias("englishWords"), F.col("played_ms").alias("playedMs"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda x: x["item"])
+    return rows.groupBy("reader").agg(F.to_json(listed).alias("json"))
+
+
+def _object(rows: DataFrame, key: str, item: Column) -> DataFrame:
+    return rows.groupBy("reader").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), item.alias("item")))))).alias("json"))
+
+
+def export_english_days(rows: DataFrame) -> DataFrame:
+    """reader, json: days (date, english_read, translations) as one JSON object per reader."""
+    return _object(rows.withColumn("_day", F.col("date").cast("string")), "_day", F.struct(F.col("english_read").alias("englishRead"), F.col("translations").alias("translationDisplayCount")))
+
+
+def export_boundaries(rows: DataFrame) -> DataFrame:
+    """reader, json: saved cut lists (text_hash, boundaries, saved_at) as one JSON object per reader (at most 100 texts each); a paragraph without a list stays null."""
+    return _object(rows, "text_hash", F.struct(F.col("boundaries").alias("paragraphBoundaries"), F.col("saved_at").alias("savedAt")))
+
+
+def export_speed(rows: DataFrame) -> DataFrame:
+    """reader, json of each reader's speed (ja_cpm, en_wpm)."""
+    return rows.select("reader", F.to_json(F.struct(F.col("ja_cpm").alias("japaneseCharactersPerMinute"), F.col("en_wpm").alias("englishWordsPerMinute"))).alias("json"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -164,29 +164,43 @@ def distinct_finishes(finishes: DataFrame, lateness: str = "1 hour") -> DataFram
 def ingest(texts: DataFrame, path: str, checkpoint: str):
     """Starts the continuous job texts (doc_id, text) -> units under path; a text that came before adds nothing.
 
-    Every batch keeps the texts whose hash the folder of hashes lacks, and appends their units.
+    Every batch keeps the texts whose hash the folder of hashes lacks, and appends their units. Hashes lie in 256
+    partitions by their first two digits, of which a batch reads those that its own hashes fall in.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         plain = batch.select("doc_id", T.import_plain(F.col("text")).alias("text"))
-        fresh = plain.filter(F.coalesce("text", F.lit("")) != "").withColumn("text_hash", T.text_hash(F.col("text"))).dropDuplicates(["text_hash"])
-        seen = f"{path}/hashes"
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen)
-        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-            known = spark.read.parquet(seen).filter(F.col("batch") != batch_id)  # a repeated batch isn't known to itself
-            fresh = fresh.join(known, "text_hash", "left_anti")
-        fresh = fresh.persist()
+        fresh = plain.filter(F.coalesce("text", F.lit("")) != "").withColumn("text_hash", T.text_hash(F.col("text"))).dropDuplicates(["text_hash"]).persist()
         try:
-            units = segment.units(fresh.select("doc_id", "text"))
-            units.write.mode("overwrite").parquet(f"{path}/units/batch={batch_id}")
-            fresh.select("text_hash").write.mode("overwrite").parquet(f"{path}/hashes/batch={batch_id}")
+            known = known_hashes(spark, path, batch_id, fresh)
+            new = fresh if known is None else fresh.join(known, "text_hash", "left_anti")
+            new = new.persist()
+            try:
+                segment.units(new.select("doc_id", "text")).write.mode("overwrite").parquet(f"{path}/units/batch={batch_id}")
+                new.select("text_hash", _prefix().alias("prefix")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/hashes/batch={batch_id}")
+            finally:
+                new.unpersist()
         finally:
             fresh.unpersist()
 
     return texts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def _prefix() -> Column:
+    return F.substring("text_hash", 1, 2)
+
+
+def known_hashes(spark: SparkSession, path: str, batch_id: int, fresh: DataFrame) -> DataFrame | None:
+    """text_hash of earlier batches that begin as one of fresh does; None before the first. A repeated batch isn't known to itself."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/hashes")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    begun = [r.prefix for r in fresh.select(_prefix().alias("prefix")).distinct().collect()]  # 256 at most
+    known = spark.read.schema("text_hash string, batch long, prefix string").parquet(f"{path}/hashes")
+    return known.filter((F.col("batch") != batch_id) & F.col("prefix").isin(begun)).select("text_hash")
+
+
 def english_days(finished_units: DataFrame, shown: DataFrame, lateness: str = "1 day", tz: str | None = None) -> DataFrame:
     """reader, date, english_read, translations per day, from unit ends (reader, ts, language) and rises (reader, ts) of a shown translation.
 

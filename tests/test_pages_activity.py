@@ -314,6 +314,14 @@ def test_ingest_adds_new_texts_once(spark, tmp_path):
     units = spark.read.parquet(str(tmp_path / "out" / "units"))
     assert sorted(r.text for r in units.collect()) == ["a", "b.", "c"]
     assert spark.read.parquet(str(tmp_path / "out" / "hashes")).count() == 2
+    # A batch reads the files of its hashes' beginnings only.
+    one = spark.createDataFrame([("a b.",)], "t string").select(F.sha2("t", 256).alias("text_hash"))
+    known = streaming.known_hashes(spark, str(tmp_path / "out"), 99, one)
+    scan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and known.count() == 1
+    many = spark.range(300).select(F.sha2(F.concat(F.lit("w "), "id"), 256).alias("text_hash"))
+    many.coalesce(1).select("text_hash", F.substring("text_hash", 1, 2).alias("prefix")).write.partitionBy("prefix").parquet(str(tmp_path / "out" / "hashes" / "batch=7"))
+    assert streaming.known_hashes(spark, str(tmp_path / "out"), 99, one).select(F.input_file_name().alias("f")).distinct().count() <= 2
 
 
 def test_files_and_writers(spark, tmp_path):
