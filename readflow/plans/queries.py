@@ -228,17 +228,23 @@ def c20_aligned(spark, sf_dir):
     return boundaries.aligned(received, lines).select("doc_id", "pos", F.get("boundaries", F.lit(0)).alias("cut"))
 
 
-@query("c11_phrases", """WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS surface FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)),
-m AS (SELECT *, ['名詞', '助詞', '動詞', '接頭詞'][CAST(length(surface) % 4 AS INT) + 1] AS pos1 FROM w),
-s AS (SELECT *, lag(pos1) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM m),
-f AS (SELECT *, sum(CASE WHEN prev IS NULL OR NOT (prev = '接頭詞' OR pos1 = '助詞' OR (pos1 = '名詞' AND prev = '名詞')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS phrase FROM s)
+#: Parts of speech, their details and base forms: one for every rule of phrases, and some that start one.
+KINDS = [("名詞", "", "x"), ("助詞", "格助詞", "x"), ("動詞", "自立", "x"), ("接頭詞", "", "x"), ("助動詞", "", "x"), ("記号", "括弧開", "x"), ("記号", "読点", "x"), ("名詞", "接尾", "x"), ("動詞", "非自立", "x"), ("動詞", "自立", "する"), ("形容詞", "", "x")]
+
+
+@query("c11_phrases", f"""WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS surface FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)),
+m AS (SELECT *, {", ".join(f"{[k[i] for k in KINDS]}[CAST((length(surface) * 3 + pos) % {len(KINDS)} AS INT) + 1] AS {name}" for i, name in enumerate(("p1", "p2", "base")))} FROM w),
+s AS (SELECT *, lag(p1) OVER (PARTITION BY doc_id ORDER BY pos) AS q1, lag(p2) OVER (PARTITION BY doc_id ORDER BY pos) AS q2 FROM m),
+t AS (SELECT *, CASE WHEN q1 IS NULL THEN 1 WHEN q1 = '接頭詞' THEN 0 WHEN q1 = '記号' AND q2 = '括弧開' THEN 0 WHEN p1 IN ('助詞', '助動詞') THEN 0 WHEN p1 = '記号' AND p2 <> '括弧開' THEN 0
+  WHEN p2 IN ('非自立', '接尾') THEN 0 WHEN p1 = '動詞' AND base = 'する' THEN 0 WHEN p1 = '名詞' AND q1 = '名詞' THEN 0 ELSE 1 END AS starts FROM s),
+f AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS phrase FROM t)
 SELECT doc_id, 0 AS sentence_index, CAST(phrase AS INTEGER) AS phrase, string_agg(surface, '' ORDER BY pos) AS text, CAST(min(pos) AS INTEGER) AS "start" FROM f GROUP BY doc_id, phrase""")
 def c11_phrases(spark, sf_dir):
-    """C11: phrases of a morpheme table; here words with a part of speech by their length."""
+    """C11: phrases of a morpheme table; here words with a part of speech by their length and place, so that every rule has its rows."""
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     rows = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "surface"))
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("名詞", "助詞", "動詞", "接頭詞")]), (F.length("surface") % 4 + 1).cast("int"))
-    return segment.phrases(rows.select("doc_id", F.lit(0).alias("sentence_index"), "pos", "surface", kind.alias("pos1"), F.lit("").alias("pos2"), F.lit("").alias("base_form"), F.col("pos").alias("start")))
+    kind = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(k, ("pos1", "pos2", "base_form"), strict=True)]) for k in KINDS]), ((F.length("surface") * 3 + F.col("pos")) % len(KINDS) + 1).cast("int"))
+    return segment.phrases(rows.withColumn("kind", kind).select("doc_id", F.lit(0).alias("sentence_index"), "pos", "surface", "kind.*", F.col("pos").alias("start")))
 
 
 # --- pages ---------------------------------------------------------------------------------------
