@@ -15,8 +15,8 @@ JA_CPM, EN_WPM = 600.0, 300.0
 LIMITS = {"ja": (100.0, 3000.0, 50.0), "en": (50.0, 1500.0, 25.0)}
 PAUSES = {"none": 0.0, "comma": 0.5, "sentence": 1.0, "paragraph": 2.0}
 MEAN_UNIT = 5.0
-#: Scenarios that are put into the plan as literals; more of them are joined.
-MOST_LITERAL = 100
+#: Scenarios of one comparison, which travel as one value.
+MOST_SCENARIOS = 100_000
 
 
 def _number(x) -> Column:
@@ -122,12 +122,10 @@ def plan_at_speeds(units: DataFrame, speeds: DataFrame) -> DataFrame:
         return rounded(raw) * x["n"]
 
     speeds = speeds.select("scenario", F.col("ja_cpm").cast("double"), F.col("en_wpm").cast("double"))
-    few = speeds.take(MOST_LITERAL + 1)
-    if len(few) <= MOST_LITERAL:
-        each = docs.select("*", F.inline(F.array(*[F.struct(*[F.lit(r[c]).cast(speeds.schema[c].dataType).alias(c) for c in speeds.columns]) for r in few])) if few else F.inline(F.array().cast("array<struct<scenario:string,ja_cpm:double,en_wpm:double>>")))
-    else:
-        # A table of scenarios: the result has a row per document and scenario, so this product makes none too many.
-        each = docs.crossJoin(speeds)
+    # The scenarios are one value, computed once; the result has a row per document and scenario.
+    many = F.collect_list(F.struct(*speeds.columns))
+    listed = speeds.agg(F.when(F.count("*") > MOST_SCENARIOS, F.raise_error(F.lit(f"more than {MOST_SCENARIOS} scenarios"))).otherwise(many).alias("scenarios"))
+    each = docs.withColumn("scenarios", listed.scalar()).select("doc_id", "kinds", F.inline("scenarios"))
     return each.select("doc_id", "scenario", F.aggregate("kinds", F.lit(0).cast("long"), lambda s, x: s + ms(x)).alias("total_ms"))
 
 
