@@ -1,6 +1,7 @@
 """Reading units of Japanese sentences: phrase starts, and the joining of pieces that can't stand alone.
 
-Ordered rules over one sentence, run inside an Arrow helper (units_of).
+The built-in phrase starts and the ordered rules of joining are column expressions: a fold over the pieces of a
+sentence. A phrase chunker from outside, or given cut lists, go through an Arrow helper with the same rules (units_of).
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from collections.abc import Callable
 
 import pandas as pd
 import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .text import JAPANESE_CHARACTERS, SPACE
+from .text import COMMA_END, JAPANESE_CHARACTERS, SPACE
+from .urls import bound
 
 # Ends of sentences with closers; commas; closers that can't start a unit; brackets.
 SENTENCE = re.compile(r".+?(?:[。．！？!?]+[」』）)】〕］\"”’]*|\Z)", re.DOTALL)
@@ -141,3 +144,70 @@ def units_of(breaks: str, chunker: Callable[[str], list[int]] = default_chunker)
         return pd.Series([one(t, c) for t, c in zip(texts, given, strict=True)], dtype=object)
 
     return F.pandas_udf(units, "array<array<struct<piece:string,ends:boolean>>>", PandasUDFType.SCALAR)
+
+
+# --- the same rules as column expressions ---------------------------------------------------------
+
+_CUT = "\x01"
+_TURN = r"(?<=\p{IsHiragana})(?=[\p{L}&&[^\p{IsHiragana}]])"
+_SENTENCES = r"""(?s).+?(?:[。．！？!?]+[」』）)】〕］"”’]*|\z)"""
+_HANGING_CLOSER = r"\A(?:[。．！？!?」』）)】〕］\]”’]|[、，;；:：][」』）)】〕］\]”’]*\z)"
+_HANGING_KANA = rf"""\A\p{{IsHiragana}}{{1,{HIRAGANA_MOST}}}[、。，．！？!?"”’)\]」』）】〕］]*\z"""
+_ANY_OPENING = "[" + re.escape(OPENING) + "]"
+
+
+def unanswered(text: Column) -> Column:
+    """Opening brackets that no later closing one answers, whatever their kinds."""
+    step = lambda depth, c: F.when(F.lit(OPENING).contains(c), depth + 1).when(F.lit(CLOSING).contains(c), F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+    return F.when(text.rlike(_ANY_OPENING), F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)).otherwise(0)
+
+
+def pieces_of(sentence: Column) -> Column:
+    """Array of (gap, text): runs without white space between the built-in phrase starts, and the white space before each."""
+    marked = F.regexp_replace(F.translate(sentence, _CUT, "\ufffd"), _TURN, _CUT)
+    run = rf"([{SPACE}]*)([^{SPACE}{_CUT}]+)"
+    return F.transform(F.regexp_extract_all(marked, F.lit(run), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, run, 1).alias("gap"), F.regexp_extract(x, run, 2).alias("text")))
+
+
+def joined_pieces(pieces: Column, commas: bool = True, hang: bool = True) -> Column:
+    """pieces_of() after joining: hanging pieces to the left, open brackets to the right, in one fold.
+
+    Pieces join only where they touch and, with commas, never across a comma. With commas off, lengths are counted
+    without white space and touching isn't asked for (the rule for given phrases).
+    """
+
+    def fold(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda i: F.element_at(p, (i + 1).cast("int"))
+        open_to = lambda a, b: ~a["text"].rlike(COMMA_END) & (b["gap"] == "") if commas else F.lit(True)
+        upto = lambda i, j: F.concat(at(i)["text"], F.array_join(F.transform(F.slice(p, (i + 2).cast("int"), (j - i).cast("int")), lambda x: F.concat(x["gap"], x["text"])), ""))
+        size = lambda x: F.length(x) if commas else F.length(F.regexp_replace(x, f"[{SPACE}]", ""))
+        put = lambda out, gap, text, skip: F.struct(F.concat(out, F.array(F.struct(gap.alias("gap"), text.alias("text")))).alias("out"), skip.cast("int").alias("skip"))
+
+        def step(s: Column, i: Column) -> Column:
+            out, now, last = s["out"], at(i), F.get(s["out"], F.size(s["out"]) - 1)
+            both = F.length(last["text"]) + F.length(now["text"])
+            hangs = (now["text"].rlike(_HANGING_CLOSER) & (both <= BRACKET_JOINED)) | (now["text"].rlike(_HANGING_KANA) & (both <= HIRAGANA_JOINED))
+            left = (F.size(out) > 0) & open_to(last, now) & hangs if hang else F.lit(False)
+            ahead = F.when(i + 1 < n, F.sequence(i + 1, F.least(n - 1, i + BRACKET_JOINED))).otherwise(F.array().cast("array<int>"))
+            # The nearest piece that closes what this one opens, if all fits together.
+            closing = F.get(F.filter(ahead, lambda j: (size(upto(i, j)) <= BRACKET_JOINED) & (unanswered(upto(i, j)) == 0)), F.lit(0))
+            through = lambda j: F.forall(F.sequence(i, j - 1), lambda x: open_to(at(x), at(x + 1)))
+            right = lambda j: F.when(j.isNotNull() & F.coalesce(through(j), F.lit(False)), put(out, now["gap"], upto(i, j), j + 1)).otherwise(put(out, now["gap"], now["text"], i + 1))
+            kept = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+            return (
+                F.when(i < s["skip"], s).when(left, put(kept, last["gap"], F.concat(last["text"], now["text"]), i + 1))
+                .when(unanswered(now["text"]) > 0, bound(closing, right)).otherwise(put(out, now["gap"], now["text"], i + 1))
+            )
+
+        start = F.struct(F.slice(p, F.lit(1), F.lit(0)).alias("out"), F.lit(0).alias("skip"))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["out"]).otherwise(p)
+
+    return bound(pieces, fold)
+
+
+def items(paragraph: Column) -> Column:
+    """Array of (piece, ends) of a Japanese paragraph: its units with the blanks before them, and whether a sentence ends."""
+    ended = lambda units: F.transform(units, lambda u, k: F.struct(F.concat(u["gap"], u["text"]).alias("piece"), (k == F.size(units) - 1).alias("ends")))
+    sentences = F.regexp_extract_all(paragraph, F.lit(_SENTENCES), F.lit(0))
+    return F.flatten(F.transform(sentences, lambda s: bound(joined_pieces(pieces_of(s)), ended)))

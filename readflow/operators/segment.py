@@ -30,6 +30,9 @@ def units(docs: DataFrame, chunker=japanese.default_chunker, extended_breaks: bo
     paragraph). Columns: doc_id, unit_index, paragraph_index, sentence_index, text, start, end, language,
     paragraph_language, pause. A null or blank text has no units.
     """
+    if chunker is japanese.default_chunker and not boundaries_col:
+        placed = docs.select("doc_id", F.col(text_col).alias("text")).repartition("doc_id")
+        return _placed_units(paragraphs(placed, extended_breaks), lambda words: F.when(F.col("language") == "ja", japanese.items(F.col("paragraph"))).otherwise(words))
     cut = T.EXTENDED_BREAK if extended_breaks else T.BREAK
     text = F.col(text_col)
     # Japanese texts pass through the ordered rules before the shuffle, as a Python step would end its partitioning.
@@ -37,8 +40,13 @@ def units(docs: DataFrame, chunker=japanese.default_chunker, extended_breaks: bo
     ja = japanese.units_of(cut, chunker)(F.when(T.is_japanese(text), text), F.when(T.is_japanese(text), given))
     placed = docs.select("doc_id", text.alias("text"), *([ja.alias("ja")] if chunker else [])).repartition("doc_id")
     rows = paragraphs(placed, extended_breaks, keep=["ja"] if chunker else [])
+    return _placed_units(rows, lambda words: F.when(F.col("language") == "ja", F.get("ja", F.col("paragraph_index"))).otherwise(words) if chunker else words)
+
+
+def _placed_units(rows: DataFrame, items_of) -> DataFrame:
+    """Units of paragraphs() rows; items_of takes the words of an English paragraph and gives the items (piece, ends) of any."""
     words = F.transform(F.regexp_extract_all("paragraph", F.lit(f"([{T.SPACE}]*[^{T.SPACE}]+)"), F.lit(1)), lambda x: F.struct(x.alias("piece"), F.lit(None).cast("boolean").alias("ends")))
-    items = F.when(F.col("language") == "ja", F.get("ja", F.col("paragraph_index"))).otherwise(words) if chunker else words
+    items = items_of(words)
     rows = rows.select("doc_id", "paragraph_index", "start", F.col("language").alias("paragraph_language"), F.posexplode(items).alias("pos", "item"))
     rows = rows.withColumn("text", F.regexp_replace("item.piece", rf"\A[{T.SPACE}]+", ""))
     rows = rows.withColumn("ends", F.coalesce("item.ends", T.ends_sentence(F.col("text"))))
@@ -94,3 +102,19 @@ def phrases(morphemes: DataFrame) -> DataFrame:
     rows = morphemes.withColumn("phrase", (F.sum(starts.cast("int")).over(inside) - 1).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surface"))), lambda x: x["surface"]), "")
     return rows.groupBy("doc_id", "sentence_index", "phrase").agg(joined.alias("text"), F.min("start").alias("start"))
+
+
+def joined_phrases(rows: DataFrame) -> DataFrame:
+    """phrases() rows after joining: a phrase with an open bracket goes on to the phrase that closes it, if all fits together.
+
+    Lengths are counted without white space, and phrases join across it. A sentence's phrases are folded in one row.
+    """
+    inside = W.partitionBy("doc_id", "sentence_index").orderBy("phrase")
+    gap = F.col("start") - F.coalesce(F.lag(F.col("start") + F.length("text")).over(inside), F.col("start"))
+    pieces = rows.withColumn("gap", F.repeat(F.lit(" "), F.greatest(gap, F.lit(0)).cast("int")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("phrase", "gap", "text"))), lambda x: F.struct(x["gap"].alias("gap"), x["text"].alias("text")))
+    folded = pieces.groupBy("doc_id", "sentence_index").agg(F.min("start").alias("first"), listed.alias("pieces"))
+    each = folded.select("doc_id", "sentence_index", "first", F.posexplode(japanese.joined_pieces(F.col("pieces"), commas=False, hang=False)).alias("phrase", "x"))
+    whole = W.partitionBy("doc_id", "sentence_index").orderBy("phrase")
+    end = F.sum(F.length("x.gap") + F.length("x.text")).over(whole)
+    return each.select("doc_id", "sentence_index", "phrase", F.col("x.text").alias("text"), (F.col("first") + end - F.length("x.text")).cast("int").alias("start"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -247,6 +248,27 @@ def c11_phrases(spark, sf_dir):
     return segment.phrases(rows.withColumn("kind", kind).select("doc_id", F.lit(0).alias("sentence_index"), "pos", "surface", "kind.*", F.col("pos").alias("start")))
 
 
+@query("c10_brackets", """WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS s FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)),
+m AS (SELECT doc_id, pos, CASE pos % 4 WHEN 1 THEN '「' || s WHEN 2 THEN s || '」' ELSE s END AS s, sum(length(s) + 1 + CASE WHEN pos % 4 IN (1, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
+n AS (SELECT *, lag(s) OVER o AS prev, lead(s) OVER o AS next, upto - length(s) - 1 AS start FROM m WINDOW o AS (PARTITION BY doc_id, pos // 12 ORDER BY pos)),
+j AS (SELECT *, pos % 4 = 1 AND next IS NOT NULL AND length(s) + length(next) <= 15 AS takes, pos % 4 = 2 AND prev IS NOT NULL AND length(s) + length(prev) <= 15 AS taken FROM n)
+SELECT doc_id, CAST(pos // 12 AS INTEGER) AS sentence_index, CAST(row_number() OVER (PARTITION BY doc_id, pos // 12 ORDER BY pos) - 1 AS INTEGER) AS phrase, CASE WHEN takes THEN s || ' ' || next ELSE s END AS text, CAST(start AS INTEGER) AS "start" FROM j WHERE NOT taken""")
+def c10_brackets(spark, sf_dir):
+    """Phrases joined by brackets; here words, of which two in four share a pair of brackets, twelve to a sentence."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "s"))
+    rows = rows.withColumn("s", F.when(F.col("pos") % 4 == 1, F.concat(F.lit("「"), "s")).when(F.col("pos") % 4 == 2, F.concat("s", F.lit("」"))).otherwise(F.col("s")))
+    start = F.sum(F.length("s") + 1).over(W.partitionBy("doc_id").orderBy("pos")) - F.length("s") - 1
+    return segment.joined_phrases(rows.select("doc_id", F.floor(F.col("pos") / 12).cast("int").alias("sentence_index"), F.col("pos").alias("phrase"), F.col("s").alias("text"), start.cast("int").alias("start")))
+
+
+@query("c8_units")
+def c8_units(spark, sf_dir):
+    """Units of Japanese texts (the documents in other letters) by the built-in phrase starts and the rules of joining."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", F.translate("text", LATIN, KANA).alias("text"))
+    return segment.units(rows).select("doc_id", "unit_index", "sentence_index", "text", "start", "end", "language", "pause")
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 _CONTENT = "regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"

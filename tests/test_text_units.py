@@ -54,6 +54,26 @@ def test_joining_rules():
     assert japanese.code_points("a\U00020b9fb", [1, 2, 3]) == [1, 2]
 
 
+def test_joining_as_a_fold(spark):
+    """The column expressions cut and join as the plain rules do, by both sets of rules."""
+    random.seed(9)
+    letters = ["あ", "いう", "の", "は", "漢字", "カタカナ", "abc", "（", "）", "「", "」", "、", "。", "！", " ", "\u3000", "”", "”、", "きくけこ", "て", "𠮟"]
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 30))) for _ in range(1_500)]
+    texts += ["", " ", "（" * 5, "）", "「ニンニクの芽」を食べる。", "信じられているため、", "「長い長い長い長い長い長い長い長い長い長い」です", "（の ）", "の「（」）」の", "さき、「の」は"]
+    col = F.col("t")
+    text = lambda units: F.transform(units, lambda u: u["text"])
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        "t", text(japanese.joined_pieces(japanese.pieces_of(col))).alias("web"), text(japanese.joined_pieces(japanese.pieces_of(col), commas=False, hang=False)).alias("given"), japanese.items(col).alias("items")
+    )
+    for r in rows.collect():
+        spans = japanese.pieces(r.t, japanese.default_chunker(r.t))
+        assert r.web == [r.t[a:b] for a, b in japanese.joined(r.t, spans)], r.t
+        assert r.given == [r.t[a:b] for a, b in japanese.joined(r.t, spans, commas=False, hang=False)], r.t
+        assert [(x.piece, x.ends) for x in r["items"]] == [(x["piece"], x["ends"]) for x in japanese._items(r.t, None, japanese.default_chunker)], r.t
+    plan = segment.units(spark.createDataFrame([(1, "日本")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange") == 1
+
+
 def test_partition_counts_do_not_matter(spark):
     docs = spark.createDataFrame([(i, f"One two, {i}. Three\nfour {i}") for i in range(40)], "doc_id long, text string")
     key = lambda d: sorted(map(tuple, segment.units(d).collect()))
