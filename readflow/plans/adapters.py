@@ -79,11 +79,11 @@ def robots_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url (canonical), page_id, status, content_type, html: what a fetch of each page answers, by its number; of pages with one URL the first."""
-    rows = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url"), "page_id", "html")
+    """url (canonical), page_id, status, content_type, size: what a fetch of each page answers, by its number, without its text; of pages with one URL the first."""
+    rows = table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("url"), "page_id", F.octet_length("html").alias("size"))
     status = F.when(F.col("page_id") % 11 == 0, 404).when(F.col("page_id") % 11 == 1, 503).otherwise(200)
     kind = F.when(F.col("page_id") % 13 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
-    return rows.withColumns({"status": status, "content_type": kind}).groupBy("url").agg(F.min_by(F.struct("page_id", "status", "content_type", "html"), "page_id").alias("r")).select("url", "r.*")
+    return rows.withColumns({"status": status, "content_type": kind}).groupBy("url").agg(F.min_by(F.struct("page_id", "status", "content_type", "size"), "page_id").alias("r")).select("url", "r.*")
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,8 +371,8 @@ def w2_plan(spark, sf_dir):
     log = written(crawl.robots_state(crawl.robots_fetched(A.robots_files(spark, sf_dir), log, hops)))
     rules = crawl.robots_rules(log.filter("robots_text is not null"), "readbot")
     found = crawl.follow(asked.filter("not limited").select("page_id", "url"), A.redirects(spark, sf_dir), rules, closed=log.select("host", "reason"))
-    got = A.responses(spark, sf_dir).withColumn("_why", crawl.response_reason(F.col("status"), F.col("content_type"), F.octet_length("html")))
-    got = got.select("url", F.col("page_id").alias("_target"), "_why", "html")
+    got = A.responses(spark, sf_dir).withColumn("_why", crawl.response_reason(F.col("status"), F.col("content_type"), F.col("size")))
+    got = got.select("url", F.col("page_id").alias("_target"), "_why")
     found = found.join(got, F.col("final_url") == F.col("url"), "left").select("page_id", "final_url", F.coalesce("reason", "_why").alias("reason"), "_target")
     needed = found.filter("reason is null").select(F.col("_target").alias("page_id")).distinct()
     texts = html.articles(A.table(spark, sf_dir, "pages").join(needed, "page_id", "left_semi")).select(F.col("page_id").alias("_target"), "text", F.col("reason").alias("_content"))
