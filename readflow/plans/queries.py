@@ -271,12 +271,14 @@ def c8_units(spark, sf_dir):
 
 # --- pages ---------------------------------------------------------------------------------------
 
-_CONTENT = "regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
-for _tag in sorted(html.SKIPPED):
-    _CONTENT = f"regexp_replace({_CONTENT}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
-_CONTENT = f"regexp_replace({_CONTENT}, '\\s+', ' ', 'g')"
-_CONTENT = f"regexp_replace({_CONTENT}, '(?i)</?({'|'.join(sorted(html.BLOCKS | {'br', 'pre'}))})\\b[^>]*>', chr(10), 'g')"
-_CONTENT = f"regexp_replace({_CONTENT}, '<[^>]*>', '', 'g')"
+
+def _content(x: str) -> str:
+    """Text with a line per paragraph of markup as plain as the given pages'."""
+    for tag in sorted(html.SKIPPED):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    x = f"regexp_replace({x}, '\\s+', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?i)</?({'|'.join(sorted(html.BLOCKS | {'br', 'pre'}))})\\b[^>]*>', chr(10), 'g')"
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
 
 
 def _entities(x: str) -> str:
@@ -285,7 +287,12 @@ def _entities(x: str) -> str:
     return x
 
 
-_PARAGRAPHS = f"list_filter(list_transform(string_split({_entities(_CONTENT)}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
+def _paragraphs(content: str) -> str:
+    return f"list_filter(list_transform(string_split({_entities(_content(content))}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')"
+
+
+_PARAGRAPHS = _paragraphs("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)")
+_WHOLE = _paragraphs("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<title[^>]*>.*?</title\\s*>', '', 'g')")
 
 
 @query("a16_paragraphs", f"SELECT page_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS paragraph FROM (SELECT page_id, {_PARAGRAPHS} AS ps FROM pages)")
@@ -305,7 +312,7 @@ def a22_articles(spark, sf_dir):
     return html.articles(A.table(spark, sf_dir, "pages")).drop("site_name")
 
 
-@query("a16_parsed")
+@query("a16_parsed", f"SELECT page_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS paragraph FROM (SELECT page_id, {_WHOLE} AS ps FROM pages)")
 def a16_parsed(spark, sf_dir):
     """Paragraphs of whole pages."""
     return html.paragraphs(A.table(spark, sf_dir, "pages"), main=False)
