@@ -233,6 +233,22 @@ def test_readers_pause_leave_and_come_back(spark, tmp_path):
     assert (back[3].unit_index, back[3].en_wpm, back[3].en_words, back[3].status) == (5, 350.0, 1, "playing")
 
 
+def test_request_counts(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    parts = [[("a", at(i)) for i in range(5)] + [("b", at(59)), ("b", at(60))], [("c", at(9_000))], [("c", at(9_001))]]
+    got = _streamed(spark, tmp_path, "counts", lambda s: streaming.request_counts(s, limit=3), ("in", parts, "key string, ts timestamp"))
+    assert {(r.key, r.start, r.requests, r.limited) for r in got if r.key != "c"} == {("a", at(0), 5, 2), ("b", at(0), 1, 0), ("b", at(60), 1, 0)}
+
+
+def test_resume_within_or_not(spark):
+    """A position of another count or past the end isn't used; by the other rule it is moved within."""
+    rows = spark.createDataFrame([(1, "a", 5, 10), (1, "b", 5, 9), (2, "a", 40, 10), (2, "c", 3, 4)], "reader long, text_hash string, unit_index int, unit_count int")
+    counts = spark.createDataFrame([("a", 10), ("b", 10)], "text_hash string, units long")
+    at = lambda clamp: {(r.reader, r.text_hash): r.unit_index for r in activity.resume(rows, counts, clamp_only=clamp).collect() if r.text_hash != "c"}
+    assert at(False) == {(1, "a"): 5, (1, "b"): 0, (2, "a"): 0}
+    assert at(True) == {(1, "a"): 5, (1, "b"): 5, (2, "a"): 9}
+
+
 def test_grants_equal_the_batch(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     rows = [(i, f"k{i % 5}", at(i * 7 // 2), i % 3 > 0) for i in range(120)]
