@@ -121,6 +121,26 @@ def test_replay_matches_windows(spark):
     assert got[5].unit_index == 0 and got[6].unit_index == 1
 
 
+def test_replay_shares_units(spark, monkeypatch):
+    """The units of a text come once for its readers, and once more where it has many actions; no text or an unknown one has none."""
+    units = spark.createDataFrame([("t", i, i // 2, "en", 1, 0.0) for i in range(6)] + [("u", 0, 0, "en", 1, 2.0)], "text_hash string, unit_index int, sentence_index int, language string, characters int, pause_units double")
+    rows = [(r, t, 10 * i, 2**60 + i, ["play", "advance", "sentence", "pause"][i % 4], 1) for r in (None, *range(40)) for t in ("t", "u", "none", None) for i in range(8)]
+    acts = spark.createDataFrame(rows, "reader long, text_hash string, ts_ms long, seq long, action string, arg int")
+    known = {"t": {i: (i // 2, "en", 1, 0.0) for i in range(6)}, "u": {0: (0, "en", 1, 2.0)}}
+    want = []
+    for r in (None, *range(40)):
+        for t in ("t", "u", "none", None):
+            mine = pd.DataFrame([x for x in rows if x[:2] == (r, t)], columns=["reader", "text_hash", "ts_ms", "seq", "action", "arg"], dtype=object)
+            want += activity.fold(mine, known.get(t, {}), activity.Reading(len(known.get(t, {}))))
+    for share in (activity.SHARE, 100):
+        monkeypatch.setattr(activity, "SHARE", share)
+        found = activity.replay(acts, units)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # A copy of all units for every reader was what made large logs slow.
+    assert "CoGroup" not in plan and "FlatMapGroups" not in plan
+
+
 def test_stream_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(r, "t", start + dt.timedelta(seconds=i), i, ["play", "advance", "pause"][i % 3], 0) for r in (1, 2) for i in range(12)]
