@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from readflow.functions import japanese, text as T
-from readflow.operators import boundaries, segment, timing
+from readflow.operators import boundaries, segment, shared, timing
 
 
 def one(spark, text, f):
@@ -198,3 +198,44 @@ def test_targets(spark):
     for r in boundaries.targets(docs).collect():
         got.setdefault(r.doc_id, []).append(r.pos)
     assert got == {1: list(range(30)), 2: list(range(20)), 3: [2]}
+
+
+def test_parts_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """A task's share of the texts is bounded, and one shuffle of them serves all windows."""
+    rows = [(i, f"One, two {i}. Three\nfour") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert segment.units(docs).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(shared, "PART_BYTES", 100)
+    many = shared.parts(docs)
+    assert many > 4 and segment.units(docs).rdd.getNumPartitions() == many
+    asked = docs.select("doc_id", F.lit(0).cast("long").alias("probe_id"), F.lit(12).alias("offset"))
+    units = segment.units(docs)
+    for found, shuffles in ((timing.with_times(units), 1), (timing.moves(units), 1), (timing.unit_at_offset(units, asked), 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles and "RowFrame, currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_moves_and_times_of_long_texts(spark):
+    """Sums onward and places of sentences, against plain loops; a text of many units takes no time for each pair of them."""
+    random.seed(3)
+    rows, want = [], {}
+    for doc, n in ((1, 1), (2, 40), (3, 20_000)):
+        sentence, firsts, ms = 0, [0], []
+        for i in range(n):
+            if i and random.random() < 0.3:
+                sentence += 1
+                firsts.append(i)
+            pause = random.choice(["none", "comma"])
+            ms.append(200 if pause == "none" else 300)
+            rows.append((doc, i, sentence, "x", i, i + 1, "en", "en", pause))
+            want[doc, i] = [sentence]
+        left = sum(ms)
+        for i in range(n):
+            k = want[doc, i][0]
+            want[doc, i] = (firsts[k], firsts[k] if i > firsts[k] else firsts[k - 1] if k else 0, firsts[k + 1] if k + 1 < len(firsts) else i, left)
+            left -= ms[i]
+    units = spark.createDataFrame(rows, "doc_id long, unit_index int, sentence_index int, text string, start int, end int, language string, paragraph_language string, pause string")
+    moves = {(r.doc_id, r.unit_index): (r.first_of_sentence, r.previous_sentence, r.next_sentence) for r in timing.moves(units).collect()}
+    left = {(r.doc_id, r.unit_index): r.remaining_ms for r in timing.with_times(units).collect()}
+    assert moves == {k: v[:3] for k, v in want.items()} and left == {k: v[3] for k, v in want.items()}
