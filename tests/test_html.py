@@ -9,7 +9,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from readflow.operators import html
+from readflow.operators import html, shared
 
 SPACE = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 CJK = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\u3000-\u303f\uff00-\uffef"
@@ -177,3 +177,13 @@ def test_hostile_pages(spark, unit):
     start = time.time()
     html.articles(frame(spark, [unit * (2**20 // len(unit))])).collect()
     assert time.time() - start < 60  # seconds where going back would take hours
+
+
+def test_parts_grow_with_the_pages(spark, tmp_path, monkeypatch):
+    """A task's share of the pages is bounded, whatever number of parts the session asks for."""
+    spark.createDataFrame([(i, f"<article><p>{i} a</p></article>") for i in range(60)], "page_id long, html string").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    monkeypatch.setattr(shared, "PART_BYTES", 100)
+    many = shared.parts(pages)
+    assert many > 4 and "_hash#" in (plan := html.tokens(pages)._jdf.queryExecution().executedPlan().toString()) and f", {many}), REPARTITION_BY_NUM" in plan
+    assert html.paragraphs(pages).count() == 60
