@@ -76,7 +76,7 @@ def but_not(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     return marked.filter("not _maybe").unionByName(rest).select(*df.columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Has Spark hand Python at most ``rows`` rows at once, unless the session says otherwise itself.
 
     With the default of 10,000, a batch of texts takes more memory outside the heap than the work on it.
