@@ -9,9 +9,11 @@ by l - 1 shingles where that lowers its estimated cost, and a pair must then sha
 two documents before its texts are compared.
 
 A group of near copies isn't paired out: of every list of documents with a prefix shingle in common, all
-are first compared with the list's leader only. What links falls into components. Then pairs of the
-same list that are in different components are compared, each of them once. A true link has both ends
-in some list, so in the end none joins two components. Texts are compared by their whole sets.
+are first compared with the list's leader only. What links falls into components. A true link has both ends
+in some list, so a link between components has both in a list whose documents aren't all in one component.
+The documents of such lists get new prefixes, in the order of the number of these documents that have a
+shingle (lists_by_count), and pairs of different components in one of the new lists are compared, each of
+them once. Texts are compared by their whole sets.
 
 The prefixes are shuffled once, into the lists. A list that by the word counts can hold more than
 LIST_ROWS documents is dealt to several tasks, each with a leader of its own, and these meet the first of
@@ -219,6 +221,36 @@ def lists_of(recs: DataFrame) -> DataFrame:
     return stored(dealt.filter("salt is null").withColumn("top", F.col("lead")).unionByName(split).drop("salt"))
 
 
+def _all_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """k, h, tok: the distinct shingles of every row (k, h, text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                h, ends = _hashed(part.column(2))
+                sets = [np.unique(shingles(h[a:b], width)) for a, b in zip(ends, ends[1:], strict=False)]
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(flat)], ["k", "h", "tok"])
+
+    return texts.select("k", "h", "text").mapInArrow(make, "k long, h long, tok long")
+
+
+def lists_by_count(texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """tok, k, x of the texts (k, text): prefixes in the order of the number of these texts that have a shingle, less what one has alone.
+
+    What sets a text apart from those it was copied from or shares a passage with comes first, so a shared shingle stands
+    far behind in those that can't link.
+    """
+    rows = stored(_all_shingles(texts.withColumn("h", F.xxhash64("text")).distinct(), width))
+    counts = rows.groupBy("tok").agg(F.count("*").alias("docs")).filter("docs > 1")
+    own = W.partitionBy("k", "h")
+    placed = rows.join(counts, "tok", "left").withColumn("docs", F.coalesce("docs", F.lit(1)))
+    placed = placed.withColumns({"i": F.row_number().over(own.orderBy("docs", "tok")) - 1, "n": F.count("*").over(own).cast("int")})
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    return placed.filter((F.col("docs") > 1) & (F.col("i") < prefix)).select("tok", "k", F.struct("i", "n").alias("x"))
+
+
 def _candidates(named: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one list of named (tok, k, x, sig, c, outside), one end of each outside its list's top's.
 
@@ -269,10 +301,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = lists.select("k", F.col("top.k").alias("t")).filter("k <> t").distinct()
     of = lambda x, c: label.select(F.col("v").alias(x), F.col("c").alias(c))
     apart = stored(seen.join(of("k", "ck"), "k", "left").join(of("t", "ct"), "t", "left").filter(F.coalesce("ck", "k") != F.coalesce("ct", "t")).select("k", "t"))
-    flat = lists.select("tok", "k", "x", F.col("top.k").alias("t"))
-    named = among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct()))
-    named = named.join(of("k", "c"), "k", "left").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n").join(of("t", "ct"), "t", "left")
-    named = stored(named.select("tok", "k", "x", "sig", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("ct", "t")).alias("outside")))
+    flat = lists.select("tok", "k", F.col("top.k").alias("t"))
+    left = stored(among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct())).select("k").distinct())
+    # These few are dealt anew, to lists in an order of their own.
+    again = lists_by_count(among(texts, ["k"], left), percent, width).join(of("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    again = stored(again)
+    tops = again.groupBy("tok").agg(F.min(F.struct("x", "k", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    named = again.join(tops.select("tok", F.col("top.c").alias("ct")), "tok").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n")
+    named = stored(named.select("tok", "k", "x", "sig", "c", (F.col("c") != F.col("ct")).alias("outside")))
     both = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     known = first.select(*both).distinct()
     rest = stored(_candidates(named, percent).select(*both).distinct().join(known, ["a", "b"], "left_anti"))

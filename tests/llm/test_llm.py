@@ -164,6 +164,28 @@ def test_jaccard(spark, docs, none):
     assert jaccard_join.one_of_each(docs, 90, 3).columns == docs.columns
 
 
+def test_jaccard_of_families(spark, monkeypatch):
+    """Texts of one source that differ enough meet their lists' leaders, not all others; those that link are found, whoever leads."""
+    rnd, words = random.Random(3), [f"w{i}" for i in range(40)]
+    source = [rnd.choice(words) for _ in range(1500)]
+
+    def edited(share):
+        return " ".join(rnd.choice(words) if rnd.random() < share else w for w in source)
+
+    texts = {i: edited(0.035 if i < 20 else 0.011) for i in range(30)}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    want = {k: k for k in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    calls, true = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *a: calls.append(pairs.count()) or true(pairs, *a))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=80, width=5).collect()
+    assert 0 < len(linked) and 5 < len(set(want.values())) < 30 and {r.doc_id: r.component_id for r in got} == want
+    assert sum(calls[1:]) < 50
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (102, 101)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.v: r.c for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
