@@ -239,3 +239,17 @@ def test_moves_and_times_of_long_texts(spark):
     moves = {(r.doc_id, r.unit_index): (r.first_of_sentence, r.previous_sentence, r.next_sentence) for r in timing.moves(units).collect()}
     left = {(r.doc_id, r.unit_index): r.remaining_ms for r in timing.with_times(units).collect()}
     assert moves == {k: v[:3] for k, v in want.items()} and left == {k: v[3] for k, v in want.items()}
+
+
+def test_english_units_need_one_window(spark):
+    """Texts without Japanese characters are cut at once, without windows for paragraphs; blanks of all kinds, and paragraphs of blanks alone, count as in the others."""
+    texts = ["a  b.\n \n\t\n“Mr. c,” d!)", "\n \n x　y;\r\n", "", None, " \n ", "\x0b a ﻿b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = segment.units(df)
+    tree = found._jdf.queryExecution().optimizedPlan().toString().split("Window [")
+    assert "Union" in tree[0] and len(found._jdf.queryExecution().optimizedPlan().children().apply(0).toString().split("Window [")) == 2
+    rows = [(r.doc_id, r.unit_index, r.paragraph_index, r.sentence_index, r.text, r.start, r.end, r.pause) for r in found.orderBy("doc_id", "unit_index").collect()]
+    assert rows == [
+        (0, 0, 0, 0, "a", 0, 1, "none"), (0, 1, 0, 0, "b.", 3, 5, "paragraph"), (0, 2, 3, 1, "“Mr.", 10, 14, "none"), (0, 3, 3, 1, "c,”", 15, 18, "comma"), (0, 4, 3, 1, "d!)", 19, 22, "paragraph"),
+        (1, 0, 1, 0, "x", 4, 5, "none"), (1, 1, 1, 0, "y;", 6, 8, "paragraph"), (5, 0, 0, 0, "a", 2, 3, "paragraph"), (5, 1, 1, 1, "b", 5, 6, "paragraph"),
+    ]
