@@ -11,7 +11,7 @@ two documents before its texts are compared.
 A group of near copies isn't paired out: of every list of documents with a prefix shingle in common, all
 are first compared with the list's leader only. What links falls into components. A true link has both ends
 in some list, so a link between components has both in a list whose documents aren't all in one component.
-The documents of such lists get new prefixes, in the order of the number of these documents that have a
+Those documents of such lists that could link with another get new prefixes, in the order of the number of these documents that have a
 shingle (lists_by_count), and pairs of different components in one of the new lists are compared, each of
 them once. Texts are compared by their whole sets.
 
@@ -251,18 +251,31 @@ def lists_by_count(texts: DataFrame, percent: int, width: int) -> DataFrame:
     return placed.filter((F.col("docs") > 1) & (F.col("i") < prefix)).select("tok", "k", F.struct("i", "n").alias("x"))
 
 
-def _candidates(named: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one list of named (tok, k, x, sig, c, outside), one end of each outside its list's top's.
+def _sides(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Column]:
+    """The outsiders of named (tok, k, x, sig, c, outside; out's columns end in _o), named itself, and when rows of both are a pair to compare.
 
-    Sets that link have sizes within percent of each other, so an outsider meets three bands of sizes only.
+    Its ends are in different components, one outside its list's top's. Sets that link have sizes within percent of each
+    other, so an outsider meets three bands of sizes only.
     """
     band = F.floor(F.ln(F.col("x.n")) / (math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else F.col("x.n")
     named = named.withColumn("band", band)
-    out = named.filter("outside").select("tok", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(f"{c}_o") for c in ("k", "x", "sig", "c")])
+    out = named.filter("outside").select(F.col("tok").alias("tok_o"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band_o"), *[F.col(c).alias(f"{c}_o") for c in ("k", "x", "sig", "c")])
     one_way = ~F.col("outside") | (F.col("k_o") < F.col("k"))
     near = _near(F.col("x.n"), F.col("sig"), F.col("x_o.n"), F.col("sig_o"), percent)
-    both = out.join(named, ["tok", "band"]).filter((F.col("c") != F.col("c_o")) & one_way & _fits(F.col("x"), F.col("x_o"), percent) & near)
-    return both.select(F.col("k_o").alias("a"), F.col("k").alias("b"))
+    met = (F.col("tok") == F.col("tok_o")) & (F.col("band") == F.col("band_o"))
+    return out, named, met & (F.col("c") != F.col("c_o")) & one_way & _fits(F.col("x"), F.col("x_o"), percent) & near
+
+
+def _in_question(named: DataFrame, percent: int) -> DataFrame:
+    """k: the documents of _candidates(), without making the pairs."""
+    out, named, pair = _sides(named, percent)
+    return out.join(named, pair, "left_semi").select(F.col("k_o").alias("k")).union(named.join(out, pair, "left_semi").select("k")).distinct()
+
+
+def _candidates(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one list of named."""
+    out, named, pair = _sides(named, percent)
+    return out.join(named, pair).select(F.col("k_o").alias("a"), F.col("k").alias("b"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
@@ -301,8 +314,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = lists.select("k", F.col("top.k").alias("t")).filter("k <> t").distinct()
     of = lambda x, c: label.select(F.col("v").alias(x), F.col("c").alias(c))
     apart = stored(seen.join(of("k", "ck"), "k", "left").join(of("t", "ct"), "t", "left").filter(F.coalesce("ck", "k") != F.coalesce("ct", "t")).select("k", "t"))
-    flat = lists.select("tok", "k", F.col("top.k").alias("t"))
-    left = stored(among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct())).select("k").distinct())
+    flat = lists.select("tok", "k", "x", F.col("top.k").alias("t"))
+    named = among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct()))
+    named = named.join(of("k", "c"), "k", "left").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n").join(of("t", "ct"), "t", "left")
+    named = stored(named.select("tok", "k", "x", "sig", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("ct", "t")).alias("outside")))
+    left = stored(_in_question(named, percent))
     # These few are dealt anew, to lists in an order of their own.
     again = lists_by_count(among(texts, ["k"], left), percent, width).join(of("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     again = stored(again)
