@@ -253,3 +253,27 @@ def test_english_units_need_one_window(spark):
         (0, 0, 0, 0, "a", 0, 1, "none"), (0, 1, 0, 0, "b.", 3, 5, "paragraph"), (0, 2, 3, 1, "“Mr.", 10, 14, "none"), (0, 3, 3, 1, "c,”", 15, 18, "comma"), (0, 4, 3, 1, "d!)", 19, 22, "paragraph"),
         (1, 0, 1, 0, "x", 4, 5, "none"), (1, 1, 1, 0, "y;", 6, 8, "paragraph"), (5, 0, 0, 0, "a", 2, 3, "paragraph"), (5, 1, 1, 1, "b", 5, 6, "paragraph"),
     ]
+
+
+def test_joined_phrases_equal_plain_rules(spark):
+    """Phrases in rows join as the plain rules say, whatever characters they have, and no fold goes over a sentence."""
+    random.seed(10)
+    letters = ["「", "」", "（", "）", "a", "bc", "漢字", "\x01", "\x02", "x" * 16, "」「", "「「", "( )", "\x02a"]
+    plain, rows = {}, []
+    for sentence in range(300):
+        text, spans = "", []
+        for k in range(random.randint(1, 25)):
+            text += " " * random.choice([0, 0, 1, 3]) if k else ""
+            piece = "".join(random.choice(letters) for _ in range(random.randint(1, 3)))
+            spans.append((len(text), len(text) + len(piece)))
+            text += piece
+        plain[sentence] = [(k, text[a:b], a + 7) for k, (a, b) in enumerate(japanese.joined(text, spans, commas=False, hang=False))]
+        rows += [(1, sentence, k + 5, text[a:b], a + 7) for k, (a, b) in enumerate(spans)]
+    df = segment.joined_phrases(spark.createDataFrame(rows, "doc_id long, sentence_index int, phrase int, text string, start int"))
+    found = {}
+    for r in sorted(df.collect()):
+        found.setdefault(r.sentence_index, []).append((r.phrase, r.text, r.start))
+    assert found == plain
+    assert any(len(x) < sum(r[1] == k for r in rows) for k, x in plain.items())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan
