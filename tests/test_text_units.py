@@ -277,3 +277,12 @@ def test_joined_phrases_equal_plain_rules(spark):
     assert any(len(x) < sum(r[1] == k for r in rows) for k, x in plain.items())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "collect_list" not in plan
+
+
+def test_aozora_is_read_once(spark):
+    """A text is made once for all rules, and deep notes anywhere leave what is around them."""
+    once = spark.createDataFrame([("x",)], "t string").select(T.import_plain(F.reverse("t")).alias("t"))
+    assert once._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+    deep = "［＃" + "［深" * 12 + "］" * 13
+    for text in (f"a［＃b］c{deep}d［＃e］f", f"{deep}［［＃x］＃y］z{deep}", "［＃n］" * 3 + deep + "g［＃" * 2 + "］h"):
+        assert one(spark, text, T.without_notes) == without_notes(text)
