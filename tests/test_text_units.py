@@ -286,3 +286,10 @@ def test_aozora_is_read_once(spark):
     deep = "［＃" + "［深" * 12 + "］" * 13
     for text in (f"a［＃b］c{deep}d［＃e］f", f"{deep}［［＃x］＃y］z{deep}", "［＃n］" * 3 + deep + "g［＃" * 2 + "］h"):
         assert one(spark, text, T.without_notes) == without_notes(text)
+
+
+def test_proposed_units_are_cut_once(spark):
+    df = spark.createDataFrame([("one two 𠮟 three", 1), ("a  b", 2), (" a", 3), ("a " + "x" * 31, 4), ("a " * 5000, 5)], "p string, i int")
+    cut = df.select("i", boundaries.from_units(F.col("p"), F.regexp_extract_all("p", F.lit("([^ ]+ *)"), F.lit(1))).alias("c"))
+    assert cut._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    assert {r.i: r.c for r in cut.collect()} == {1: [4, 8, 11], 2: [3], 3: None, 4: None, 5: list(range(2, 10_000, 2))}
