@@ -36,6 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
     shared_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
     df.write.parquet(path)
+    released()  # of what the driver's Python has gathered
     return spark.read.schema(df.schema).parquet(path)
 
 
