@@ -70,6 +70,11 @@ def among(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     return _maybe(df, keys, ids).filter("_maybe").drop("_maybe").join(ids.toDF(*keys), keys, "left_semi")
 
 
+def joined(df: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
+    """Rows of df with the other columns of rows, whose keys (under the same names) are distinct: a join of those that the filter of among() lets through."""
+    return _maybe(df, keys, rows.select(*keys)).filter("_maybe").drop("_maybe").join(rows, keys)
+
+
 def but_not(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     """Rows of df whose keys are no row of ids; only those that the filter of among() can't clear are joined."""
     marked = _maybe(df, keys, ids)

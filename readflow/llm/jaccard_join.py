@@ -10,10 +10,12 @@ two documents before its texts are compared.
 
 A group of near copies isn't paired out: of every list of documents with a prefix shingle in common, all
 are first compared with the list's leader only. What links falls into components. A true link has both ends
-in some list, so a link between components has both in a list whose documents aren't all in one component.
-Those documents of such lists that could link with another get new prefixes, in the order of the number of these documents that have a
-shingle (lists_by_count), and pairs of different components in one of the new lists are compared, each of
-them once. Texts are compared by their whole sets.
+in some list, so a link between components has both in a list whose documents aren't all in one component,
+and neither is its leader. Of the documents of such lists that could link with another, those stay that share
+enough of their first shingles with other components (_sharing); these few get new prefixes, in the order of
+the number of them that have a shingle (lists_by_count). In the new lists, neighbours are compared first, so
+that a family falls into few components; then pairs of different components, each of them once. Texts are
+compared by their whole sets.
 
 The prefixes are shuffled once, into the lists. A list that by the word counts can hold more than
 LIST_ROWS documents is dealt to several tasks, each with a leader of its own, and these meet the first of
@@ -30,11 +32,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, among, but_not, mixed, slices, stored, word_codes
+from .common import NO_ID, among, but_not, joined, mixed, slices, stored, word_codes
 from .components import components
 from .substring_dedup import rolling
 
@@ -43,6 +46,8 @@ BUCKETS = 1 << 18
 LONGEST_MATCH = 4
 #: Documents of a list in one task by the estimate, and candidates that share a copy of their leader's text.
 LIST_ROWS, COMPARED = 100_000, 250
+#: Neighbours in a new list that a document is compared with before all others.
+NEIGHBOURS = 2
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -96,12 +101,21 @@ def _least(t: int, n: int) -> int:
     return -(-t * n // 100)
 
 
-def records(df: DataFrame, percent: int, width: int) -> DataFrame:
+def _ranked(words: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of one text, by hash, and the estimated frequency of each one's rarest word."""
+    s = shingles(words, width)
+    w = min(width, len(words))
+    freq = seen[(words % np.uint64(BUCKETS)).astype(np.int64)]
+    rare = np.min([freq[i : len(freq) - w + 1 + i] for i in range(w)], axis=0) if w else freq
+    s, at = np.unique(s, return_index=True)
+    return s, rare[at]
+
+
+def records(df: DataFrame, counts: Broadcast, percent: int, width: int) -> DataFrame:
     """k, n, g1, g2 (two hashes of the set), p, l, s0 to s3 (parities), prefix and split of each row (k, text).
 
-    split tells for every shingle of the prefix over how many tasks its list is dealt.
+    counts are the broadcast word_counts(). split tells for every shingle of the prefix over how many tasks its list is dealt.
     """
-    counts = df.sparkSession.sparkContext.broadcast(word_counts(df.select("text")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
@@ -110,13 +124,7 @@ def records(df: DataFrame, percent: int, width: int) -> DataFrame:
                 h, ends = _hashed(part.column(1))
                 n, g1, g2, p, want, sig, prefixes, splits = [], [], [], [], [], [], [], []
                 for a, b in zip(ends, ends[1:], strict=False):
-                    words = h[a:b]
-                    s = shingles(words, width)
-                    w = min(width, len(words))
-                    freq = seen[(words % np.uint64(BUCKETS)).astype(np.int64)]
-                    rare = np.min([freq[i : len(freq) - w + 1 + i] for i in range(w)], axis=0) if w else freq
-                    s, at = np.unique(s, return_index=True)
-                    rare = rare[at]
+                    s, rare = _ranked(h[a:b], seen, width)
                     size = len(s)
                     n.append(size)
                     g1.append(int(np.bitwise_xor.reduce(s, initial=np.uint64(0)).view(np.int64)))
@@ -204,51 +212,104 @@ def verified(pairs: DataFrame, recs: DataFrame, texts: DataFrame, percent: int,
 
 
 def lists_of(recs: DataFrame) -> DataFrame:
-    """tok, k, x, lead, top: postings of the shingles that are in the prefixes of several documents, written to the shared folder.
+    """tok, k, x, lead, top, rest: postings of the shingles that are in the prefixes of several documents, written to the shared folder.
 
     x is the posting's place and the set's size. lead is the first posting of the task's part of the list,
     top that of the whole list: there the shingle comes first, so the document has the fewest rarer ones.
+    rest is false where all others of a list meet the posting as their leader, or it alone meets one: no pair but these holds it.
+    While dealt, x is one number.
     """
     post = recs.select("k", "n", F.posexplode(F.slice(F.arrays_zip("prefix", "split"), F.lit(1), F.col("p"))).alias("i", "at"))
     salt = F.when(F.col("at.split") > 1, F.pmod(F.xxhash64("k"), F.col("at.split"))).otherwise(0).cast("int")
-    post = post.select(F.col("at.prefix").alias("tok"), F.when(F.col("at.split") > 1, salt).alias("salt"), F.struct("i", "n").alias("x"), "k")
+    x = F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")
+    post = post.select(F.col("at.prefix").alias("tok"), F.when(F.col("at.split") > 1, salt).alias("salt"), x.alias("x"), "k")
     part = W.partitionBy("tok", "salt")
     dealt = post.withColumns({"lead": F.min(F.struct("x", "k")).over(part), "docs": F.count("*").over(part)})
-    dealt = dealt.filter("docs > 1 or salt is not null").select("tok", "salt", "k", "x", "lead")
+    rest = F.col("salt").isNotNull() | ((F.col("docs") > 2) & (F.struct("x", "k") != F.col("lead")))
+    dealt = dealt.filter("docs > 1 or salt is not null").select("tok", "salt", "k", "x", "lead", rest.alias("rest"))
     dealt = stored(dealt)
     tops = dealt.filter("salt is not null").groupBy("tok").agg(F.min("lead").alias("top"))
     split = dealt.filter("salt is not null").join(tops, "tok")
-    return stored(dealt.filter("salt is null").withColumn("top", F.col("lead")).unionByName(split).drop("salt"))
+    both = dealt.filter("salt is null").withColumn("top", F.col("lead")).unionByName(split)
+    apart = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("i"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("n"))
+    first = lambda c: F.struct(apart(F.col(f"{c}.x")).alias("x"), f"{c}.k").alias(c)
+    return stored(both.select("tok", "k", apart(F.col("x")).alias("x"), first("lead"), first("top"), "rest"))
+
+
+def _first_shingles(texts: DataFrame, counts: Broadcast, percent: int, width: int) -> DataFrame:
+    """k, c, h, n, tok: of every row (k, c, h, text) those first shingles of which linked ones share _asked() at least; n is the set's size."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = counts.value
+        for batch in batches:
+            for part in slices(batch, 3):
+                h, ends = _hashed(part.column(3))
+                n, firsts = [], []
+                for a, b in zip(ends, ends[1:], strict=False):
+                    s, rare = _ranked(h[a:b], seen, width)
+                    least = _least(percent, len(s))
+                    n.append(len(s))
+                    firsts.append(s[np.lexsort((s, rare))[: len(s) - least + min(len(s) - least + 1, least)]])
+                at = pa.array(np.repeat(np.arange(len(n)), [len(x) for x in firsts]))
+                flat = np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64)
+                own = [part.column(i).take(at) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int32()).take(at), pa.array(flat)], ["k", "c", "h", "n", "tok"])
+
+    return texts.select("k", "c", "h", "text").mapInArrow(make, "k long, c long, h long, n int, tok long")
+
+
+def _asked(n: Column, percent: int) -> Column:
+    """What a set of n shingles shares at least with a linked one within the first shingles of both: as many as are outside a
+    shared part of the least size, or that size if it is less, reckoned for the smallest set that can link with it."""
+    least = lambda x: F.ceil(x * percent / 100 - 1e-9)
+    return F.least(least(n) - least(least(n)) + 1, least(least(n)))
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Sets of n shingles link within their band and the two beside it only, as their sizes are within percent of each other."""
+    return F.floor(F.ln(n) / (math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else n
+
+
+def _sharing(texts: DataFrame, counts: Broadcast, percent: int, width: int) -> DataFrame:
+    """k of the texts (k, c, text) that share enough of their first shingles with texts of other components c to link with one.
+
+    A text is taken by itself, so this takes no pairs: what shares but a few shingles by chance goes, however many it meets.
+    """
+    rows = _first_shingles(texts.withColumn("h", F.xxhash64("text")), counts, percent, width)
+    met = W.partitionBy("tok").orderBy(_band(F.col("n"), percent)).rangeBetween(-1, 1)
+    rows = rows.select("k", "h", "n", (F.min("c").over(met) < F.max("c").over(met)).cast("int").alias("met"))
+    return rows.groupBy("k", "h", "n").agg(F.sum("met").alias("met")).filter(F.col("met") >= _asked(F.col("n"), percent)).select("k").distinct()
 
 
 def _all_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """k, h, tok: the distinct shingles of every row (k, h, text)."""
+    """k, h, n, tok: the distinct shingles of every row (k, h, text) and their number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 h, ends = _hashed(part.column(2))
                 sets = [np.unique(shingles(h[a:b], width)) for a, b in zip(ends, ends[1:], strict=False)]
-                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                n = np.array([len(x) for x in sets], np.int32)
+                at = np.repeat(np.arange(len(sets)), n)
                 flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(flat)], ["k", "h", "tok"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(pa.array(at)) for i in (0, 1)], pa.array(n[at]), pa.array(flat)], ["k", "h", "n", "tok"])
 
-    return texts.select("k", "h", "text").mapInArrow(make, "k long, h long, tok long")
+    return texts.select("k", "h", "text").mapInArrow(make, "k long, h long, n int, tok long")
 
 
 def lists_by_count(texts: DataFrame, percent: int, width: int) -> DataFrame:
     """tok, k, x of the texts (k, text): prefixes in the order of the number of these texts that have a shingle, less what one has alone.
 
     What sets a text apart from those it was copied from or shares a passage with comes first, so a shared shingle stands
-    far behind in those that can't link.
+    far behind in those that can't link. What one has alone needs no place but is reckoned by its number.
     """
-    rows = stored(_all_shingles(texts.withColumn("h", F.xxhash64("text")).distinct(), width))
-    counts = rows.groupBy("tok").agg(F.count("*").alias("docs")).filter("docs > 1")
+    rows = _all_shingles(texts.withColumn("h", F.xxhash64("text")).distinct(), width)
+    shared = rows.withColumn("docs", F.count("*").over(W.partitionBy("tok"))).filter("docs > 1")
     own = W.partitionBy("k", "h")
-    placed = rows.join(counts, "tok", "left").withColumn("docs", F.coalesce("docs", F.lit(1)))
-    placed = placed.withColumns({"i": F.row_number().over(own.orderBy("docs", "tok")) - 1, "n": F.count("*").over(own).cast("int")})
+    alone = F.col("n") - F.count("*").over(own)
+    placed = shared.withColumn("i", (alone + F.row_number().over(own.orderBy("docs", "tok")) - 1).cast("int"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    return placed.filter((F.col("docs") > 1) & (F.col("i") < prefix)).select("tok", "k", F.struct("i", "n").alias("x"))
+    return placed.filter(F.col("i") < prefix).select("tok", "k", F.struct("i", "n").alias("x"))
 
 
 def _sides(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Column]:
@@ -257,8 +318,7 @@ def _sides(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Column
     Its ends are in different components, one outside its list's top's. Sets that link have sizes within percent of each
     other, so an outsider meets three bands of sizes only.
     """
-    band = F.floor(F.ln(F.col("x.n")) / (math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else F.col("x.n")
-    named = named.withColumn("band", band)
+    named = named.withColumn("band", _band(F.col("x.n"), percent))
     out = named.filter("outside").select(F.col("tok").alias("tok_o"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band_o"), *[F.col(c).alias(f"{c}_o") for c in ("k", "x", "sig", "c")])
     one_way = ~F.col("outside") | (F.col("k_o") < F.col("k"))
     near = _near(F.col("x.n"), F.col("sig"), F.col("x_o.n"), F.col("sig_o"), percent)
@@ -267,9 +327,26 @@ def _sides(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Column
 
 
 def _in_question(named: DataFrame, percent: int) -> DataFrame:
-    """k: the documents of _candidates(), without making the pairs."""
+    """k, c: the documents of _candidates(), without making the pairs."""
     out, named, pair = _sides(named, percent)
-    return out.join(named, pair, "left_semi").select(F.col("k_o").alias("k")).union(named.join(out, pair, "left_semi").select("k")).distinct()
+    return out.join(named, pair, "left_semi").select(F.col("k_o").alias("k"), F.col("c_o").alias("c")).union(named.join(out, pair, "left_semi").select("k", "c")).distinct()
+
+
+def _neighbours(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components next to each other in one list of named, in an order by size and hash of its own."""
+    order = W.partitionBy("tok").orderBy(_band(F.col("x.n"), percent), F.xxhash64("tok", "k"), "k", "x")
+    row = F.struct("k", "x", "sig", "c")
+    met = named.withColumn("before", F.array(*[F.lag(row, i).over(order) for i in range(1, NEIGHBOURS + 1)]))
+    met = met.select("k", "x", "sig", "c", F.explode("before").alias("o"))
+    near = _near(F.col("x.n"), F.col("sig"), F.col("o.x.n"), F.col("o.sig"), percent)
+    return met.filter((F.col("c") != F.col("o.c")) & _fits(F.col("x"), F.col("o.x"), percent) & near).select("k", F.col("o.k").alias("b")).toDF("a", "b")
+
+
+def _named(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """tok, k, x, sig, c, outside of the lists of posts (tok, k, x, sig) that hold several components by label (v, c), written to the shared folder."""
+    again = posts.join(label.select(F.col("v").alias("k"), "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    tops = again.groupBy("tok").agg(F.min(F.struct("x", "k", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    return stored(again.join(tops.select("tok", F.col("top.c").alias("ct")), "tok").select("tok", "k", "x", "sig", "c", (F.col("c") != F.col("ct")).alias("outside")))
 
 
 def _candidates(named: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +366,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component_id. An empty table gives none. Other columns, whatever their names, aren't read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    recs = stored(records(texts.withColumn("k", F.coalesce("k", F.lit(NO_ID))), percent, width))
+    counts = df.sparkSession.sparkContext.broadcast(word_counts(texts.select("text")))
+    recs = stored(records(texts.withColumn("k", F.coalesce("k", F.lit(NO_ID))), counts, percent, width))
     some = recs.filter((F.col("n") > 0) & (F.col("k") != F.lit(NO_ID)))
     # Equal sets are one: their smallest id stands for all.
     sets = stored(some.groupBy("n", "g1", "g2").agg(F.min("k").alias("rep"), F.max("k").alias("last")).filter("rep < last").drop("last"))
@@ -310,23 +388,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = stored(led.select("a", "b").distinct())
     links = verified(first, recs, texts, percent, width)
     label = components(links)
-    # Lists whose documents are not all in the component of their first: its outsiders meet all others.
-    seen = lists.select("k", F.col("top.k").alias("t")).filter("k <> t").distinct()
+    # Lists whose documents, less the leader that all have met, are not all in the component of their first: its outsiders meet all others.
+    flat = lists.filter("rest").select("tok", "k", "x", F.col("top.k").alias("t"))
     of = lambda x, c: label.select(F.col("v").alias(x), F.col("c").alias(c))
+    seen = flat.select("k", "t").filter("k <> t").distinct()
     apart = stored(seen.join(of("k", "ck"), "k", "left").join(of("t", "ct"), "t", "left").filter(F.coalesce("ck", "k") != F.coalesce("ct", "t")).select("k", "t"))
-    flat = lists.select("tok", "k", "x", F.col("top.k").alias("t"))
     named = among(flat, ["tok"], stored(among(flat, ["k", "t"], apart).select("tok").distinct()))
     named = named.join(of("k", "c"), "k", "left").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n").join(of("t", "ct"), "t", "left")
     named = stored(named.select("tok", "k", "x", "sig", F.coalesce("c", "k").alias("c"), (F.coalesce("c", "k") != F.coalesce("ct", "t")).alias("outside")))
     left = stored(_in_question(named, percent))
+    left = stored(_sharing(joined(texts, ["k"], left), counts, percent, width))
     # These few are dealt anew, to lists in an order of their own.
-    again = lists_by_count(among(texts, ["k"], left), percent, width).join(of("k", "c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
-    again = stored(again)
-    tops = again.groupBy("tok").agg(F.min(F.struct("x", "k", "c")).alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    named = again.join(tops.select("tok", F.col("top.c").alias("ct")), "tok").join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n")
-    named = stored(named.select("tok", "k", "x", "sig", "c", (F.col("c") != F.col("ct")).alias("outside")))
+    again = lists_by_count(among(texts, ["k"], left), percent, width)
+    again = stored(again.join(sig.withColumnRenamed("n", "m"), "k").filter("m = x.n").select("tok", "k", "x", "sig"))
     both = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     known = first.select(*both).distinct()
+    # Neighbours there first: what they join isn't paired out.
+    some = stored(_neighbours(_named(again, label), percent).select(*both).distinct().join(known, ["a", "b"], "left_anti"))
+    links = links.union(verified(some, recs, texts, percent, width))
+    known = known.union(some)
+    named = _named(again, components(links))
     rest = stored(_candidates(named, percent).select(*both).distinct().join(known, ["a", "b"], "left_anti"))
     links = links.union(verified(rest, recs, texts, percent, width))
     label = components(links.union(member.select(F.col("k").alias("a"), F.col("rep").alias("b"))))

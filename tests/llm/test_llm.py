@@ -186,6 +186,22 @@ def test_jaccard_of_families(spark, monkeypatch):
     assert sum(calls[1:]) < 50
 
 
+def test_jaccard_of_chance(spark, monkeypatch):
+    """Long texts that share a few rare shingles meet once, but get no new prefixes; what shares more does."""
+    rnd = random.Random(5)
+    texts = {i: " ".join(["at", "one", f"rare{i // 4}", "with", *[f"w{rnd.randrange(3000)}" for _ in range(1300)]]) for i in range(24)}
+    dealt, true = [], jaccard_join.lists_by_count
+    monkeypatch.setattr(jaccard_join, "lists_by_count", lambda texts, *a: dealt.append(texts.count()) or true(texts, *a))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=90, width=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(texts, 90, 3) and dealt == [0]
+    for i, words in [(i, t.split()) for i, t in list(texts.items())[:6]]:  # copies that differ in single words all over, around the threshold
+        for j, edits in enumerate((40, 55, 21, 22, 70)):
+            at = set(rnd.sample(range(10, 1300), edits))
+            texts[100 + 10 * i + j] = " ".join(f"{x}x{j}" if y in at else x for y, x in enumerate(words))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=90, width=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_links(texts, 90, 3)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (102, 101)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.v: r.c for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
