@@ -28,3 +28,10 @@ def test_twin(spark, tables, name):
     cols = ", ".join(f'"{c}"' for c in found.columns)
     want = con.sql(f"SELECT {cols} FROM ({SQL[name]})").fetchall()
     assert want and sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["c6_given_cuts", "d1_japanese_plan"])
+def test_given_cuts_need_no_python(spark, tables, name):
+    """Texts are cut in Spark's own memory, and shuffled once."""
+    plan = Q[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("Exchange") == 1
