@@ -74,6 +74,56 @@ def test_joining_as_a_fold(spark):
     assert "Python" not in plan and plan.count("Exchange") == 1
 
 
+def test_units_by_columns(spark):
+    """Units by the built-in rules and by given cuts are made without Python and equal the plain rules, whatever the texts and cuts."""
+    random.seed(11)
+    letters = ["あ", "いう", "の", "漢字", "カ", "abc.", "X, y", "（", "）", "「", "」", "、", "。", "！", " ", "\u3000", "”", "𠮟", "𠮟𠮟", "\n", "\r\n", " \n ", "\x85", "\x0b", "\x01", "\x02a", "\ufeff", "が（の）は"]
+    docs = [(i, "".join(random.choice(letters) for _ in range(random.randint(0, 40))), [random.choice([None, [], [random.randint(-1, 40) for _ in range(9)], list(range(40))]) for _ in range(random.randint(0, 5))]) for i in range(600)]
+    docs += [(600, None, None), (601, "", []), (602, "の漢字" * 200 + "。\n" + "か" * 100, [list(range(4, 600, 4)), [33, 64, 96]]), (603, "Mr. B is, 5.\n日本", None), (604, "の" * 64, [[32, 64]])]
+    ja = re.compile(f"[{T.JAPANESE_CHARACTERS}]")
+
+    def plain(text, cuts, breaks):
+        rows, sentence, begins = [], -1, True
+        for p, m in enumerate(re.finditer(f"[^{breaks}]+", text or "")):
+            x, given = m[0], cuts[p] if cuts and p < len(cuts) else None
+            kind = "ja" if ja.search(x) else "en"
+            units = japanese.paragraph_units(x, given, japanese.default_chunker) if kind == "ja" else [(*w.span(), bool(re.search(r"[.!?]$", w[0])) and w[0] != "Mr.") for w in japanese.WORD.finditer(x)]
+            for k, (a, b, ends) in enumerate(units):
+                sentence, begins = sentence + begins, ends or k == len(units) - 1
+                pause = "paragraph" if k == len(units) - 1 else "sentence" if ends else "comma" if japanese.COMMA.search(x[a:b]) else "none"
+                rows.append((len(rows), p, sentence, x[a:b], m.start() + a, m.start() + b, "ja" if ja.search(x[a:b]) else "en", kind, pause))
+        return rows
+
+    df = spark.createDataFrame(docs, "doc_id long, text string, cuts array<array<int>>")
+    for extended in (False, True):
+        for cuts in (None, "cuts"):
+            units = segment.units(df, extended_breaks=extended, boundaries_col=cuts)
+            plan = units._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan and plan.count("Exchange") == 1
+            found = {}
+            for r in units.orderBy("doc_id", "unit_index").collect():
+                found.setdefault(r.doc_id, []).append(tuple(r)[1:])
+            for i, text, given in docs:
+                assert found.get(i, []) == plain(text, given if cuts else None, T.EXTENDED_BREAK if extended else T.BREAK), (text, given, extended)
+
+
+def test_texts_keep_their_control_characters(spark):
+    """No character of a text stands for a phrase start: units are what the text has between their places."""
+    for text in ("の\x01漢字\x02aの、漢", "「の\x01漢」\x01の本"):
+        assert "".join(r.text for r in units(spark, text)) == text
+
+
+def test_outside_chunker_a_few_texts_at_a_time(spark, monkeypatch):
+    """A chunker from outside gives the same units, with cut lists too, however many texts it gets at a time; a paragraph row holds its own units alone."""
+    docs = spark.createDataFrame([(i, f"の漢字{i}を読む。\nab c\nかきく", [None, None, [1]]) for i in range(100)], "doc_id long, text string, cuts array<array<int>>")
+    key = lambda chunker: sorted(map(tuple, segment.units(docs, chunker=chunker, boundaries_col="cuts").collect()))
+    assert key(lambda x: japanese.default_chunker(x)) == key(japanese.default_chunker)
+    made = []
+    monkeypatch.setattr(japanese, "pd", type("", (), {"Series": lambda x, dtype: made.append(len(x)) or x}))
+    cut = japanese.units_of(T.BREAK, lambda x: []).func
+    assert sum(map(len, cut([(["の"] * 100, [None] * 100)]))) == 100 and max(made) <= japanese.TEXTS
+
+
 def test_partition_counts_do_not_matter(spark):
     docs = spark.createDataFrame([(i, f"One two, {i}. Three\nfour {i}") for i in range(40)], "doc_id long, text string")
     key = lambda d: sorted(map(tuple, segment.units(d).collect()))
