@@ -124,6 +124,12 @@ def test_outside_chunker_a_few_texts_at_a_time(spark, monkeypatch):
     assert sum(map(len, cut([(["の"] * 100, [None] * 100)]))) == 100 and max(made) <= japanese.TEXTS
 
 
+def test_blank_pieces_are_told_by_the_piece(spark):
+    """Where places aren't asked for, Spark takes the filter on blank pieces down to them; it mustn't make each unit's text once more there."""
+    found = segment.units(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).select("doc_id", "text")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rtrim(") == 1
+
+
 def test_partition_counts_do_not_matter(spark):
     docs = spark.createDataFrame([(i, f"One two, {i}. Three\nfour {i}") for i in range(40)], "doc_id long, text string")
     key = lambda d: sorted(map(tuple, segment.units(d).collect()))
